@@ -43,10 +43,7 @@ def full_text(docs: DataFrame, text: str, query: str) -> DataFrame:
         return docs.withColumn("score", F.lit(0.0)).limit(0)
     counted = docs.withColumn("_terms", terms(F.col(text)))
     counted = counted.withColumn("_len", F.size("_terms"))
-    counts = [
-        F.size(F.filter("_terms", lambda t, q=q: t == F.lit(q))).alias(f"t{i}")
-        for i, q in enumerate(wanted)
-    ]
+    counts = [_occurrences("_terms", q).alias(f"t{i}") for i, q in enumerate(wanted)]
     counted = counted.withColumn("_tf", F.struct(*counts)).drop("_terms")
     seen = [
         F.count_if(F.col(f"_tf.t{i}") > 0).alias(f"df{i}") for i in range(len(wanted))
@@ -67,6 +64,10 @@ def full_text(docs: DataFrame, text: str, query: str) -> DataFrame:
     return scored.where(any_term).withColumn("score", total).drop("_tf", "_len", "_stats")
 
 
+def _occurrences(column: str, term: str) -> Column:
+    return F.size(F.filter(column, lambda t: t == F.lit(term)))
+
+
 def _query_terms(query: str) -> list[str]:
     # The parameter is one short text, so it is cut on the caller's side.
     kept = "".join(c if c.isalpha() or c.isdigit() else " " for c in query.lower())

@@ -241,28 +241,35 @@ def dense_mask_contour(detections: DataFrame, prototypes: DataFrame) -> DataFram
     return kept.mapInPandas(score, schema)
 
 
-def _far_points(points: np.ndarray, epsilon: float) -> np.ndarray:
-    """Indices kept by Douglas-Peucker with the distance to the segment."""
-    n = len(points)
-    if n <= 3:
-        return np.arange(n)
-    keep = np.zeros(n, bool)
-    keep[[0, n - 1]] = True
-    pending = [(0, n - 1)]
-    while pending:
-        lo, hi = pending.pop()
-        if hi - lo + 1 <= 3:
-            keep[lo : hi + 1] = True
-            continue
-        a, span = points[lo], points[hi] - points[lo]
-        inner = points[lo + 1 : hi] - a
-        length = float(span @ span)
-        along = np.clip(inner @ span / length, 0, 1) if length else np.zeros(len(inner))
-        gaps = np.hypot(*(inner - along[:, None] * span).T)
-        far = int(np.argmax(gaps))
-        if gaps[far] > epsilon:
-            pending += [(lo, lo + 1 + far), (lo + 1 + far, hi)]
-    return np.flatnonzero(keep)
+def _point_picker(epsilon: float):
+    """Douglas-Peucker with the distance to the segment. Nested, so that it travels to the
+    Python workers by value and they need no copy of this package."""
+
+    def far_points(points: np.ndarray) -> np.ndarray:
+        n = len(points)
+        keep = np.zeros(n, bool)
+        pending = [(0, n - 1)]
+        while pending:
+            lo, hi = pending.pop()
+            keep[[lo, hi]] = True
+            if hi - lo + 1 <= 3:
+                keep[lo : hi + 1] = True
+                continue
+            span = points[hi] - points[lo]
+            inner = points[lo + 1 : hi] - points[lo]
+            length = float(span @ span)
+            along = np.clip(inner @ span / length, 0, 1) if length else np.zeros(len(inner))
+            gaps = np.hypot(*(inner - along[:, None] * span).T)
+            far = int(np.argmax(gaps))
+            if gaps[far] > epsilon:
+                pending += [(lo, lo + 1 + far), (lo + 1 + far, hi)]
+        return np.flatnonzero(keep)
+
+    def pick(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        both = zip(xs, ys, strict=True)
+        return pd.Series([far_points(np.column_stack(p)) if len(p[0]) else [] for p in both])
+
+    return pick
 
 
 def simplify_polygons(
@@ -270,12 +277,7 @@ def simplify_polygons(
 ) -> DataFrame:
     """Drops polygon points nearer than `epsilon` to the kept outline."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def kept_points(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_far_points(np.column_stack([x, y]), epsilon) for x, y in zip(xs, ys, strict=True)]
-        )
-
+    kept_points = F.pandas_udf(_point_picker(epsilon), T.ArrayType(T.IntegerType()))
     points = F.col(column)
     chosen = kept_points(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
     return polygons.withColumn("_keep", chosen).withColumn(

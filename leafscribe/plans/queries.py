@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscribe.functions.boxes import box, in_polygon
+from leafscribe.functions.text import not_blank
 from leafscribe.operators import catalog as C
 from leafscribe.operators import events as E
 from leafscribe.operators import geometry as G
@@ -160,6 +161,7 @@ def changed_volumes(v: Views) -> DataFrame:
     groups = v.groups(lines)
     # The later snapshot: volumes with an even number have edited texts.
     even = F.col("manifest_id").rlike("[02468]$") & (F.col("doc_id") % 3 == 0)
+    even = even & not_blank(F.col("text"))
     edited = lines.withColumn(
         "text", F.when(even, F.concat("text", F.lit(" (edited)"))).otherwise(F.col("text"))
     )
@@ -562,7 +564,8 @@ def _transcribed(v: Views) -> DataFrame:
 def page_transcription(v: Views) -> DataFrame:
     return _transcribed(v).select(
         "image_id", "region_id", "group_name", "line_index", "text", "complete",
-        *[r6(c) for c in ("x", "y", "w", "h", "det_confidence", "text_confidence", "confidence")],
+        *[r6(c) for c in ("x", "y", "w", "h", "det_confidence")],
+        *[F.round(c, 8).alias(c) for c in ("text_confidence", "confidence")],
     )
 
 

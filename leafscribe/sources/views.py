@@ -178,7 +178,7 @@ class Views:
         return self._vector_items().selectExpr(
             "vec_id AS image_id",
             "pos*131 AS anchor_idx",
-            "CAST(v*10 AS DOUBLE) AS logit",
+            "CAST(v AS DOUBLE)*10 AS logit",
             "CAST(8+pos%5 AS DOUBLE) AS l",
             "CAST(4+pos%3 AS DOUBLE) AS t",
             "CAST(60+pos AS DOUBLE) AS r",
