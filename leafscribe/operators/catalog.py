@@ -237,9 +237,10 @@ def highlight(text: Column, query: str) -> Column:
 
 def random_volume(catalog: DataFrame, seed: int, n_pages: Column) -> DataFrame:
     """One record and one of its pages, the same for the same seed."""
-    draw = F.xxhash64(F.lit(seed), "reference_code")
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), "reference_code").cast("binary"))
     chosen = catalog.withColumn("_draw", draw).orderBy("_draw", "reference_code").limit(1)
-    page = F.when(n_pages > 0, F.pmod("_draw", n_pages.cast("long")) + 1)
+    number = F.conv(F.substr("_draw", F.lit(1), F.lit(8)), 16, 10).cast("long")
+    page = F.when(n_pages > 0, number % n_pages.cast("long") + 1)
     return chosen.withColumn("page_number", page).drop("_draw")
 
 

@@ -336,6 +336,9 @@ UNION ALL SELECT fonds, NULL, count(*), true FROM k GROUP BY 1""",
     "highlight": """
 SELECT doc_id, CASE WHEN p>0 THEN substr(text,1,p-1) ELSE text END AS before, CASE WHEN p>0 THEN substr(text,p,3) ELSE '' END AS match,
   CASE WHEN p>0 THEN substr(text,p+3) ELSE '' END AS after FROM (SELECT doc_id, text, strpos(lower(text),'the') AS p FROM documents)""",
+    "random_volume": f"""
+SELECT reference_code, CASE WHEN doc_id%12>0 THEN CAST('0x' || substr(m,1,8) AS BIGINT)%(doc_id%12)+1 END AS page_number
+FROM (SELECT *, md5(concat('{Q.SEED}:',reference_code)) AS m FROM f_catalog) ORDER BY m, reference_code LIMIT 1""",
     "catalog_titles": """
 SELECT reference_code, coalesce(nullif(fonds_title,''),reference_code) AS title,
   concat(CASE WHEN series_title<>'' THEN concat(series_title,' / ') ELSE '' END, 'vol. ', volume_id, CASE WHEN date_text<>'' THEN concat(' (',date_text,')') ELSE '' END) AS subtitle FROM f_catalog""",
