@@ -6,27 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters the web platform treats as white space.
-SPACE = (
-    r"\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
 def not_blank(text: Column) -> Column:
-    return text.rlike(f"[^{SPACE}]")
+    return text.rlike(f"[^{SPACES}]")
 
 
 def words(text: Column) -> Column:
     """Non-empty pieces between runs of white space."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    # A one-character split needs no regular expression.
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
 def terms(text: Column) -> Column:
     """Search terms: lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def contains_folded(text: Column, query: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from leafscribe.functions.text import or_else, terms
 from leafscribe.operators.scale import lookup, ordinal
+from leafscribe.session import pin
 
 K1, B = 1.2, 0.75
 FUSION = 60
@@ -33,39 +34,36 @@ def catalog_filter(
 
 
 def full_text(docs: DataFrame, text: str, query: str) -> DataFrame:
-    """Rows that hold any query term, with their BM25 `score`.
+    """Rows that hold any query term, without their text and with their BM25 `score`.
 
-    Term counts come from each row's own array, so nothing is exploded or shuffled; the
-    corpus statistics are one row, read back as a scalar.
+    Term counts come from each row's own array, so nothing is exploded or shuffled. The
+    texts are cut once: the counts are pinned, as both the corpus statistics (one row) and
+    the scores need them.
     """
-    wanted = sorted({t for t in _query_terms(query)})
+    wanted = sorted(set(_query_terms(query)))
+    kept = [c for c in docs.columns if c != text]
     if not wanted:
-        return docs.withColumn("score", F.lit(0.0)).limit(0)
-    counted = docs.withColumn("_terms", terms(F.col(text)))
-    counted = counted.withColumn("_len", F.size("_terms"))
-    counts = [_occurrences("_terms", q).alias(f"t{i}") for i, q in enumerate(wanted)]
-    counted = counted.withColumn("_tf", F.struct(*counts)).drop("_terms")
-    seen = [
-        F.count_if(F.col(f"_tf.t{i}") > 0).alias(f"df{i}") for i in range(len(wanted))
-    ]
+        return docs.select(*kept, F.lit(0.0).alias("score")).limit(0)
+    cut = docs.select(*kept, terms(F.col(text)).alias("_terms"))
+    counts = [_occurrences("_terms", q).alias(f"_t{i}") for i, q in enumerate(wanted)]
+    counted = pin(cut.select(*kept, F.size("_terms").alias("_len"), *counts))
+    tfs = [F.col(f"_t{i}") for i in range(len(wanted))]
+    seen = [F.count_if(tf > 0).alias(f"df{i}") for i, tf in enumerate(tfs)]
     stats = counted.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"), *seen).alias("s")
     )
-    scored = counted.withColumn("_stats", stats.scalar())
+    hits = counted.where(F.greatest(*tfs, F.lit(0)) > 0).withColumn("_stats", stats.scalar())
     total = F.lit(0.0)
-    for i in range(len(wanted)):
-        tf, df = F.col(f"_tf.t{i}"), F.col(f"_stats.df{i}")
+    for i, tf in enumerate(tfs):
+        df = F.col(f"_stats.df{i}")
         idf = F.log(1 + (F.col("_stats.n") - df + 0.5) / (df + 0.5))
         norm = tf + K1 * (1 - B + B * F.col("_len") / F.col("_stats.mean"))
         total = total + F.when(tf > 0, idf * tf * (K1 + 1) / norm).otherwise(0.0)
-    any_term = F.lit(False)
-    for i in range(len(wanted)):
-        any_term = any_term | (F.col(f"_tf.t{i}") > 0)
-    return scored.where(any_term).withColumn("score", total).drop("_tf", "_len", "_stats")
+    return hits.select(*kept, total.alias("score"))
 
 
 def _occurrences(column: str, term: str) -> Column:
-    return F.size(F.filter(column, lambda t: t == F.lit(term)))
+    return F.size(column) - F.size(F.array_remove(column, term))
 
 
 def _query_terms(query: str) -> list[str]:

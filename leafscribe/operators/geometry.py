@@ -242,32 +242,49 @@ def dense_mask_contour(detections: DataFrame, prototypes: DataFrame) -> DataFram
 
 
 def _point_picker(epsilon: float):
-    """Douglas-Peucker with the distance to the segment. Nested, so that it travels to the
-    Python workers by value and they need no copy of this package."""
-
-    def far_points(points: np.ndarray) -> np.ndarray:
-        n = len(points)
-        keep = np.zeros(n, bool)
-        pending = [(0, n - 1)]
-        while pending:
-            lo, hi = pending.pop()
-            keep[[lo, hi]] = True
-            if hi - lo + 1 <= 3:
-                keep[lo : hi + 1] = True
-                continue
-            span = points[hi] - points[lo]
-            inner = points[lo + 1 : hi] - points[lo]
-            length = float(span @ span)
-            along = np.clip(inner @ span / length, 0, 1) if length else np.zeros(len(inner))
-            gaps = np.hypot(*(inner - along[:, None] * span).T)
-            far = int(np.argmax(gaps))
-            if gaps[far] > epsilon:
-                pending += [(lo, lo + 1 + far), (lo + 1 + far, hi)]
-        return np.flatnonzero(keep)
+    """Douglas-Peucker with the distance to the segment, for all polygons of an Arrow batch
+    at once: each pass splits every segment that still has a far point. Nested, so that it
+    travels to the Python workers by value and they need no copy of this package."""
 
     def pick(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        both = zip(xs, ys, strict=True)
-        return pd.Series([far_points(np.column_stack(p)) if len(p[0]) else [] for p in both])
+        sizes = np.array([len(p) for p in xs], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        if not len(ends) or not ends[-1]:
+            return pd.Series([[] for _ in sizes], dtype=object)
+        points = np.column_stack([np.concatenate(list(xs)), np.concatenate(list(ys))])
+        keep = np.zeros(len(points), bool)
+        lo, hi = starts[sizes > 0], ends[sizes > 0] - 1
+        keep[lo] = keep[hi] = True
+        while len(lo):
+            # Two or three points stay as they are.
+            short = hi - lo <= 2
+            middle = lo[short] + 1
+            keep[middle[middle < hi[short]]] = True
+            lo, hi = lo[~short], hi[~short]
+            if not len(lo):
+                break
+            inner = hi - lo - 1
+            first = np.cumsum(inner) - inner
+            owner = np.repeat(np.arange(len(lo)), inner)
+            index = np.arange(inner.sum()) - first[owner] + lo[owner] + 1
+            span = points[hi] - points[lo]
+            square = (span**2).sum(axis=1)
+            away = points[index] - points[lo][owner]
+            along = (away * span[owner]).sum(axis=1)
+            share = np.clip(along / np.where(square == 0, 1, square)[owner], 0, 1)
+            gap = np.hypot(*(away - share[:, None] * span[owner]).T)
+            widest = np.maximum.reduceat(gap, first)
+            is_widest = np.flatnonzero(gap == widest[owner])
+            at = index[is_widest[np.unique(owner[is_widest], return_index=True)[1]]]
+            split = widest > epsilon
+            at, lo, hi = at[split], lo[split], hi[split]
+            keep[at] = True
+            lo, hi = np.concatenate([lo, at]), np.concatenate([at, hi])
+        chosen = np.flatnonzero(keep)
+        local = chosen - np.repeat(starts, sizes)[chosen]
+        cuts = np.searchsorted(chosen, ends)[:-1]
+        return pd.Series(np.split(local.astype(np.int32), cuts), dtype=object)
 
     return pick
 
@@ -288,9 +305,11 @@ def simplify_polygons(
 # Order and crops --------------------------------------------------------------------------
 
 
-def reading_order(boxes: DataFrame, group="doc_id", key="line_id", limit: int = GROUP_ROWS):
+def reading_order(
+    boxes: DataFrame, group="doc_id", key="line_id", limit: int = GROUP_ROWS, small=None
+) -> DataFrame:
     """0-based position by y, then x; the id keeps equal places stable."""
-    numbered = ordinal(boxes, [group], ["y", "x", key], "_n", limit)
+    numbered = ordinal(boxes, [group], ["y", "x", key], "_n", limit, small)
     return numbered.withColumn("position", F.col("_n") - 1).drop("_n")
 
 
@@ -327,8 +346,9 @@ def padded_crop(boxes: DataFrame, width: float, height: float, pad: float = COPY
 
 
 def to_page_coords(lines: DataFrame, regions: DataFrame, keys=("image_id", "region_id")):
-    """Adds the whole-pixel region origin (cx, cy) to boxes and polygon points."""
-    joined = lines.join(regions.select(*keys, "cx", "cy"), list(keys))
+    """Adds the whole-pixel region origin (cx, cy) to boxes and polygon points. Further
+    columns of the regions come along."""
+    joined = lines.join(regions, list(keys))
     moved = {"x": F.col("x") + F.col("cx"), "y": F.col("y") + F.col("cy")}
     if "polygon" in lines.columns:
         moved["polygon"] = shifted(F.col("polygon"), F.col("cx"), F.col("cy"))

@@ -75,10 +75,17 @@ def _numbered_by_range(df: DataFrame, keys, order, name: str) -> DataFrame:
     return numbered.withColumn(name, position).drop("_part", "_local", "_before")
 
 
-def ordinal(df: DataFrame, keys, order, name: str, limit: int = GROUP_ROWS) -> DataFrame:
-    """Adds the 1-based position of each row inside its group. `order` must be unique in it."""
+def ordinal(
+    df: DataFrame, keys, order, name: str, limit: int = GROUP_ROWS, small: bool | None = None
+) -> DataFrame:
+    """Adds the 1-based position of each row inside its group. `order` must be unique in it.
+
+    `small` tells whether the group sizes are known to be within the limit; None looks.
+    """
     keys, order = list(keys), list(order)
-    if has_large_group(df, keys, limit):
+    if small is None:
+        small = not has_large_group(df, keys, limit)
+    if not small:
         return _numbered_by_range(df, keys, order, name)
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window).cast("long"))
@@ -87,9 +94,11 @@ def ordinal(df: DataFrame, keys, order, name: str, limit: int = GROUP_ROWS) -> D
 class Ordered:
     """Rows in ascending `order` (unique column names) inside each group, in bounded blocks."""
 
-    def __init__(self, df: DataFrame, keys, order, limit: int = GROUP_ROWS):
+    def __init__(
+        self, df: DataFrame, keys, order, limit: int = GROUP_ROWS, small: bool | None = None
+    ):
         self.keys, self.order = list(keys), list(order)
-        self.blocked = has_large_group(df, self.keys, limit)
+        self.blocked = has_large_group(df, self.keys, limit) if small is None else not small
         if self.blocked:
             numbered = _numbered_by_range(df, self.keys, self.order, "_pos")
             block = F.floor((F.col("_pos") - 1) / limit)

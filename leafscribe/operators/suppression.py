@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafscribe.functions.boxes import box, can_suppress, iou
 from leafscribe.operators.geometry import MAX_IOU
-from leafscribe.operators.scale import LOOKUP_ROWS
+from leafscribe.operators.scale import LOOKUP_ROWS, has_large_group
 from leafscribe.session import pin
 
 # Boxes of one image that one task may fold: one model run yields at most 8 400.
@@ -38,15 +38,36 @@ def _distinct_boxes(boxes: DataFrame, key: str) -> DataFrame:
 
 
 def _folded(boxes: DataFrame, key: str, max_iou: float) -> DataFrame:
-    item = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), "x", "y", "w", "h")
-    sorted_items = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    """All boxes of an image, best first, folded over the list of kept ones."""
+    x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
+    item = F.struct(
+        (-F.col("score")).alias("s"),
+        F.col(key).alias("k"),
+        "x",
+        "y",
+        "w",
+        "h",
+        (x + w).alias("x2"),
+        (y + h).alias("y2"),
+    )
+    packed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def covers(kept: Column, one: Column) -> Column:
+        # Most pairs do not touch; four comparisons settle them before any arithmetic.
+        touch = (
+            (kept["y"] < one["y2"])
+            & (one["y"] < kept["y2"])
+            & (kept["x"] < one["x2"])
+            & (one["x"] < kept["x2"])
+        )
+        return touch & (iou(kept, one) > max_iou)
 
     def keep(kept: Column, one: Column) -> Column:
-        hit = F.exists(kept, lambda k: iou(k, one) > max_iou)
+        hit = F.exists(kept, lambda k: covers(k, one))
         return F.when(hit, kept).otherwise(F.concat(kept, F.array(one)))
 
     kept = F.aggregate("items", F.slice("items", 1, 0), keep)
-    flat = sorted_items.select("image_id", F.explode(kept).alias("b"))
+    flat = packed.select("image_id", F.explode(kept).alias("b"))
     return flat.select(
         "image_id",
         F.col("b.k").alias(key),
@@ -154,25 +175,27 @@ def nms(
     min_score: float | None = None,
     key: str = "det_id",
     limit: int = IMAGE_BOXES,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Kept boxes (image_id, key, score, x, y, w, h); classes are not told apart."""
+    """Kept boxes (image_id, key, score, x, y, w, h); classes are not told apart.
+
+    `small` tells whether all images are known to have at most `limit` boxes; None looks.
+    """
     columns = ["image_id", key, "score", "x", "y", "w", "h"]
     wanted = boxes.select(*columns)
     if min_score is not None:
         wanted = wanted.where(F.col("score") >= min_score)
+    if small is None:
+        small = not has_large_group(wanted, ["image_id"], limit)
+    if small:
+        return _folded(wanted, key, max_iou)
     mine = box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     # Boxes without area overlap nothing: kept without a look at the others.
     flat = wanted.where(~can_suppress(mine))
-    solid = wanted.where(can_suppress(mine))
-    large = solid.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    if large.isEmpty():
-        return _folded(solid, key, max_iou).unionByName(flat)
-    single = _distinct_boxes(solid, key)
+    single = _distinct_boxes(wanted.where(can_suppress(mine)), key)
     sizes = single.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > limit).select("image_id")
-    small = single.join(large, "image_id", "left_anti")
-    rest = single.join(large, "image_id", "left_semi")
-    result = _folded(small, key, max_iou).unionByName(flat)
-    if large.isEmpty():
-        return result
-    return result.unionByName(_in_rounds(rest, key, max_iou))
+    few = single.join(large, "image_id", "left_anti")
+    many = single.join(large, "image_id", "left_semi")
+    result = _folded(few, key, max_iou).unionByName(flat)
+    return result.unionByName(_in_rounds(many, key, max_iou)) if not large.isEmpty() else result

@@ -97,34 +97,24 @@ def vocab_rows(entries: DataFrame) -> DataFrame:
 # The byte alphabet: printable bytes stand for themselves, the others, in byte order, for
 # the characters from 256 on. Fixed values are the three printable ranges.
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
-
-
-def _byte_alphabet() -> list[tuple[str, str]]:
-    others, pairs = 256, []
-    for byte in range(256):
-        shown = byte
-        if not any(low <= byte <= high for low, high in PRINTABLE):
-            shown, others = others, others + 1
-        pairs.append((chr(shown), f"{byte:02X}"))
-    return pairs
-
-
-def _literal_map(pairs: list[tuple[str, str]]) -> Column:
-    return F.create_map(*[F.lit(v) for pair in pairs for v in pair])
+_HIDDEN = [b for b in range(256) if not any(low <= b <= high for low, high in PRINTABLE)]
+# Byte 0 comes first and is treated apart: translate would drop it.
+_BYTES = "".join(map(chr, _HIDDEN[1:]))
+_SHOWN = "".join(chr(257 + i) for i in range(len(_HIDDEN) - 1))
+_OUTSIDE = r"[^\x21-\x7e\xa1-\xac\xae-\xff\x{100}-\x{143}]"
+LATIN = "ISO-8859-1"
 
 
 def to_byte_alphabet(text: Column) -> Column:
-    """Text written with one character per UTF-8 byte."""
-    shown = _literal_map([(code, char) for char, code in _byte_alphabet()])
-    codes = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"))
-    return F.array_join(F.transform(codes, lambda c: F.element_at(shown, c)), "")
+    """Text written with one character of the alphabet per UTF-8 byte."""
+    raw = F.decode(F.encode(text, "UTF-8"), LATIN)
+    return F.replace(F.translate(raw, _BYTES, _SHOWN), F.lit("\0"), F.lit(chr(256)))
 
 
-def token_hex(token: Column) -> Column:
-    """Bytes of a token as hex; characters outside the alphabet give nothing."""
-    codes = _literal_map(_byte_alphabet())
-    chars = F.regexp_extract_all(token, F.lit("(?s)(.)"))
-    return F.array_join(F.transform(chars, lambda c: F.try_element_at(codes, c)), "")
+def token_bytes(token: Column) -> Column:
+    """One Latin-1 character per byte of the token; characters outside the alphabet go."""
+    known = F.regexp_replace(token, _OUTSIDE, "")
+    return F.replace(F.translate(known, _SHOWN, _BYTES), F.lit(chr(256)), F.lit("\0"))
 
 
 def detokenise(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -133,18 +123,18 @@ def detokenise(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     Token bytes are looked up once per vocabulary entry. Long sequences come in parts of
     SPAN tokens; bytes of a character cut by a seam go to the earlier part.
     """
-    spelled = vocab.select(F.col("id").alias("token_id"), token_hex(F.col("token")).alias("_hex"))
+    spelled = vocab.select(F.col("id").alias("token_id"), token_bytes(F.col("token")).alias("_raw"))
     kept = tokens.where(~F.col("token_id").isin(BEGIN, PAD, END))
     coded = lookup(kept.select("seq_id", "pos", "token_id"), spelled, ["token_id"])
     part = F.floor(F.col("pos") / SPAN).alias("part")
     packed = coded.groupBy("seq_id", part).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "_hex"))).alias("items")
+        F.array_sort(F.collect_list(F.struct("pos", "_raw"))).alias("items")
     )
     joined = packed.select(
-        "seq_id", "part", F.array_join(F.transform("items", lambda i: i["_hex"]), "").alias("_all")
+        "seq_id", "part", F.array_join(F.transform("items", lambda i: i["_raw"]), "").alias("_all")
     )
     # Continuation bytes are 80..BF; a character has at most three of them.
-    head = F.regexp_extract("_all", "^(?:[89AB].){1,3}", 0)
+    head = F.regexp_extract("_all", r"^[\x80-\xbf]{1,3}", 0)
     spill = joined.where("part > 0").select(
         "seq_id", (F.col("part") - 1).alias("part"), head.alias("_tail")
     )
@@ -152,7 +142,7 @@ def detokenise(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     whole = joined.join(spill.where("_tail <> ''"), ["seq_id", "part"], "left").withColumn(
         "_all", F.concat(own, F.coalesce("_tail", F.lit("")))
     )
-    text = F.make_valid_utf8(F.unhex("_all").cast("string"))
+    text = F.make_valid_utf8(F.encode("_all", LATIN).cast("string"))
     return whole.select("seq_id", F.col("part").cast("int").alias("part"), text.alias("text"))
 
 

@@ -16,8 +16,8 @@ from leafscribe.operators.geometry import (
     region_shape,
     to_page_coords,
 )
-from leafscribe.operators.scale import ordinal
-from leafscribe.operators.suppression import nms
+from leafscribe.operators.scale import has_large_group, ordinal
+from leafscribe.operators.suppression import IMAGE_BOXES, nms
 from leafscribe.operators.tokens import error_sentinel, linear_scorer, score_lines
 
 PAGE_WIDTH, PAGE_HEIGHT = 1200.0, 1600.0
@@ -25,23 +25,23 @@ PAGE_WIDTH, PAGE_HEIGHT = 1200.0, 1600.0
 
 def regions_of(raw_regions: DataFrame) -> DataFrame:
     """Regions of each page in reading order, with the name of the group they become."""
-    decoded = decode_regions(raw_regions)
-    kept = region_shape(nms(decoded, key="anchor_idx"))
-    placed = reading_order(kept, group="image_id", key="anchor_idx")
+    # Every later step only has fewer rows per page than the raw output: one look is enough.
+    small = not has_large_group(raw_regions, ["image_id"], IMAGE_BOXES)
+    kept = region_shape(nms(decode_regions(raw_regions), key="anchor_idx", small=small))
+    placed = reading_order(kept, group="image_id", key="anchor_idx", small=small or None)
     percent = half_up(F.col("score") * 100).cast("string")
     return placed.withColumn("region_id", F.col("position").cast("int")).withColumn(
         "group_name", F.concat("label", F.lit(" ("), percent, F.lit("%)"))
     )
 
 
-def lines_of(raw_lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Line boxes on the page. raw_lines are decoded per region crop (image_id, region_id)."""
+def lines_of(raw_lines: DataFrame, regions: DataFrame, small: bool | None = None) -> DataFrame:
+    """Line boxes on the page. raw_lines are the detector's output per region crop
+    (image_id, region_id); a crop takes the place of the image in suppression."""
     cropped = crop_clamp(regions, PAGE_WIDTH, PAGE_HEIGHT)
-    # A region crop is the unit of suppression, so it takes the place of the image.
     crop = F.struct("image_id", "region_id")
     keyed = raw_lines.join(regions.select("image_id", "region_id"), ["image_id", "region_id"])
-    decoded = decode_lines(keyed.withColumn("image_id", crop))
-    kept = nms(decoded)
+    kept = nms(decode_lines(keyed.withColumn("image_id", crop)), small=small)
     flat = kept.select(
         F.col("image_id.image_id").alias("image_id"),
         F.col("image_id.region_id").alias("region_id"),
@@ -52,16 +52,17 @@ def lines_of(raw_lines: DataFrame, regions: DataFrame) -> DataFrame:
         "w",
         "h",
     )
-    return to_page_coords(flat, cropped)
+    return to_page_coords(flat, cropped.select("image_id", "region_id", "group_name", "cx", "cy"))
 
 
 def transcribe_pages(
     raw_regions: DataFrame, raw_lines: DataFrame, make_predict: Callable | None = None
 ) -> DataFrame:
     """Regions, lines, order and scored text of every page; one row per line."""
-    regions = regions_of(raw_regions)
-    lines = lines_of(raw_lines, regions)
-    numbered = ordinal(lines, ["image_id", "region_id"], ["y", "x", "det_id"], "_n")
+    small = not has_large_group(raw_lines, ["image_id", "region_id"], IMAGE_BOXES)
+    lines = lines_of(raw_lines, regions_of(raw_regions), small)
+    order = ["y", "x", "det_id"]
+    numbered = ordinal(lines, ["image_id", "region_id"], order, "_n", small=small or None)
     numbered = numbered.withColumn("line_index", (F.col("_n") - 1).cast("int")).drop("_n")
     features = numbered.withColumn(
         "_features", F.array(*[F.col(c) / 1000 for c in ("x", "y", "w", "h")])
@@ -75,10 +76,7 @@ def transcribe_pages(
             "confidence": F.coalesce("text_confidence", "det_confidence"),
         }
     ).drop("_features")
-    named = error_sentinel(read).join(
-        regions.select("image_id", "region_id", "group_name"), ["image_id", "region_id"]
-    )
-    return named.select(
+    return error_sentinel(read).select(
         "image_id", "region_id", "group_name", "line_index", "x", "y", "w", "h", "text",
         "det_confidence", "text_confidence", "confidence", "complete",
     )

@@ -224,7 +224,7 @@ def catalog_filter(v: Views) -> DataFrame:
 
 @query
 def catalog_fts(v: Views) -> DataFrame:
-    hits = C.full_text(v.documents(), "text", DOC_QUERY)
+    hits = C.full_text(v.documents().select("doc_id", "text"), "text", DOC_QUERY)
     return C.top(hits.select("doc_id", "score"), "score", "doc_id", TOP).select("doc_id", r6("score"))
 
 
@@ -237,7 +237,7 @@ def catalog_vector(v: Views) -> DataFrame:
 
 @query
 def catalog_hybrid(v: Views) -> DataFrame:
-    texts = C.full_text(v.documents(), "text", DOC_QUERY).select("doc_id", "score")
+    texts = C.full_text(v.documents().select("doc_id", "text"), "text", DOC_QUERY).select("doc_id", "score")
     vectors = v.embeddings().select(
         F.col("vec_id").alias("doc_id"),
         C.cosine(F.col("embedding"), query_vectors()["q0"]).alias("score"),
@@ -248,8 +248,8 @@ def catalog_hybrid(v: Views) -> DataFrame:
 
 
 def _record_hits(v: Views) -> DataFrame:
-    hits = C.full_text(v.catalog(), "description", RECORD_QUERY)
-    return hits.select("reference_code", "score")
+    records = v.catalog().select("reference_code", "description")
+    return C.full_text(records, "description", RECORD_QUERY)
 
 
 @query

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafscribe.functions.numbers import half_up, three_digits
 from leafscribe.functions.text import json_or_null, json_string, words, xml_escaped
 from leafscribe.operators.geometry import bounding_box
-from leafscribe.operators.scale import GROUP_ROWS, Ordered, ordinal
+from leafscribe.operators.scale import GROUP_ROWS, Ordered, has_large_group, ordinal
 
 SOFTWARE = "leafscribe"
 # Name space addresses of the two public XML formats.
@@ -42,23 +42,38 @@ def _template(pattern: str, **values: Column) -> Column:
     )
 
 
-def _assembled(fragments: DataFrame, joint: str, limit: int) -> DataFrame:
-    packed = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit).collected(
-        F.col("fragment"), "pieces"
-    )
+def _assembled(fragments: DataFrame, joint: str, limit: int, small: bool) -> DataFrame:
+    ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit, small)
+    packed = ordered.collected(F.col("fragment"), "pieces")
     return packed.select("doc_id", "part", F.array_join("pieces", joint).alias("content"))
 
 
-def _fragment(df: DataFrame, section: int, text: Column, a=None, b=None) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    place = lambda c: zero if c is None else F.col(c).cast("long")
-    return df.select(
-        "doc_id",
-        F.lit(section).alias("s"),
-        place(a).alias("a"),
-        place(b).alias("b"),
-        text.alias("fragment"),
-    )
+def _small_pages(lines: DataFrame, limit: int) -> bool:
+    """True if every page stays within the limit. A line adds at most four fragments."""
+    return not has_large_group(lines, ["doc_id"], limit // 8)
+
+
+FIRST, LAST = -1, 2**62
+
+
+def _fragments(df: DataFrame, *pieces: tuple) -> DataFrame:
+    """Fragments (section, text[, place, place inside]) of each row, in one pass."""
+
+    def place(value):
+        return (F.col(value) if isinstance(value, str) else F.lit(value)).cast("long")
+
+    made = [
+        F.struct(
+            F.lit(section).alias("s"),
+            place(where[0] if where else 0).alias("a"),
+            place(where[1] if len(where) > 1 else 0).alias("b"),
+            text.alias("fragment"),
+        )
+        for section, text, *where in pieces
+    ]
+    if len(made) == 1:
+        return df.select("doc_id", made[0].alias("f")).select("doc_id", "f.*")
+    return df.select("doc_id", F.explode(F.array(*made)).alias("f")).select("doc_id", "f.*")
 
 
 def _united(*parts: DataFrame) -> DataFrame:
@@ -121,23 +136,24 @@ def export_json(
     ).otherwise("null")
     group_head = _template('{"name":{name},"rect":{rect},"lines":[', name=name, rect=rect)
     members = done.join(groups, ["doc_id", "group_pos"], "left_semi")
-    members = members.withColumn("_b", F.col("line_pos") + 1)
-    # Kinds: o opens a list, i is an item in it, c closes one, g opens a group item.
-    parts = [
-        (_fragment(pages, 0, head), "o"),
-        (_fragment(groups, 1, group_head, "group_pos"), "g"),
-        (_fragment(members, 1, _line_json(None), "group_pos", "_b"), "i"),
-        (_fragment(groups.withColumn("_b", F.lit(2**62)), 1, F.lit("]}"), "group_pos", "_b"), "c"),
-        (_fragment(pages, 2, F.lit('],"lines":[')), "o"),
-        (_fragment(done, 3, _line_json(polygon), "line_id"), "i"),
-        (_fragment(pages, 4, F.lit("]}")), "e"),
-    ]
-    fragments = _united(*[part.withColumn("kind", F.lit(kind)) for part, kind in parts])
-    ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit)
-    ordered.neighbour("_last", F.col("kind"), -1)
-    comma = F.col("kind").isin("i", "g") & F.col("_last").isin("i", "c")
+    fragments = _united(
+        _fragments(pages, (0, head), (2, F.lit('],"lines":[')), (4, F.lit("]}"))),
+        _fragments(
+            groups, (1, group_head, "group_pos", FIRST), (1, F.lit("]}"), "group_pos", LAST)
+        ),
+        _fragments(members, (1, _line_json(None), "group_pos", "line_pos")),
+        _fragments(done, (3, _line_json(polygon), "line_id")),
+    )
+    small = _small_pages(lines, limit) and _small_pages(groups, limit)
+    ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit, small)
+    # A comma goes before every line and group, unless it is the first in its list.
+    ordered.neighbour("_s", F.col("s"), -1).neighbour("_b", F.col("b"), -1)
+    starts_item = (F.col("s") == 3) | ((F.col("s") == 1) & (F.col("b") != LAST))
+    in_group = (F.col("s") == 1) & (F.col("b") != FIRST)
+    after_item = (F.col("_s") == F.col("s")) & ~(in_group & (F.col("_b") == FIRST))
+    comma = F.concat(F.lit(","), "fragment")
     ordered.with_columns(
-        {"fragment": F.when(comma, F.concat(F.lit(","), "fragment")).otherwise(F.col("fragment"))}
+        {"fragment": F.when(starts_item & after_item, comma).otherwise(F.col("fragment"))}
     )
     packed = ordered.collected(F.col("fragment"), "pieces")
     files = pages.select("doc_id", file_name(F.col("name"), ".json").alias("file_name"))
@@ -151,22 +167,29 @@ def export_json(
 
 def alto_words(lines: DataFrame) -> DataFrame:
     """Words of each exported line with estimated places: equal widths from the line's left."""
+    # All that is the same for the words of a line is made before the line is cut.
     cut = with_text(lines).select(
-        "doc_id", "line_id", "x", "y", "w", "h", "confidence", words(F.col("text")).alias("_words")
+        "doc_id",
+        "line_id",
+        half_up(F.col("x")).alias("_left"),
+        half_up(F.col("y")).alias("vpos"),
+        half_up(F.col("h")).alias("height"),
+        three_digits(F.col("confidence")).alias("wc"),
+        "w",
+        words(F.col("text")).alias("_words"),
     )
-    width = half_up(F.col("w") / F.size("_words"))
-    rows = cut.where(F.size("_words") > 0).withColumn("width", width)
+    rows = cut.withColumn("width", half_up(F.try_divide("w", F.size("_words"))))
     flat = rows.select("*", F.posexplode("_words").alias("word_no", "word"))
     return flat.select(
         "doc_id",
         "line_id",
         "word_no",
         "word",
-        (half_up(F.col("x")) + F.col("word_no") * F.col("width")).alias("hpos"),
-        half_up(F.col("y")).alias("vpos"),
+        (F.col("_left") + F.col("word_no") * F.col("width")).alias("hpos"),
+        "vpos",
         "width",
-        half_up(F.col("h")).alias("height"),
-        three_digits(F.col("confidence")).alias("wc"),
+        "height",
+        "wc",
     )
 
 
@@ -205,7 +228,9 @@ def export_alto(
 ) -> DataFrame:
     """ALTO 4.4. The page width is the right edge of the first line and the height the bottom
     of the last one, 0 without lines."""
-    numbered = ordinal(with_text(lines), ["doc_id"], ["y", "x", "line_id"], "_n", limit)
+    small = _small_pages(lines, limit)
+    order = ["y", "x", "line_id"]
+    numbered = ordinal(with_text(lines), ["doc_id"], order, "_n", limit, small)
     numbered = numbered.withColumn("_i", F.col("_n") - 1)
     width, tail, word, pieces = _alto_line()
     built = numbered.withColumn("_width", width).withColumns({"_tail": tail, "_words": pieces})
@@ -247,12 +272,10 @@ def export_alto(
     )
     foot = "</TextBlock></PrintSpace></Page></Layout></alto>"
     fragments = _united(
-        _fragment(heads, 0, head),
-        _fragment(built, 1, line, "_i"),
-        _fragment(pages, 2, F.lit(foot)),
+        _fragments(heads, (0, head), (2, F.lit(foot))), _fragments(built, (1, line, "_i"))
     )
     files = pages.select("doc_id", file_name(F.col("name"), "_alto.xml").alias("file_name"))
-    return files.join(_assembled(fragments, "\n", limit), "doc_id")
+    return files.join(_assembled(fragments, "\n", limit, small), "doc_id")
 
 
 # PAGE -------------------------------------------------------------------------------------
@@ -291,14 +314,16 @@ def _region_lines(groups: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataF
 
 
 def page_regions(
-    groups: DataFrame, lines: DataFrame, limit: int = GROUP_ROWS
+    groups: DataFrame, lines: DataFrame, limit: int = GROUP_ROWS, small: bool | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Regions (doc_id, region, box) and their lines (doc_id, region, line_no, ...)."""
+    if small is None:
+        small = not has_large_group(lines, ["doc_id"], limit)
     region_lines, regions = _region_lines(groups, lines)
-    indexed = ordinal(regions, ["doc_id"], ["group_pos"], "_n", limit)
+    indexed = ordinal(regions, ["doc_id"], ["group_pos"], "_n", limit, small)
     indexed = indexed.withColumn("region", F.col("_n") - 1).drop("_n")
     order = ["k1", "k2", "k3", "line_id"]
-    numbered = ordinal(region_lines, ["doc_id", "group_pos"], order, "_n", limit)
+    numbered = ordinal(region_lines, ["doc_id", "group_pos"], order, "_n", limit, small)
     numbered = numbered.withColumn("line_no", F.col("_n") - 1)
     placed = numbered.join(
         indexed.select("doc_id", "group_pos", "region"), ["doc_id", "group_pos"]
@@ -322,7 +347,8 @@ def export_page(
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """PAGE XML 2019 with reading order."""
-    regions, placed = page_regions(groups, lines, limit)
+    small = _small_pages(lines, limit)
+    regions, placed = page_regions(groups, lines, limit, small)
     if "polygon" in lines.columns:
         placed = placed.join(lines.select("doc_id", "line_id", "polygon"), ["doc_id", "line_id"])
     box = [F.col(c) for c in ("x", "y", "w", "h")]
@@ -364,16 +390,20 @@ def export_page(
     reference = _template(
         '<RegionRefIndexed index="{r}" regionRef="region_{r}"/>', r=F.col("region")
     )
-    first = regions.withColumn("_b", F.lit(-1))
-    last = regions.withColumn("_b", F.lit(2**62))
     fragments = _united(
-        _fragment(pages, 0, head),
-        _fragment(regions, 1, reference, "region"),
-        _fragment(pages, 2, F.lit("</OrderedGroup></ReadingOrder>")),
-        _fragment(first, 3, opening, "region", "_b"),
-        _fragment(placed, 3, line, "region", "line_no"),
-        _fragment(last, 3, F.lit("</TextRegion>"), "region", "_b"),
-        _fragment(pages, 4, F.lit("</Page></PcGts>")),
+        _fragments(
+            pages,
+            (0, head),
+            (2, F.lit("</OrderedGroup></ReadingOrder>")),
+            (4, F.lit("</Page></PcGts>")),
+        ),
+        _fragments(
+            regions,
+            (1, reference, "region"),
+            (3, opening, "region", FIRST),
+            (3, F.lit("</TextRegion>"), "region", LAST),
+        ),
+        _fragments(placed, (3, line, "region", "line_no")),
     )
     files = pages.select("doc_id", file_name(F.col("name"), "_page.xml").alias("file_name"))
-    return files.join(_assembled(fragments, "\n", limit), "doc_id")
+    return files.join(_assembled(fragments, "\n", limit, small), "doc_id")

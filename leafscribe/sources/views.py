@@ -6,6 +6,8 @@ Each view is a lazy DataFrame over whole tables.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        # Numbered views look at group sizes when they are made: once is enough.
+        self.page_feed = cache(self.page_feed)
+        self._boxes = cache(self._boxes)
+        self.vocabulary = cache(self.vocabulary)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
