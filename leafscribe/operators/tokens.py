@@ -36,7 +36,8 @@ def trigrams(tokens: DataFrame) -> DataFrame:
         F.lead("token_id", 1).over(window).alias("b"),
         F.lead("token_id", 2).over(window).alias("c"),
     )
-    return neighbours.where("c IS NOT NULL").dropDuplicates(["seq_id", "pos"])
+    # A repeated token at the end of a span has no third neighbour there: nothing doubles.
+    return neighbours.where("c IS NOT NULL")
 
 
 def banned_next(tokens: DataFrame) -> DataFrame:
@@ -50,7 +51,9 @@ def banned_next(tokens: DataFrame) -> DataFrame:
         "seq_id", (F.col("pos") + 1).alias("last_pos"), F.col("token_id").alias("a")
     )
     tails = ends.join(before, ["seq_id", "last_pos"]).select("seq_id", "a", "b")
-    repeated = trigrams(tokens).join(tails, ["seq_id", "a", "b"])
+    # Repeated grams shrink before they meet the tail, so a monotonous sequence stays small.
+    grams = trigrams(tokens).select("seq_id", "a", "b", "c").distinct()
+    repeated = grams.join(tails, ["seq_id", "a", "b"])
     pads = ends.select("seq_id", F.lit(PAD).alias("token_id"))
     return repeated.select("seq_id", F.col("c").alias("token_id")).unionByName(pads).distinct()
 
@@ -117,6 +120,18 @@ def token_bytes(token: Column) -> Column:
     return F.replace(F.translate(known, _SHOWN, _BYTES), F.lit(chr(256)), F.lit("\0"))
 
 
+def token_text(token: Column) -> Column:
+    """Text of a single token, with replacement characters where it holds half a character."""
+    return F.make_valid_utf8(F.encode(token_bytes(token), LATIN).cast("string"))
+
+
+def decode_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Text of every token on its own; null for reserved and unknown ids."""
+    usable = vocab.where(~F.col("id").isin(BEGIN, PAD, END) & (F.col("token") != ""))
+    spelled = usable.select(F.col("id").alias("token_id"), token_text(F.col("token")).alias("text"))
+    return lookup(tokens, spelled, ["token_id"])
+
+
 def detokenise(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Text of each sequence; reserved and unknown ids give nothing.
 

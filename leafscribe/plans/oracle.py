@@ -233,6 +233,8 @@ LINE_BOXES = """(SELECT image_id, det_id, {extra} CAST(list_position(scores, lis
   FROM f_cbox WHERE list_max(scores)>=0.25)"""
 
 SQL: dict[str, str] = {
+    "image_scan": """
+SELECT page_id, ctype, n_bytes, 'upload-1' AS manifest_id, CAST(row_number() OVER (ORDER BY page_id) AS INT) AS page_number FROM f_fetch WHERE ctype LIKE 'image/%'""",
     "harvest_resolve": "SELECT page_id, manifest_id, error FROM f_oai",
     "manifest_page_count": "SELECT manifest_id, CAST(coalesce(json_array_length(manifest, '$.items'),0) AS INT) AS n_pages FROM f_manifest",
     "page_urls": f"""
@@ -399,6 +401,7 @@ WITH e AS (SELECT seq_id, pos, CASE WHEN (seq_id+pos)%97=96 THEN 2 ELSE token_id
 SELECT seq_id, pos, token_id FROM e WHERE pos<256 AND pos < coalesce((SELECT min(pos) FROM e z WHERE z.seq_id=e.seq_id AND z.token_id=2), 1000000)""",
     "vocab_load": "SELECT id, CASE WHEN id%10=0 THEN concat(word,'!') ELSE word END AS token FROM f_vocab",
     "detokenise": "SELECT seq_id, CAST(0 AS INT) AS part, concat(' ',string_agg(word,' ' ORDER BY pos)) AS text FROM f_seq GROUP BY seq_id",
+    "decode_tokens": "SELECT seq_id, pos, concat(' ',word) AS text FROM f_seq",
     "decode_timing": """
 SELECT seq, region_id AS worker, line_id AS tokens, round(CASE WHEN line_id>0 THEN value/line_id ELSE 0 END,6) AS ms_per_token, round(value/4+value,6) AS total_ms
 FROM f_event WHERE type='line_done'""",

@@ -58,7 +58,7 @@ def query(fn: Callable[[Views], DataFrame]):
 
 @query
 def image_scan(v: Views) -> DataFrame:
-    return V.image_scan(v.spark, v.folder, pattern=r"\.parquet$")
+    return V.image_upload(v.fetches(), "page_id").drop("status")
 
 
 @query
@@ -496,6 +496,15 @@ def detokenise(v: Views) -> DataFrame:
     return T.detokenise(_tokens(v), vocab)
 
 
+@query
+def decode_tokens(v: Views) -> DataFrame:
+    vocab = v.vocabulary().select(
+        "id", T.to_byte_alphabet(F.concat(F.lit(" "), "word")).alias("token")
+    )
+    found = T.decode_tokens(_tokens(v).select("seq_id", "pos", "token_id"), vocab)
+    return found.select("seq_id", "pos", "text")
+
+
 def _timed(v: Views) -> DataFrame:
     return v.events().where("type = 'line_done'").select(
         "seq",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscribe.functions.text import pad_number, trimmed
-from leafscribe.operators.scale import ordinal
+from leafscribe.operators.scale import GROUP_ROWS, ordinal
 
 # Link patterns that carry a volume id, and error texts.
 VIEWER_LINK = "bildvisning/([A-Za-z0-9]+)"
@@ -17,21 +17,42 @@ NO_PAGES = "No pages found in this volume"
 UNKNOWN_ERROR = "Unknown error"
 SMALLEST_IMAGE = 100
 
-IMAGE_FILE = r"(?i)\.(jpe?g|png|gif|webp|tiff?|bmp|avif|svg)$"
-
-
-def image_scan(
-    spark: SparkSession, folder: str, upload: int = 1, pattern: str = IMAGE_FILE
-) -> DataFrame:
-    """Files that match, as the pages of one new volume. File contents are not read."""
+IMAGE_TYPE = "image/"
+# Types of common image file endings; other files have none.
+FILE_TYPES = {
+    "jpg": "image/jpeg",
+    "jpeg": "image/jpeg",
+    "png": "image/png",
+    "gif": "image/gif",
+    "webp": "image/webp",
+    "tif": "image/tiff",
+    "tiff": "image/tiff",
+    "bmp": "image/bmp",
+    "avif": "image/avif",
+    "svg": "image/svg+xml",
+}
+
+
+def image_upload(files: DataFrame, order: str, upload: int = 1, limit: int = GROUP_ROWS):
+    """Files (name, ctype, ...) whose type is an image, as the pages of one new volume."""
+    kept = files.where(F.col("ctype").startswith(IMAGE_TYPE))
+    kept = kept.withColumn("manifest_id", F.lit(f"upload-{upload}"))
+    numbered = ordinal(kept, ["manifest_id"], [order], "page_number", limit)
+    return numbered.withColumn("page_number", F.col("page_number").cast("int"))
+
+
+def scan_folder(spark: SparkSession, folder: str, upload: int = 1) -> DataFrame:
+    """The image files of a folder by path, as a new volume. File contents are not read."""
     found = spark.read.format("binaryFile").load(folder).select("path", "length")
-    kept = ordinal(found.where(F.col("path").rlike(pattern)), [], ["path"], "page_number")
-    return kept.select(
-        F.lit(f"upload-{upload}").alias("manifest_id"),
-        F.col("page_number").cast("int").alias("page_number"),
+    ending = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    types = F.create_map(*[F.lit(v) for pair in FILE_TYPES.items() for v in pair])
+    typed = found.select(
+        "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.try_element_at(types, ending).alias("ctype"),
         F.col("length").alias("n_bytes"),
     )
+    return image_upload(typed, "path", upload)
 
 
 def _volume_in(link: Column) -> Column:
