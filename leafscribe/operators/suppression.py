@@ -85,13 +85,15 @@ def _cell_range(centre: Column, reach: Column, edge: Column) -> Column:
     )
 
 
-def _in_rounds(boxes: DataFrame, key: str, max_iou: float) -> DataFrame:
+def _in_rounds(boxes: DataFrame, key: str, max_iou: float, limit: int) -> DataFrame:
     """Rounds for images too large to gather.
 
     Boxes live in buckets: size class of width and height (two boxes above the threshold differ
     at most by one class) and grid cell of the centre. Each bucket names its best open box,
-    its champion. A champion no worse than the champions of all buckets within reach has
-    no better open box that could drop it: it is kept, and boxes it covers are dropped.
+    its champion, and every box meets the champions that reach its bucket, a bounded number. A
+    champion that no better open box covers is kept, and the boxes it covers are dropped.
+    What is open then depends on open boxes only, so the rounds end with a fold as soon as
+    no image has more than `limit` of them.
     """
     # A little slack on classes and reach against rounding at their borders.
     base = 1.001 / max_iou
@@ -113,60 +115,42 @@ def _in_rounds(boxes: DataFrame, key: str, max_iou: float) -> DataFrame:
     bucket = ["image_id", "cw", "ch", "gx", "gy"]
     order = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))
     full = F.struct(order.alias("o"), *[F.col(c) for c in ("x", "y", "w", "h", "mx", "my")])
+    mine = box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     open_boxes = pin(placed)
     kept = None
-    while not open_boxes.isEmpty():
+    while has_large_group(open_boxes, ["image_id"], limit):
         champions = open_boxes.groupBy(*bucket).agg(F.min_by(full, order).alias("c"))
-        reached = champions
+        reached = champions.select("image_id", "c", "cw", "ch")
         for cls, ext, mid, cell in (("cw", "w", "mx", "gx"), ("ch", "h", "my", "gy")):
             near = F.explode(F.sequence(F.col(cls) - 1, F.col(cls) + 1))
-            reached = reached.withColumn("n_" + cls, near).withColumn(
-                "n_" + cell,
-                F.explode(
-                    _cell_range(
-                        F.col("c." + mid),
-                        (F.col("c." + ext) + 1.001 * edge(F.col("n_" + cls))) / 2,
-                        edge(F.col("n_" + cls)),
-                    )
-                ),
+            reach = (F.col("c." + ext) + 1.001 * edge(F.col(cls))) / 2
+            cells = _cell_range(F.col("c." + mid), reach, edge(F.col(cls)))
+            reached = reached.withColumn(cls, near).withColumn(cell, F.explode(cells))
+        if reached.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+            reached = F.broadcast(reached)
+        met = open_boxes.join(reached, bucket).where(iou(mine, F.col("c")) > max_iou)
+        met = pin(met.select("image_id", key, "c", (order < F.col("c.o")).alias("better")))
+        safe = met.groupBy("image_id", "c").agg(F.bool_or("better").alias("beaten"))
+        safe = safe.where("NOT beaten").select("image_id", "c")
+        winners = pin(
+            safe.select(
+                "image_id",
+                F.col("c.o.k").alias(key),
+                (-F.col("c.o.s")).alias("score"),
+                "c.x",
+                "c.y",
+                "c.w",
+                "c.h",
             )
-        near_bucket = ["image_id"] + ["n_" + c for c in bucket[1:]]
-        rivals = reached.select(*near_bucket, "c", *bucket[1:]).join(
-            champions.select(
-                "image_id", *[F.col(c).alias("n_" + c) for c in bucket[1:]], F.col("c.o").alias("other")
-            ),
-            near_bucket,
-        )
-        safe = (
-            rivals.groupBy(*bucket)
-            .agg(F.min("other").alias("other"), F.first("c").alias("c"))
-            .where("other >= c.o")
-            .select(*bucket, "c")
-        )
-        safe = pin(safe)
-        winners = safe.select(
-            "image_id",
-            F.col("c.o.k").alias(key),
-            (-F.col("c.o.s")).alias("score"),
-            "c.x",
-            "c.y",
-            "c.w",
-            "c.h",
         )
         kept = winners if kept is None else kept.unionByName(winners)
-        spread = reached.select(*near_bucket, "c", *bucket[1:]).join(
-            safe.select(*bucket), bucket, "left_semi"
-        )
-        covers = spread.select(
-            "image_id", *[F.col("n_" + c).alias(c) for c in bucket[1:]], F.col("c").alias("by")
-        )
-        if covers.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
-            covers = F.broadcast(covers)
-        mine = box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-        covered = (iou(mine, F.col("by")) > max_iou) | (order == F.col("by.o"))
-        marks = open_boxes.join(covers, bucket).where(covered).select("image_id", key).distinct()
+        # A kept box meets itself too, and leaves with the boxes it covers.
+        by = winners.select("image_id", F.col(key).alias("_by"))
+        covered = met.withColumn("_by", F.col("c.o.k")).join(by, ["image_id", "_by"], "left_semi")
+        marks = covered.select("image_id", key).distinct()
         open_boxes = pin(open_boxes.join(marks, ["image_id", key], "left_anti"))
-    return kept
+    rest = _folded(open_boxes, key, max_iou)
+    return rest if kept is None else kept.unionByName(rest)
 
 
 def nms(
@@ -181,10 +165,13 @@ def nms(
 
     `small` tells whether all images are known to have at most `limit` boxes; None looks.
     """
-    columns = ["image_id", key, "score", "x", "y", "w", "h"]
-    wanted = boxes.select(*columns)
+    if max_iou <= 0:
+        raise ValueError("max_iou must be above 0")
+    wanted = boxes.select("image_id", key, "score", "x", "y", "w", "h")
     if min_score is not None:
         wanted = wanted.where(F.col("score") >= min_score)
+    if max_iou >= 1:
+        return wanted
     if small is None:
         small = not has_large_group(wanted, ["image_id"], limit)
     if small:
@@ -193,9 +180,4 @@ def nms(
     # Boxes without area overlap nothing: kept without a look at the others.
     flat = wanted.where(~can_suppress(mine))
     single = _distinct_boxes(wanted.where(can_suppress(mine)), key)
-    sizes = single.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > limit).select("image_id")
-    few = single.join(large, "image_id", "left_anti")
-    many = single.join(large, "image_id", "left_semi")
-    result = _folded(few, key, max_iou).unionByName(flat)
-    return result.unionByName(_in_rounds(many, key, max_iou)) if not large.isEmpty() else result
+    return _in_rounds(single, key, max_iou, limit).unionByName(flat)
