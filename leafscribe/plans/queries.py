@@ -117,7 +117,7 @@ def route_sources(v: Views) -> DataFrame:
 
 
 def _saved(v: Views) -> DataFrame:
-    lines = v.lines()
+    lines = v.numbered_lines()
     rows = S.serialize_for_save(lines, v.groups(lines))
     moment = "timestampadd(SECOND, CAST(doc_id*60+line_index AS INT), TIMESTAMP'2024-01-01 00:00:00')"
     return rows.withColumns(
@@ -151,13 +151,13 @@ def list_saved(v: Views) -> DataFrame:
 
 @query
 def serialize_for_save(v: Views) -> DataFrame:
-    lines = v.lines()
+    lines = v.numbered_lines()
     return S.serialize_for_save(lines, v.groups(lines))
 
 
 @query
 def changed_volumes(v: Views) -> DataFrame:
-    lines = v.lines()
+    lines = v.numbered_lines()
     groups = v.groups(lines)
     # The later snapshot: volumes with an even number have edited texts.
     even = F.col("manifest_id").rlike("[02468]$") & (F.col("doc_id") % 3 == 0)
@@ -583,7 +583,7 @@ def page_transcription(v: Views) -> DataFrame:
 
 @query
 def hydrate(v: Views) -> DataFrame:
-    lines = v.lines()
+    lines = v.numbered_lines()
     groups = v.groups(lines)
     saved = S.serialize_for_save(lines, groups)
     pages = v.pages().withColumn("line_counter", (F.col("doc_id") % 5).cast("int"))

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leafscribe.functions.numbers import half_up, three_digits
 from leafscribe.functions.text import json_or_null, json_string, words, xml_escaped
@@ -193,30 +194,41 @@ def alto_words(lines: DataFrame) -> DataFrame:
     )
 
 
-def _alto_line() -> Column:
-    pieces = words(F.col("text"))
-    width = F.when(F.size(pieces) > 0, half_up(F.col("w") / F.size(pieces))).otherwise(F.lit(0))
-    tail = _template(
-        '" WIDTH="{width}" HEIGHT="{h}" WC="{wc}"/>',
-        width=F.col("_width"),
-        h=half_up(F.col("h")),
-        wc=three_digits(F.col("confidence")),
+def _alto_lines(numbered: DataFrame) -> DataFrame:
+    """Adds the element `_line` of each line. Text is escaped before it is cut and all that is
+    equal for the words of a line is made once, so a word costs one concat."""
+    box = {c: half_up(F.col(c)) for c in ("x", "y", "w", "h")}
+    cut = numbered.withColumn("_words", words(xml_escaped(F.col("text"))))
+    cut = cut.withColumns(
+        {
+            "_left": box["x"],
+            "_width": half_up(F.try_divide("w", F.size("_words"))),
+            "_start": _template('<String ID="string_{i}_', i=F.col("_i")),
+        }
+    ).withColumn(
+        "_end",
+        _template(
+            '" VPOS="{y}" WIDTH="{width}" HEIGHT="{h}" WC="{wc}"/>',
+            y=box["y"],
+            width=F.col("_width"),
+            h=box["h"],
+            wc=three_digits(F.col("confidence")),
+        ),
     )
 
     def word(item: Column, at: Column) -> Column:
-        return F.concat(
-            _template('<String ID="string_{i}_', i=F.col("_i")),
-            _template(
-                '{at}" CONTENT="{word}" HPOS="{x}" VPOS="{y}',
-                at=at,
-                word=xml_escaped(item),
-                x=half_up(F.col("x")) + at * F.col("_width"),
-                y=half_up(F.col("y")),
-            ),
-            F.col("_tail"),
-        )
+        hpos = F.col("_left") + at * F.col("_width")
+        content, place = F.lit('" CONTENT="'), F.lit('" HPOS="')
+        return F.concat("_start", at.cast("string"), content, item, place, hpos.cast("string"), "_end")
 
-    return width, tail, word, pieces
+    head = _template(
+        '<TextLine ID="line_{i}" HPOS="{x}" VPOS="{y}" WIDTH="{w}" HEIGHT="{h}">\n',
+        i=F.col("_i"),
+        **box,
+    )
+    strings = F.array_join(F.transform("_words", word), "\n")
+    line = F.concat(head, F.coalesce(strings, F.lit("")), F.lit("\n</TextLine>"))
+    return cut.withColumn("_line", line)
 
 
 def export_alto(
@@ -228,28 +240,22 @@ def export_alto(
 ) -> DataFrame:
     """ALTO 4.4. The page width is the right edge of the first line and the height the bottom
     of the last one, 0 without lines."""
-    small = _small_pages(lines, limit)
+    small = not has_large_group(lines, ["doc_id"], limit)
     order = ["y", "x", "line_id"]
     numbered = ordinal(with_text(lines), ["doc_id"], order, "_n", limit, small)
     numbered = numbered.withColumn("_i", F.col("_n") - 1)
-    width, tail, word, pieces = _alto_line()
-    built = numbered.withColumn("_width", width).withColumns({"_tail": tail, "_words": pieces})
-    box = {c: half_up(F.col(c)) for c in ("x", "y", "w", "h")}
-    line = F.concat(
-        _template(
-            '<TextLine ID="line_{i}" HPOS="{x}" VPOS="{y}" WIDTH="{w}" HEIGHT="{h}">\n',
-            i=F.col("_i"),
-            **box,
-        ),
-        F.array_join(F.transform("_words", word), "\n"),
-        F.lit("\n</TextLine>"),
-    )
-    place = F.struct("y", "x", "line_id")
-    sizes = with_text(lines).groupBy("doc_id").agg(
-        F.min_by(F.col("x") + F.col("w"), place).alias("_right"),
-        F.max_by(F.col("y") + F.col("h"), place).alias("_bottom"),
-    )
-    heads = pages.join(sizes, "doc_id", "left")
+    built = _alto_lines(numbered)
+    ends = [
+        F.min_by(F.col("x") + F.col("w"), "_i").alias("_right"),
+        F.max_by(F.col("y") + F.col("h"), "_i").alias("_bottom"),
+    ]
+    if small:
+        # The lines are already together by page: numbered, joined and measured in one shuffle.
+        text = F.array_sort(F.collect_list(F.struct("_i", "_line")))
+        bodies = built.groupBy("doc_id").agg(*ends, text.alias("_lines"))
+        heads = pages.join(bodies, "doc_id", "left")
+    else:
+        heads = pages.join(built.groupBy("doc_id").agg(*ends), "doc_id", "left")
     size = lambda c: F.coalesce(half_up(F.col(c)), F.lit(0).cast("long"))
     head = _template(
         "\n".join(
@@ -271,11 +277,16 @@ def export_alto(
         bottom=size("_bottom"),
     )
     foot = "</TextBlock></PrintSpace></Page></Layout></alto>"
+    name = file_name(F.col("name"), "_alto.xml").alias("file_name")
+    if small:
+        body = F.array_join(F.transform("_lines", lambda i: i["_line"]), "\n")
+        content = F.concat_ws("\n", head, body, F.lit(foot))
+        return heads.select("doc_id", name, F.lit(0).alias("part"), content.alias("content"))
     fragments = _united(
-        _fragments(heads, (0, head), (2, F.lit(foot))), _fragments(built, (1, line, "_i"))
+        _fragments(heads, (0, head), (2, F.lit(foot))),
+        _fragments(built, (1, F.col("_line"), "_i")),
     )
-    files = pages.select("doc_id", file_name(F.col("name"), "_alto.xml").alias("file_name"))
-    return files.join(_assembled(fragments, "\n", limit, small), "doc_id")
+    return pages.select("doc_id", name).join(_assembled(fragments, "\n", limit, False), "doc_id")
 
 
 # PAGE -------------------------------------------------------------------------------------
@@ -288,9 +299,8 @@ def _region_lines(groups: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataF
     takes all its lines as a single region (group_pos null).
     """
     kept = with_text(lines)
-    grouped = kept.where("group_pos IS NOT NULL")
-    bare = kept.join(grouped.select("doc_id").distinct(), "doc_id", "left_anti")
-    members = grouped.join(groups.select("doc_id", "group_pos"), ["doc_id", "group_pos"])
+    members = kept.join(groups.select("doc_id", "group_pos"), ["doc_id", "group_pos"])
+    bare = kept.join(members.select("doc_id").distinct(), "doc_id", "left_anti")
     region_lines = members.select(
         "doc_id", "group_pos", F.lit(0.0).alias("k1"), F.lit(0.0).alias("k2"),
         F.col("line_pos").cast("long").alias("k3"), "line_id", "x", "y", "w", "h", "text", "confidence",
@@ -313,17 +323,62 @@ def _region_lines(groups: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataF
     return region_lines, regions
 
 
+def _regions_by_page(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """As `page_regions` for pages of ordinary size, lines and region boxes side by side.
+    All windows share the partitioning by page: one shuffle for everything."""
+    held = groups.select("doc_id", "group_pos", "rx", "ry", "rw", "rh", F.lit(True).alias("_in"))
+    kept = with_text(lines).join(held, ["doc_id", "group_pos"], "left")
+    page = Window.partitionBy("doc_id")
+    inside = F.coalesce("_in", F.lit(False))
+    kept = kept.withColumns({"_in": inside, "_any": F.max(inside).over(page)})
+    kept = kept.where("_in OR NOT _any").withColumns(
+        {
+            "group_pos": F.when(F.col("_in"), F.col("group_pos")).otherwise(-1),
+            "_k1": F.when(~F.col("_in"), F.col("y")),
+            "_k2": F.when(~F.col("_in"), F.col("x")),
+            "_k3": F.when(F.col("_in"), F.col("line_pos")),
+        }
+    )
+    region = Window.partitionBy("doc_id", "group_pos")
+    order = region.orderBy("_k1", "_k2", "_k3", "line_id")
+    right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    has_box = F.col("rx").isNotNull()
+    bound = {
+        "x": F.min("x").over(region),
+        "y": F.min("y").over(region),
+        "w": F.max(right).over(region) - F.min("x").over(region),
+        "h": F.max(bottom).over(region) - F.min("y").over(region),
+    }
+    return kept.withColumns(
+        {
+            "line_no": (F.row_number().over(order) - 1).cast("long"),
+            "n_lines": F.count(F.lit(1)).over(region),
+            "region": (F.dense_rank().over(page.orderBy("group_pos")) - 1).cast("long"),
+            **{
+                "region_" + c: F.when(has_box, F.col("r" + c)).otherwise(value)
+                for c, value in bound.items()
+            },
+        }
+    )
+
+
 def page_regions(
-    groups: DataFrame, lines: DataFrame, limit: int = GROUP_ROWS, small: bool | None = None
+    groups: DataFrame, lines: DataFrame, limit: int = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """Regions (doc_id, region, box) and their lines (doc_id, region, line_no, ...)."""
-    if small is None:
-        small = not has_large_group(lines, ["doc_id"], limit)
+    if not has_large_group(lines, ["doc_id"], limit):
+        both = _regions_by_page(groups, lines)
+        box = [F.col("region_" + c).alias(c) for c in ("x", "y", "w", "h")]
+        return both.where("line_no = 0").select("doc_id", "group_pos", "region", *box), both
+    return _regions_spread(groups, lines, limit)
+
+
+def _regions_spread(groups, lines, limit) -> tuple[DataFrame, DataFrame]:
     region_lines, regions = _region_lines(groups, lines)
-    indexed = ordinal(regions, ["doc_id"], ["group_pos"], "_n", limit, small)
+    indexed = ordinal(regions, ["doc_id"], ["group_pos"], "_n", limit)
     indexed = indexed.withColumn("region", F.col("_n") - 1).drop("_n")
     order = ["k1", "k2", "k3", "line_id"]
-    numbered = ordinal(region_lines, ["doc_id", "group_pos"], order, "_n", limit, small)
+    numbered = ordinal(region_lines, ["doc_id", "group_pos"], order, "_n", limit)
     numbered = numbered.withColumn("line_no", F.col("_n") - 1)
     placed = numbered.join(
         indexed.select("doc_id", "group_pos", "region"), ["doc_id", "group_pos"]
@@ -347,10 +402,14 @@ def export_page(
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """PAGE XML 2019 with reading order."""
-    small = _small_pages(lines, limit)
-    regions, placed = page_regions(groups, lines, limit, small)
-    if "polygon" in lines.columns:
-        placed = placed.join(lines.select("doc_id", "line_id", "polygon"), ["doc_id", "line_id"])
+    small = not has_large_group(lines, ["doc_id"], limit)
+    if small:
+        placed = _regions_by_page(groups, lines)
+    else:
+        regions, placed = _regions_spread(groups, lines, limit)
+        if "polygon" in lines.columns:
+            shapes = lines.select("doc_id", "line_id", "polygon")
+            placed = placed.join(shapes, ["doc_id", "line_id"])
     box = [F.col(c) for c in ("x", "y", "w", "h")]
     points = corners(*box)
     if "polygon" in lines.columns:
@@ -368,11 +427,12 @@ def export_page(
         conf=three_digits(F.col("confidence")),
         text=xml_escaped(F.col("text")),
     )
+    region_box = [F.col("region_" + c) for c in ("x", "y", "w", "h")] if small else box
     opening = _template(
         '<TextRegion id="region_{r}" custom="readingOrder {index:{r};}">\n'
         '<Coords points="{points}"/>',
         r=F.col("region"),
-        points=corners(*box),
+        points=corners(*region_box),
     )
     head = _template(
         "\n".join(
@@ -390,20 +450,31 @@ def export_page(
     reference = _template(
         '<RegionRefIndexed index="{r}" regionRef="region_{r}"/>', r=F.col("region")
     )
+    middle, foot = F.lit("</OrderedGroup></ReadingOrder>"), F.lit("</Page></PcGts>")
+    name = file_name(F.col("name"), "_page.xml").alias("file_name")
+    closing = F.lit("</TextRegion>")
+    if small:
+        first, last = F.col("line_no") == 0, F.col("line_no") + 1 == F.col("n_lines")
+        text = F.concat_ws("\n", F.when(first, opening), line, F.when(last, closing))
+        made = placed.select(
+            "doc_id", "region", "line_no", text.alias("_text"), F.when(first, reference).alias("_ref")
+        )
+        item = F.struct("region", "line_no", "_text", "_ref")
+        bodies = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        joined = pages.join(bodies, "doc_id", "left")
+        # array_join leaves nulls out, so only first lines add a reference.
+        references = F.array_join(F.transform("_items", lambda i: i["_ref"]), "\n")
+        body = F.array_join(F.transform("_items", lambda i: i["_text"]), "\n")
+        content = F.concat_ws("\n", head, references, middle, body, foot)
+        return joined.select("doc_id", name, F.lit(0).alias("part"), content.alias("content"))
     fragments = _united(
-        _fragments(
-            pages,
-            (0, head),
-            (2, F.lit("</OrderedGroup></ReadingOrder>")),
-            (4, F.lit("</Page></PcGts>")),
-        ),
+        _fragments(pages, (0, head), (2, middle), (4, foot)),
         _fragments(
             regions,
             (1, reference, "region"),
             (3, opening, "region", FIRST),
-            (3, F.lit("</TextRegion>"), "region", LAST),
+            (3, closing, "region", LAST),
         ),
         _fragments(placed, (3, line, "region", "line_no")),
     )
-    files = pages.select("doc_id", file_name(F.col("name"), "_page.xml").alias("file_name"))
-    return files.join(_assembled(fragments, "\n", limit, small), "doc_id")
+    return pages.select("doc_id", name).join(_assembled(fragments, "\n", limit, False), "doc_id")

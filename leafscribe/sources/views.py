@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from leafscribe.operators.scale import ordinal
 
 
+VOLUME = """CASE WHEN doc_id%50=7 THEN NULL WHEN source='src1' THEN 'upload-1' ELSE source END"""
+
+
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
         # Numbered views look at group sizes when they are made: once is enough.
-        self.page_feed = cache(self.page_feed)
+        self.page_numbers = cache(self.page_numbers)
         self._boxes = cache(self._boxes)
         self.vocabulary = cache(self.vocabulary)
 
@@ -34,22 +37,21 @@ class Views:
 
     # Pages, lines, groups ------------------------------------------------------------
 
-    def page_feed(self) -> DataFrame:
-        """Pages with the text their lines are cut from."""
-        docs = self.documents().select("doc_id", "source", F.col("text").alias("body"))
-        numbered = ordinal(docs, ["source"], ["doc_id"], "page_number")
-        return numbered.selectExpr(
+    def page_numbers(self) -> DataFrame:
+        """Position of each document in its source; texts stay out of this shuffle."""
+        keys = self.documents().select("doc_id", "source")
+        numbered = ordinal(keys, ["source"], ["doc_id"], "page_number")
+        return numbered.withColumn("page_number", F.col("page_number").cast("int"))
+
+    def pages(self) -> DataFrame:
+        """All pages; those of the volume `web` have no lines yet."""
+        cut = self.page_numbers().selectExpr(
             "doc_id",
-            """CASE WHEN doc_id%50=7 THEN NULL WHEN source='src1' THEN 'upload-1'
-                    ELSE source END AS manifest_id""",
-            "CAST(page_number AS INT) AS page_number",
+            f"{VOLUME} AS manifest_id",
+            "page_number",
             "concat(source,'_',lpad(CAST(doc_id AS STRING),5,'0'),'.jpg') AS name",
             "doc_id%9=0 AS pending",
-            "body",
         )
-
-    def pages(self) -> DataFrame:
-        """All pages; those of the volume `web` have no lines yet."""
         blank = self.table("pages").selectExpr(
             "-1-page_id AS doc_id",
             "'web' AS manifest_id",
@@ -57,18 +59,20 @@ class Views:
             "concat('web_',lpad(CAST(page_id AS STRING),5,'0'),'.jpg') AS name",
             "page_id%9=0 AS pending",
         )
-        return self.page_feed().drop("body").unionByName(blank)
+        return cut.unionByName(blank)
+
+    def numbered_lines(self) -> DataFrame:
+        """Lines with the number of their page."""
+        return self.lines().join(self.page_numbers().select("doc_id", "page_number"), "doc_id")
 
     def lines(self) -> DataFrame:
-        cut = self.page_feed().select(
-            "manifest_id",
-            "page_number",
+        cut = self.documents().select(
+            F.expr(VOLUME).alias("manifest_id"),
             "doc_id",
-            F.posexplode(F.split("body", "\n")).alias("line_id", "txt"),
+            F.posexplode(F.split("text", "\n")).alias("line_id", "txt"),
         )
         return cut.selectExpr(
             "manifest_id",
-            "page_number",
             "doc_id",
             "line_id",
             """CASE WHEN doc_id%6=1 OR line_id%9=8 THEN NULL

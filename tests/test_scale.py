@@ -140,7 +140,7 @@ def test_smoothed_rate_blocks(spark):
 
 
 def test_workspace_paths(views):
-    lines = views.lines().cache()
+    lines = views.numbered_lines().cache()
     pages = views.pages().cache()
     groups = views.groups(lines).cache()
     assert rows(G.reading_order(lines, limit=3)) == rows(G.reading_order(lines))

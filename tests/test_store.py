@@ -7,7 +7,7 @@ from leafscribe.sources import store as S
 
 
 def saved(views):
-    lines = views.lines()
+    lines = views.numbered_lines()
     return S.serialize_for_save(lines, views.groups(lines))
 
 
@@ -60,7 +60,7 @@ def test_drop_partition(spark, views, tmp_path):
 
 
 def test_first_volume_only(views):
-    lines = views.lines()
+    lines = views.numbered_lines()
     groups = views.groups(lines)
     only = S.serialize_for_save(lines, groups, first_volume_only=True)
     assert only.select("manifest_id").distinct().count() == 1
