@@ -20,7 +20,7 @@ from leafscribe.functions.boxes import (
     sigmoid,
 )
 from leafscribe.functions.numbers import half_up
-from leafscribe.operators.scale import GROUP_ROWS, Ordered, ordinal
+from leafscribe.operators.scale import GROUP_ROWS, Ordered, has_large_group, ordinal
 
 # Anchor strides, input size and thresholds of the two detectors.
 STRIDES = (8, 16, 32)
@@ -377,12 +377,18 @@ def _cells(low, high):
 
 
 def hit_test(
-    points: DataFrame, lines: DataFrame, group: str = "doc_id", key: str = "line_id", salts: int = 8
+    points: DataFrame,
+    lines: DataFrame,
+    group: str = "doc_id",
+    key: str = "line_id",
+    limit: int = GROUP_ROWS,
+    salts: int = 32,
 ) -> DataFrame:
     """For each point the first line that contains it, else -1.
 
     Copies of the same shape keep only their first line and copies of the same point are
-    asked once. Points and shapes then meet in grid cells; each cell is split over `salts` tasks.
+    asked once. Points and shapes then meet in grid cells. If a cell has more than `limit`
+    points, cells are split over `salts` tasks.
     """
     has_polygon = "polygon" in lines.columns
     shape = ["x", "y", "w", "h"] + (["polygon"] if has_polygon else [])
@@ -408,17 +414,18 @@ def hit_test(
         .where("_x2 >= _x1 AND _y2 >= _y1")
         .withColumn("_cx", F.explode(_cells(F.col("_x1"), F.col("_x2"))))
         .withColumn("_cy", F.explode(_cells(F.col("_y1"), F.col("_y2"))))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     asked = points.select(group, "px", "py").distinct()
+    cell = [group, "_cx", "_cy"]
     placed = asked.withColumns(
-        {
-            "_cx": F.floor(F.col("px") / CELL),
-            "_cy": F.floor(F.col("py") / CELL),
-            "_salt": F.pmod(F.xxhash64("px", "py"), F.lit(salts)).cast("int"),
-        }
+        {"_cx": F.floor(F.col("px") / CELL), "_cy": F.floor(F.col("py") / CELL)}
     )
-    met = placed.join(shapes, [group, "_cx", "_cy", "_salt"])
+    if has_large_group(placed, cell, limit):
+        salt = F.pmod(F.xxhash64("px", "py"), F.lit(salts)).cast("int")
+        placed = placed.withColumn("_salt", salt)
+        shapes = shapes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        cell = [*cell, "_salt"]
+    met = placed.join(shapes, cell)
     polygon = F.col("polygon") if has_polygon else F.lit(None).cast(POLYGON)
     inside = in_shape(
         F.col("px"), F.col("py"), polygon, box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))

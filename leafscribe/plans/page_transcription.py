@@ -14,7 +14,6 @@ from leafscribe.operators.geometry import (
     decode_regions,
     reading_order,
     region_shape,
-    to_page_coords,
 )
 from leafscribe.operators.scale import has_large_group, ordinal
 from leafscribe.operators.suppression import IMAGE_BOXES, nms
@@ -39,20 +38,23 @@ def lines_of(raw_lines: DataFrame, regions: DataFrame, small: bool | None = None
     """Line boxes on the page. raw_lines are the detector's output per region crop
     (image_id, region_id); a crop takes the place of the image in suppression."""
     cropped = crop_clamp(regions, PAGE_WIDTH, PAGE_HEIGHT)
-    crop = F.struct("image_id", "region_id")
-    keyed = raw_lines.join(regions.select("image_id", "region_id"), ["image_id", "region_id"])
+    origin = [F.col("cx").alias("crop_x"), F.col("cy").alias("crop_y")]
+    held = cropped.select("image_id", "region_id", "group_name", *origin)
+    # What belongs to the crop rides along in its key, so regions are joined only once.
+    crop = F.struct("image_id", "region_id", "group_name", "crop_x", "crop_y")
+    keyed = raw_lines.join(held, ["image_id", "region_id"])
     kept = nms(decode_lines(keyed.withColumn("image_id", crop)), small=small)
-    flat = kept.select(
-        F.col("image_id.image_id").alias("image_id"),
-        F.col("image_id.region_id").alias("region_id"),
+    return kept.select(
+        "image_id.image_id",
+        "image_id.region_id",
+        "image_id.group_name",
         "det_id",
         F.col("score").alias("det_confidence"),
-        "x",
-        "y",
+        (F.col("x") + F.col("image_id.crop_x")).alias("x"),
+        (F.col("y") + F.col("image_id.crop_y")).alias("y"),
         "w",
         "h",
     )
-    return to_page_coords(flat, cropped.select("image_id", "region_id", "group_name", "cx", "cy"))
 
 
 def transcribe_pages(

@@ -131,8 +131,9 @@ def inflight_gauge(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     )
 
 
-def stage_transitions(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Changes between transcribing and done per image; open regions live in a JSON map."""
+def _image_states(events: DataFrame, ttl_ms: int | None) -> DataFrame:
+    """Stage, lines under way and open regions of each image after every opening and line_done.
+    The lines left per open region live in a JSON map."""
 
     def step(held, row):
         import json
@@ -152,14 +153,13 @@ def stage_transitions(events: DataFrame, ttl_ms: int | None = None) -> DataFrame
                 if regions[region] <= 0:
                     del regions[region]
         now = "transcribing" if in_flight > 0 or regions else "done"
-        made = [(row.seq, stage, now)] if now != stage else []
-        return (now, in_flight, json.dumps(regions)), made
+        return (now, in_flight, json.dumps(regions)), [(row.seq, stage, now, len(regions))]
 
     used = events.where(F.col("type").isin("region_lines", "line_done"))
     return _folded(
         used.select("image_id", "region_id", "seq", "type", "total"),
         ["image_id"],
-        "image_id long, seq long, previous string, stage string",
+        "image_id long, seq long, previous string, stage string, open_regions long",
         "stage string, in_flight long, regions string",
         ("idle", 0, "{}"),
         step,
@@ -167,6 +167,17 @@ def stage_transitions(events: DataFrame, ttl_ms: int | None = None) -> DataFrame
     )
 
 
+def stage_transitions(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Changes between transcribing and done per image."""
+    return _image_states(events, ttl_ms).where("stage <> previous").drop("open_regions")
+
+
+def active_images(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Open regions of an image after each of its events; it is active while there are any."""
+    states = _image_states(events, ttl_ms).select("image_id", "seq", "open_regions")
+    return states.withColumn("active", F.col("open_regions") > 0)
+
+
 def drop_cancelled(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Tokens and results are dropped from a cancel until the next region_lines."""
 

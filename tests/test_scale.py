@@ -144,12 +144,20 @@ def test_workspace_paths(views):
     pages = views.pages().cache()
     groups = views.groups(lines).cache()
     assert rows(G.reading_order(lines, limit=3)) == rows(G.reading_order(lines))
+    points = views.points()
+    assert rows(G.hit_test(points, lines, limit=1)) == rows(G.hit_test(points, lines))
     assert rows(W.page_nav(pages, 3)) == rows(W.page_nav(pages))
     assert rows(W.line_nav(lines, 3)) == rows(W.line_nav(lines))
     assert rows(W.pages_to_process(pages, lines, 3)) == rows(W.pages_to_process(pages, lines))
     assert rows(S.serialize_for_save(lines, groups, limit=2)) == rows(
         S.serialize_for_save(lines, groups)
     )
+    regions = lines.select(F.col("doc_id").alias("image_id"), F.coalesce("group_pos", F.lit(-1)).alias("region_id"))
+    assert rows(G.start_index(regions, 2)) == rows(G.start_index(regions))
+    saved = S.serialize_for_save(lines, groups)
+    filled = groups.where("group_pos >= 1")
+    counted = pages.withColumn("line_counter", F.lit(3))
+    assert rows(W.hydrate(counted, filled, saved, limit=2)) == rows(W.hydrate(counted, filled, saved))
 
 
 @pytest.mark.parametrize("kind", ["text", "json", "alto", "page"])

@@ -41,6 +41,12 @@ def test_stateful(spark, views, feed, tmp_path, name):
     assert rows(found) == rows(expected)
 
 
+def test_active_images(spark, views, feed, tmp_path):
+    found = drained(R.active_images(R.read_events(spark, feed)), spark, "active", tmp_path)
+    expected = E.stages(views.events()).select("image_id", "seq", "open_regions")
+    assert rows(found.drop("active")) == rows(expected)
+
+
 def test_smoothed_rate(spark, views, feed, tmp_path):
     found = drained(R.smoothed_rate(R.read_events(spark, feed)), spark, "rates", tmp_path)
     done = views.events().where("type = 'line_done'").select("image_id", "seq", "ts")
