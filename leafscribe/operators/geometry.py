@@ -387,8 +387,9 @@ def hit_test(
     """For each point the first line that contains it, else -1.
 
     Copies of the same shape keep only their first line and copies of the same point are
-    asked once. Points and shapes then meet in grid cells. If a cell has more than `limit`
-    points, cells are split over `salts` tasks.
+    asked once. Points and shapes then meet in grid cells. If a page has more than `limit`
+    points or lines, shapes behind a box that covers their whole cell are left out of it
+    (they can never be first), and cells are split over `salts` tasks.
     """
     has_polygon = "polygon" in lines.columns
     shape = ["x", "y", "w", "h"] + (["polygon"] if has_polygon else [])
@@ -420,7 +421,20 @@ def hit_test(
     placed = asked.withColumns(
         {"_cx": F.floor(F.col("px") / CELL), "_cy": F.floor(F.col("py") / CELL)}
     )
-    if has_large_group(placed, cell, limit):
+    if has_large_group(points, [group], limit) or has_large_group(lines, [group], limit):
+        left, top = F.col("_cx") * CELL, F.col("_cy") * CELL
+        covers = shapes.where(
+            (F.col("x") <= left)
+            & (F.col("y") <= top)
+            & (F.col("x") + F.col("w") >= left + CELL)
+            & (F.col("y") + F.col("h") >= top + CELL)
+        )
+        if has_polygon:
+            covers = covers.where(~F.coalesce(F.size("polygon") >= 3, F.lit(False)))
+        front = covers.groupBy(*cell).agg(F.min(key).alias("_front"))
+        shapes = shapes.join(front, cell, "left").where(
+            F.col("_front").isNull() | (F.col(key) <= F.col("_front"))
+        )
         salt = F.pmod(F.xxhash64("px", "py"), F.lit(salts)).cast("int")
         placed = placed.withColumn("_salt", salt)
         shapes = shapes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -18,8 +18,8 @@ from leafscribe.session import pin
 
 # Rows of one group that a single task may hold.
 GROUP_ROWS = 200_000
-# Rows of a lookup table that may be copied to every executor.
-LOOKUP_ROWS = 1_000_000
+# Rows of a (narrow) lookup table that may be copied to every executor.
+LOOKUP_ROWS = 200_000
 
 _RUNNING = {
     "sum": (F.sum, lambda a, b: a + b),
@@ -159,13 +159,12 @@ class Ordered:
     def collected(self, value: Column, name: str) -> DataFrame:
         """Per group and block (bounded) the values in order, with the block number `part`."""
         item = F.struct(*[F.col(c) for c in self.order], value.alias("_value"))
-        packed = self.df.groupBy(*self.keys, "_block").agg(
+        packed = self.df.groupBy(*self._chunk).agg(
             F.array_sort(F.collect_list(item)).alias("_items")
         )
         values = F.transform("_items", lambda i: i["_value"])
-        return packed.select(
-            *self.keys, F.col("_block").cast("int").alias("part"), values.alias(name)
-        )
+        part = F.col("_block") if self.blocked else F.lit(0)
+        return packed.select(*self.keys, part.cast("int").alias("part"), values.alias(name))
 
     def done(self) -> DataFrame:
         return self.df.drop("_block")

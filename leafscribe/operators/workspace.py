@@ -212,6 +212,12 @@ def rerun_requests(pages: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+def cleared_lines(rerun: DataFrame, groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """Lines that are left after a re-run starts: pages that have groups lose all their lines."""
+    grouped = rerun.select("doc_id").join(groups.select("doc_id").distinct(), "doc_id", "left_semi")
+    return without(lines, grouped, ["doc_id"])
+
+
 def confidence_bands(lines: DataFrame) -> DataFrame:
     """Complete lines with their band and whole percent."""
     c = F.col("confidence")

@@ -360,6 +360,18 @@ FROM f_det d JOIN (SELECT * FROM f_det QUALIFY row_number() OVER (PARTITION BY i
 WITH e AS (SELECT det_id, y, min(x) AS l, max(x)+1 AS r FROM f_mask WHERE logit>=0 GROUP BY 1,2),
 u AS (SELECT * FROM e WHERE det_id IN (SELECT det_id FROM e GROUP BY 1 HAVING count(*)>=2))
 SELECT det_id, CAST(0 AS INT) AS side, y AS position, l AS x, y FROM u UNION ALL SELECT det_id, 1, -y, r, y FROM u""",
+    "simplify_polygons": """
+WITH RECURSIVE s AS (SELECT image_id, det_id, polygon AS p, 1 AS lo, CAST(len(polygon) AS INT) AS hi FROM f_poly
+  UNION ALL SELECT image_id, det_id, p, CASE side WHEN 0 THEN lo ELSE cut END, CASE side WHEN 0 THEN cut ELSE hi END
+  FROM (SELECT *, CAST(lo+list_position(ds, list_max(ds)) AS INT) AS cut, unnest([0,1]) AS side
+    FROM (SELECT *, list_transform(range(lo+1,hi), lambda i: sqrt(
+        pow(p[i].x-p[lo].x-greatest(0,least(1,((p[i].x-p[lo].x)*dx+(p[i].y-p[lo].y)*dy)/sq))*dx,2)
+        +pow(p[i].y-p[lo].y-greatest(0,least(1,((p[i].x-p[lo].x)*dx+(p[i].y-p[lo].y)*dy)/sq))*dy,2))) AS ds
+      FROM (SELECT *, dx*dx+dy*dy AS sq FROM (SELECT *, p[hi].x-p[lo].x AS dx, p[hi].y-p[lo].y AS dy FROM s WHERE hi-lo>2)))
+    WHERE list_max(ds)>2)),
+k AS (SELECT image_id, det_id, p, unnest(CASE WHEN hi-lo=2 THEN [lo,lo+1,hi] ELSE [lo,hi] END) AS i FROM s),
+u AS (SELECT DISTINCT image_id, det_id, i, p[i].x AS x, p[i].y AS y FROM k)
+SELECT image_id, det_id, CAST(row_number() OVER (PARTITION BY image_id, det_id ORDER BY i)-1 AS INT) AS point_no, round(x,6) AS px, round(y,6) AS py FROM u""",
     "reading_order": "SELECT doc_id, line_id, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, line_id)-1 AS position FROM f_line",
     "start_index": """
 SELECT image_id, region_id, n_lines, CAST(coalesce(sum(n_lines) OVER (PARTITION BY image_id ORDER BY region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS start_index
@@ -463,6 +475,8 @@ WHERE p.manifest_id IS NULL OR NOT regexp_matches(p.manifest_id,'[25]$')""",
     "rerun_requests": """
 SELECT doc_id, 'region' AS request, group_pos, rx, ry, rw, rh FROM f_page JOIN f_group USING (doc_id) WHERE rx IS NOT NULL
 UNION ALL SELECT doc_id, 'page', NULL, NULL, NULL, NULL, NULL FROM f_page WHERE doc_id NOT IN (SELECT doc_id FROM f_group)""",
+    "rerun_cleared": """
+SELECT doc_id, line_id FROM f_line WHERE doc_id NOT IN (SELECT doc_id FROM f_page WHERE pending AND doc_id IN (SELECT doc_id FROM f_group))""",
     "confidence_bands": f"""
 SELECT CASE WHEN confidence>0.7 THEN 'high' WHEN confidence>0.4 THEN 'mid' ELSE 'low' END AS band, count(*) AS n_lines, CAST(sum(p) AS BIGINT) AS sum_percent, CAST(min(p) AS INT) AS low, CAST(max(p) AS INT) AS high
 FROM (SELECT *, {half_up("confidence*100")} AS p FROM f_line WHERE complete) GROUP BY 1""",

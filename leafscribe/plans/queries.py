@@ -352,11 +352,13 @@ def mask_contour(v: Views) -> DataFrame:
 @query
 def simplify_polygons(v: Views) -> DataFrame:
     simple = G.simplify_polygons(v.polygons())
-    return simple.select(
+    points = simple.select("image_id", "det_id", F.posexplode("polygon").alias("point_no", "p"))
+    return points.select(
         "image_id",
         "det_id",
-        F.size("polygon").alias("n_points"),
-        F.to_json("polygon").alias("points"),
+        "point_no",
+        F.round("p.x", 6).alias("px"),
+        F.round("p.y", 6).alias("py"),
     )
 
 
@@ -699,6 +701,13 @@ def rerun_requests(v: Views) -> DataFrame:
     return W.rerun_requests(v.pages(), v.groups())
 
 
+@query
+def rerun_cleared(v: Views) -> DataFrame:
+    lines = v.lines()
+    rerun = v.pages().where("pending")
+    return W.cleared_lines(rerun, v.groups(lines), lines).select("doc_id", "line_id")
+
+
 @query
 def confidence_bands(v: Views) -> DataFrame:
     return W.confidence_bands(v.lines()).groupBy("band").agg(

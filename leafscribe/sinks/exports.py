@@ -49,11 +49,6 @@ def _assembled(fragments: DataFrame, joint: str, limit: int, small: bool) -> Dat
     return packed.select("doc_id", "part", F.array_join("pieces", joint).alias("content"))
 
 
-def _small_pages(lines: DataFrame, limit: int) -> bool:
-    """True if every page stays within the limit. A line adds at most four fragments."""
-    return not has_large_group(lines, ["doc_id"], limit // 8)
-
-
 FIRST, LAST = -1, 2**62
 
 
@@ -145,7 +140,9 @@ def export_json(
         _fragments(members, (1, _line_json(None), "group_pos", "line_pos")),
         _fragments(done, (3, _line_json(polygon), "line_id")),
     )
-    small = _small_pages(lines, limit) and _small_pages(groups, limit)
+    keys = lines.select("doc_id").unionAll(groups.select("doc_id"))
+    # A line adds at most two fragments and a group two.
+    small = not has_large_group(keys, ["doc_id"], limit // 4)
     ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit, small)
     # A comma goes before every line and group, unless it is the first in its list.
     ordered.neighbour("_s", F.col("s"), -1).neighbour("_b", F.col("b"), -1)

@@ -73,8 +73,13 @@ def save(rows: DataFrame, path: str, keys=LINE_KEY) -> None:
         old = spark.read.schema(rows.schema).parquet(path)
         touched = within(old, rows, ["manifest_id"])
         merged = rows.unionByName(touched.join(rows.select(*keys), keys, "left_anti"))
+    # Pages of a volume stay together, but an outsized volume, page or group is spread.
+    place = [
+        F.floor(F.col(c) / n)
+        for c, n in (("page_number", 1000), ("group_pos", 1000), ("line_index", 100_000))
+    ]
     (
-        merged.repartition("manifest_id", F.floor(F.col("page_number") / 1000))
+        merged.repartition("manifest_id", *place)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("manifest_id")
