@@ -48,12 +48,30 @@ def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], broadcast=False
     return joined.drop(*["_r_" + key for key in keys])
 
 
+def _large(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    # Counts are combined before the shuffle.
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.where(F.col("_n") > limit).drop("_n")
+
+
 def has_large_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """True if some group has more than `limit` rows. Counts are combined before the shuffle."""
-    if not keys:
-        return True
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not sizes.where(F.col("n") > limit).isEmpty()
+    """True if some group has more than `limit` rows."""
+    return not _large(df, keys, limit).isEmpty()
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys of the groups with more than `limit` rows, None if there are none."""
+    found = _large(df, keys, limit)
+    return None if found.isEmpty() else pin(found)
+
+
+def divided(df: DataFrame, large: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary groups and rows of the large ones."""
+    side = _prefixed(large, keys)
+    if side.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
+        side = F.broadcast(side)
+    match = same(df, side, keys, "_r_")
+    return df.join(side, match, "left_anti"), df.join(side, match, "left_semi")
 
 
 def _numbered_by_range(df: DataFrame, keys, order, name: str) -> DataFrame:
@@ -80,15 +98,18 @@ def ordinal(
 ) -> DataFrame:
     """Adds the 1-based position of each row inside its group. `order` must be unique in it.
 
-    `small` tells whether the group sizes are known to be within the limit; None looks.
+    Only the rows of large groups take the longer way. `small` skips the look at group sizes
+    where they are known to be within the limit.
     """
     keys, order = list(keys), list(order)
-    if small is None:
-        small = not has_large_group(df, keys, limit)
-    if not small:
+    if not keys:
         return _numbered_by_range(df, keys, order, name)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(window).cast("long"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    large = None if small else large_groups(df, keys, limit)
+    if large is None:
+        return df.withColumn(name, number)
+    few, many = divided(df, large, keys)
+    return few.withColumn(name, number).unionByName(_numbered_by_range(many, keys, order, name))
 
 
 class Ordered:
@@ -98,13 +119,18 @@ class Ordered:
         self, df: DataFrame, keys, order, limit: int = GROUP_ROWS, small: bool | None = None
     ):
         self.keys, self.order = list(keys), list(order)
-        self.blocked = has_large_group(df, self.keys, limit) if small is None else not small
-        if self.blocked:
-            numbered = _numbered_by_range(df, self.keys, self.order, "_pos")
-            block = F.floor((F.col("_pos") - 1) / limit)
-            self.df = numbered.withColumn("_block", block).drop("_pos")
-        else:
-            self.df = df.withColumn("_block", F.lit(0).cast("long"))
+        large = None if small or not keys else large_groups(df, self.keys, limit)
+        self.blocked = large is not None or not keys
+        zero = F.lit(0).cast("long")
+        if not self.blocked:
+            self.df = df.withColumn("_block", zero)
+            return
+        few, many = divided(df, large, self.keys) if keys else (None, df)
+        numbered = _numbered_by_range(many, self.keys, self.order, "_pos")
+        block = F.floor((F.col("_pos") - 1) / limit)
+        self.df = numbered.withColumn("_block", block).drop("_pos")
+        if few is not None:
+            self.df = few.withColumn("_block", zero).unionByName(self.df)
 
     @property
     def _chunk(self) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafscribe.functions.boxes import box, can_suppress, iou
 from leafscribe.operators.geometry import MAX_IOU
-from leafscribe.operators.scale import LOOKUP_ROWS, has_large_group
+from leafscribe.operators.scale import LOOKUP_ROWS, divided, has_large_group, large_groups
 from leafscribe.session import pin
 
 # Boxes of one image that one task may fold: one model run yields at most 8 400.
@@ -163,7 +163,7 @@ def nms(
 ) -> DataFrame:
     """Kept boxes (image_id, key, score, x, y, w, h); classes are not told apart.
 
-    `small` tells whether all images are known to have at most `limit` boxes; None looks.
+    `small` skips the look at image sizes where they are known to be within the limit.
     """
     if max_iou <= 0:
         raise ValueError("max_iou must be above 0")
@@ -172,12 +172,13 @@ def nms(
         wanted = wanted.where(F.col("score") >= min_score)
     if max_iou >= 1:
         return wanted
-    if small is None:
-        small = not has_large_group(wanted, ["image_id"], limit)
-    if small:
+    large = None if small else large_groups(wanted, ["image_id"], limit)
+    if large is None:
         return _folded(wanted, key, max_iou)
+    few, many = divided(wanted, large, ["image_id"])
     mine = box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     # Boxes without area overlap nothing: kept without a look at the others.
-    flat = wanted.where(~can_suppress(mine))
-    single = _distinct_boxes(wanted.where(can_suppress(mine)), key)
-    return _in_rounds(single, key, max_iou, limit).unionByName(flat)
+    flat = many.where(~can_suppress(mine))
+    single = _distinct_boxes(many.where(can_suppress(mine)), key)
+    spread = _in_rounds(single, key, max_iou, limit)
+    return _folded(few, key, max_iou).unionByName(flat).unionByName(spread)

@@ -7,6 +7,7 @@ an oversized page gives one row per block, and the file is its parts one after t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,14 @@ from pyspark.sql.window import Window
 from leafscribe.functions.numbers import half_up, three_digits
 from leafscribe.functions.text import json_or_null, json_string, words, xml_escaped
 from leafscribe.operators.geometry import bounding_box
-from leafscribe.operators.scale import GROUP_ROWS, Ordered, has_large_group, ordinal
+from leafscribe.operators.scale import (
+    GROUP_ROWS,
+    Ordered,
+    divided,
+    has_large_group,
+    large_groups,
+    ordinal,
+)
 
 SOFTWARE = "leafscribe"
 # Name space addresses of the two public XML formats.
@@ -43,8 +51,18 @@ def _template(pattern: str, **values: Column) -> Column:
     )
 
 
-def _assembled(fragments: DataFrame, joint: str, limit: int, small: bool) -> DataFrame:
-    ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit, small)
+def _by_size(build: Callable, limit: int, pages: DataFrame, lines: DataFrame, *others: DataFrame):
+    """Builds ordinary pages and large pages apart: `build(small, pages, lines, ...)`."""
+    large = large_groups(lines, ["doc_id"], limit)
+    if large is None:
+        return build(True, pages, lines, *others)
+    parts = [divided(df, large, ["doc_id"]) for df in (pages, lines, *others)]
+    few, many = zip(*parts, strict=True)
+    return build(True, *few).unionByName(build(False, *many))
+
+
+def _assembled(fragments: DataFrame, joint: str, limit: int) -> DataFrame:
+    ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit)
     packed = ordered.collected(F.col("fragment"), "pieces")
     return packed.select("doc_id", "part", F.array_join("pieces", joint).alias("content"))
 
@@ -143,7 +161,7 @@ def export_json(
     keys = lines.select("doc_id").unionAll(groups.select("doc_id"))
     # A line adds at most two fragments and a group two.
     small = not has_large_group(keys, ["doc_id"], limit // 4)
-    ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit, small)
+    ordered = Ordered(fragments, ["doc_id"], ["s", "a", "b"], limit, small or None)
     # A comma goes before every line and group, unless it is the first in its list.
     ordered.neighbour("_s", F.col("s"), -1).neighbour("_b", F.col("b"), -1)
     starts_item = (F.col("s") == 3) | ((F.col("s") == 1) & (F.col("b") != LAST))
@@ -237,9 +255,16 @@ def export_alto(
 ) -> DataFrame:
     """ALTO 4.4. The page width is the right edge of the first line and the height the bottom
     of the last one, 0 without lines."""
-    small = not has_large_group(lines, ["doc_id"], limit)
+
+    def build(small, pages, lines):
+        return _alto(pages, lines, created, software, limit, small)
+
+    return _by_size(build, limit, pages, lines)
+
+
+def _alto(pages, lines, created, software, limit, small) -> DataFrame:
     order = ["y", "x", "line_id"]
-    numbered = ordinal(with_text(lines), ["doc_id"], order, "_n", limit, small)
+    numbered = ordinal(with_text(lines), ["doc_id"], order, "_n", limit, small or None)
     numbered = numbered.withColumn("_i", F.col("_n") - 1)
     built = _alto_lines(numbered)
     ends = [
@@ -283,7 +308,7 @@ def export_alto(
         _fragments(heads, (0, head), (2, F.lit(foot))),
         _fragments(built, (1, F.col("_line"), "_i")),
     )
-    return pages.select("doc_id", name).join(_assembled(fragments, "\n", limit, False), "doc_id")
+    return pages.select("doc_id", name).join(_assembled(fragments, "\n", limit), "doc_id")
 
 
 # PAGE -------------------------------------------------------------------------------------
@@ -363,11 +388,19 @@ def page_regions(
     groups: DataFrame, lines: DataFrame, limit: int = GROUP_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """Regions (doc_id, region, box) and their lines (doc_id, region, line_no, ...)."""
-    if not has_large_group(lines, ["doc_id"], limit):
-        both = _regions_by_page(groups, lines)
-        box = [F.col("region_" + c).alias(c) for c in ("x", "y", "w", "h")]
-        return both.where("line_no = 0").select("doc_id", "group_pos", "region", *box), both
-    return _regions_spread(groups, lines, limit)
+    large = large_groups(lines, ["doc_id"], limit)
+    if large is not None:
+        lines, many_lines = divided(lines, large, ["doc_id"])
+        groups, many_groups = divided(groups, large, ["doc_id"])
+    placed = _regions_by_page(groups, lines)
+    box = [F.col("region_" + c).alias(c) for c in ("x", "y", "w", "h")]
+    regions = placed.where("line_no = 0").select("doc_id", "group_pos", "region", *box)
+    kept = ["doc_id", "group_pos", "line_id", "x", "y", "w", "h", "text", "confidence"]
+    placed = placed.select(*kept, "line_no", "region")
+    if large is None:
+        return regions, placed
+    more_regions, more = _regions_spread(many_groups, many_lines, limit)
+    return regions.unionByName(more_regions.select(*regions.columns)), placed.unionByName(more)
 
 
 def _regions_spread(groups, lines, limit) -> tuple[DataFrame, DataFrame]:
@@ -399,7 +432,14 @@ def export_page(
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
     """PAGE XML 2019 with reading order."""
-    small = not has_large_group(lines, ["doc_id"], limit)
+
+    def build(small, pages, lines, groups):
+        return _page(pages, groups, lines, created, software, limit, small)
+
+    return _by_size(build, limit, pages, lines, groups)
+
+
+def _page(pages, groups, lines, created, software, limit, small) -> DataFrame:
     if small:
         placed = _regions_by_page(groups, lines)
     else:
@@ -474,4 +514,4 @@ def export_page(
         ),
         _fragments(placed, (3, line, "region", "line_no")),
     )
-    return pages.select("doc_id", name).join(_assembled(fragments, "\n", limit, False), "doc_id")
+    return pages.select("doc_id", name).join(_assembled(fragments, "\n", limit), "doc_id")
