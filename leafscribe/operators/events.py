@@ -158,22 +158,28 @@ def smoothed_rate(events: DataFrame, limit: int = 4096) -> DataFrame:
     ordered.running("done", "sum", F.lit(1).cast("long"))
     ordered.with_columns({"seconds": seconds - F.col("_was")})
     totals = events.groupBy("image_id").agg(F.count(F.lit(1)).alias("total"))
-    timed = ordered.df.where("seconds IS NOT NULL")
-    chunk = ["image_id", "_block"]
-    item = F.struct("seq", "seconds", "done")
-    packed = timed.groupBy(*chunk).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    values = F.transform("items", lambda i: i["seconds"])
-    if ordered.blocked:
-        ends = packed.select(
-            "image_id", (F.col("_block") + 1).alias("_block"), _smooth(values)["avg"].alias("carry")
+
+    def averaged(timed: DataFrame, blocked: bool) -> DataFrame:
+        chunk = ["image_id", "_block"] if blocked else ["image_id"]
+        item = F.struct("seq", "seconds", "done")
+        packed = timed.where("seconds IS NOT NULL").groupBy(*chunk)
+        packed = packed.agg(F.array_sort(F.collect_list(item)).alias("items"))
+        values = F.transform("items", lambda i: i["seconds"])
+        carry = F.lit(0.0)
+        if blocked:
+            following = (F.col("_block") + 1).alias("_block")
+            ends = packed.select("image_id", following, _smooth(values)["avg"].alias("_carry"))
+            packed = packed.join(ends, chunk, "left")
+            carry = F.coalesce("_carry", carry)
+        seeded = _smooth(F.concat(F.array(carry), values))["all"]
+        both = F.zip_with(
+            "items",
+            F.slice(seeded, F.lit(2), F.size(values)),
+            lambda i, a: F.struct(i.alias("i"), a.alias("avg")),
         )
-        packed = packed.join(ends, chunk, "left")
-    else:
-        packed = packed.withColumn("carry", F.lit(0.0))
-    seeded = F.concat(F.array(F.coalesce("carry", F.lit(0.0))), values)
-    averages = F.slice(_smooth(seeded)["all"], F.lit(2), F.size(values))
-    both = F.zip_with("items", averages, lambda i, a: F.struct(i.alias("i"), a.alias("avg")))
-    rows = packed.select("image_id", F.explode(both).alias("r"))
+        return packed.select("image_id", F.explode(both).alias("r"))
+
+    rows = ordered.each(averaged)
     flat = rows.select("image_id", "r.i.*", "r.avg").join(totals, "image_id")
     pending = F.col("total") - F.col("done")
     return flat.withColumns(

@@ -20,7 +20,14 @@ from leafscribe.functions.boxes import (
     sigmoid,
 )
 from leafscribe.functions.numbers import half_up
-from leafscribe.operators.scale import GROUP_ROWS, Ordered, has_large_group, ordinal
+from leafscribe.operators.scale import (
+    GROUP_ROWS,
+    Ordered,
+    divided,
+    has_large_group,
+    large_groups,
+    ordinal,
+)
 
 # Anchor strides, input size and thresholds of the two detectors.
 STRIDES = (8, 16, 32)
@@ -376,6 +383,22 @@ def _cells(low, high):
     return F.sequence(F.floor(low / CELL), F.floor(high / CELL))
 
 
+def _in_front(shapes: DataFrame, cell: list[str], key: str, has_polygon: bool) -> DataFrame:
+    """Shapes that can be first in their cell: none is behind a box that covers the cell."""
+    left, top = F.col("_cx") * CELL, F.col("_cy") * CELL
+    covers = shapes.where(
+        (F.col("x") <= left)
+        & (F.col("y") <= top)
+        & (F.col("x") + F.col("w") >= left + CELL)
+        & (F.col("y") + F.col("h") >= top + CELL)
+    )
+    if has_polygon:
+        covers = covers.where(~F.coalesce(F.size("polygon") >= 3, F.lit(False)))
+    front = covers.groupBy(*cell).agg(F.min(key).alias("_front"))
+    kept = shapes.join(front, cell, "left")
+    return kept.where(F.col("_front").isNull() | (F.col(key) <= F.col("_front"))).drop("_front")
+
+
 def hit_test(
     points: DataFrame,
     lines: DataFrame,
@@ -387,9 +410,9 @@ def hit_test(
     """For each point the first line that contains it, else -1.
 
     Copies of the same shape keep only their first line and copies of the same point are
-    asked once. Points and shapes then meet in grid cells. If a page has more than `limit`
-    points or lines, shapes behind a box that covers their whole cell are left out of it
-    (they can never be first), and cells are split over `salts` tasks.
+    asked once. Points and shapes then meet in grid cells. In cells with more than `limit`
+    points or shapes, shapes behind a box that covers the whole cell are left out (they can
+    never be first), and the cell is split over `salts` tasks.
     """
     has_polygon = "polygon" in lines.columns
     shape = ["x", "y", "w", "h"] + (["polygon"] if has_polygon else [])
@@ -421,25 +444,25 @@ def hit_test(
     placed = asked.withColumns(
         {"_cx": F.floor(F.col("px") / CELL), "_cy": F.floor(F.col("py") / CELL)}
     )
-    if has_large_group(points, [group], limit) or has_large_group(lines, [group], limit):
-        left, top = F.col("_cx") * CELL, F.col("_cy") * CELL
-        covers = shapes.where(
-            (F.col("x") <= left)
-            & (F.col("y") <= top)
-            & (F.col("x") + F.col("w") >= left + CELL)
-            & (F.col("y") + F.col("h") >= top + CELL)
-        )
-        if has_polygon:
-            covers = covers.where(~F.coalesce(F.size("polygon") >= 3, F.lit(False)))
-        front = covers.groupBy(*cell).agg(F.min(key).alias("_front"))
-        shapes = shapes.join(front, cell, "left").where(
-            F.col("_front").isNull() | (F.col(key) <= F.col("_front"))
-        )
+    crowded = large_groups(placed, cell, limit)
+    if has_large_group(lines, [group], limit):
+        stacked = large_groups(shapes, cell, limit)
+        if crowded is None or stacked is None:
+            crowded = stacked if crowded is None else crowded
+        else:
+            crowded = crowded.union(stacked).distinct()
+    if crowded is None:
+        met = placed.join(shapes, cell)
+    else:
+        placed, many_points = divided(placed, crowded, cell)
+        shapes, many_shapes = divided(shapes, crowded, cell)
+        many_shapes = _in_front(many_shapes, cell, key, has_polygon)
         salt = F.pmod(F.xxhash64("px", "py"), F.lit(salts)).cast("int")
-        placed = placed.withColumn("_salt", salt)
-        shapes = shapes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        cell = [*cell, "_salt"]
-    met = placed.join(shapes, cell)
+        every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        spread = many_points.withColumn("_salt", salt).join(
+            many_shapes.withColumn("_salt", every), [*cell, "_salt"]
+        )
+        met = placed.join(shapes, cell).unionByName(spread.drop("_salt"))
     polygon = F.col("polygon") if has_polygon else F.lit(None).cast(POLYGON)
     inside = in_shape(
         F.col("px"), F.col("py"), polygon, box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))

@@ -112,88 +112,118 @@ def ordinal(
     return few.withColumn(name, number).unionByName(_numbered_by_range(many, keys, order, name))
 
 
-class Ordered:
-    """Rows in ascending `order` (unique column names) inside each group, in bounded blocks."""
+class _Rows:
+    """Rows in order inside each group. Rows of large groups are `blocked`: they carry a block
+    number, windows see one block, and block summaries are joined back."""
 
-    def __init__(
-        self, df: DataFrame, keys, order, limit: int = GROUP_ROWS, small: bool | None = None
-    ):
-        self.keys, self.order = list(keys), list(order)
-        large = None if small or not keys else large_groups(df, self.keys, limit)
-        self.blocked = large is not None or not keys
-        zero = F.lit(0).cast("long")
-        if not self.blocked:
-            self.df = df.withColumn("_block", zero)
-            return
-        few, many = divided(df, large, self.keys) if keys else (None, df)
-        numbered = _numbered_by_range(many, self.keys, self.order, "_pos")
-        block = F.floor((F.col("_pos") - 1) / limit)
-        self.df = numbered.withColumn("_block", block).drop("_pos")
-        if few is not None:
-            self.df = few.withColumn("_block", zero).unionByName(self.df)
-
-    @property
-    def _chunk(self) -> list[str]:
-        # A constant block number would only add a column to the shuffle.
-        return [*self.keys, "_block"] if self.blocked else self.keys
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], blocked: bool):
+        self.df, self.keys, self.order, self.blocked = df, keys, order, blocked
+        self.chunk = [*keys, "_block"] if blocked else keys
 
     def _window(self):
-        return Window.partitionBy(*self._chunk).orderBy(*self.order)
-
-    def with_columns(self, columns: dict[str, Column]) -> "Ordered":
-        self.df = self.df.withColumns(columns)
-        return self
+        return Window.partitionBy(*self.chunk).orderBy(*self.order)
 
-    def running(self, name: str, kind: str, value: Column, before: bool = False) -> "Ordered":
-        """Running sum, max or min up to this row, or up to the row before it."""
+    def running(self, name: str, kind: str, value: Column, before: bool) -> None:
         agg, combine = _RUNNING[kind]
         frame = self._window().rowsBetween(Window.unboundedPreceding, -1 if before else 0)
         df = self.df.withColumn(name, agg(value).over(frame))
         if self.blocked:
-            totals = self.df.groupBy(*self._chunk).agg(agg(value).alias("_total"))
+            totals = self.df.groupBy(*self.chunk).agg(agg(value).alias("_total"))
             earlier = (
                 Window.partitionBy(*self.keys)
                 .orderBy("_block")
                 .rowsBetween(Window.unboundedPreceding, -1)
             )
-            carry = totals.select(*self._chunk, agg("_total").over(earlier).alias("_carry"))
-            df = _attach(df, carry, self._chunk)
+            carry = totals.select(*self.chunk, agg("_total").over(earlier).alias("_carry"))
+            df = _attach(df, carry, self.chunk)
             both = combine(F.col("_carry"), F.col(name))
             df = df.withColumn(name, F.coalesce(both, name, "_carry")).drop("_carry")
         self.df = df
-        return self
 
-    def neighbour(self, name: str, value: Column, step: int) -> "Ordered":
-        """The value on the next row (`step` 1) or on the previous row (`step` -1)."""
+    def neighbour(self, name: str, value: Column, step: int) -> None:
         window = self._window()
         shift = F.lead if step == 1 else F.lag
         df = self.df.withColumn(name, shift(value).over(window))
         if self.blocked:
             df = df.withColumn("_inside", shift(F.lit(1)).over(window))
             edge = F.min_by if step == 1 else F.max_by
-            edges = self.df.groupBy(*self._chunk).agg(
+            edges = self.df.groupBy(*self.chunk).agg(
                 edge(F.struct(value.alias("v")), F.struct(*self.order)).alias("_edge")
             )
             edges = edges.withColumn("_block", F.col("_block") - step)
-            df = _attach(df, edges, self._chunk)
-            df = df.withColumn(
-                name, F.when(F.col("_inside").isNull(), F.col("_edge.v")).otherwise(F.col(name))
-            ).drop("_inside", "_edge")
+            df = _attach(df, edges, self.chunk)
+            inside = F.col("_inside").isNotNull()
+            df = df.withColumn(name, F.when(inside, F.col(name)).otherwise(F.col("_edge.v")))
+            df = df.drop("_inside", "_edge")
         self.df = df
-        return self
 
     def collected(self, value: Column, name: str) -> DataFrame:
-        """Per group and block (bounded) the values in order, with the block number `part`."""
         item = F.struct(*[F.col(c) for c in self.order], value.alias("_value"))
-        packed = self.df.groupBy(*self._chunk).agg(
+        packed = self.df.groupBy(*self.chunk).agg(
             F.array_sort(F.collect_list(item)).alias("_items")
         )
         values = F.transform("_items", lambda i: i["_value"])
         part = F.col("_block") if self.blocked else F.lit(0)
         return packed.select(*self.keys, part.cast("int").alias("part"), values.alias(name))
 
+
+class Ordered:
+    """Rows in ascending `order` (unique column names) inside each group.
+
+    Ordinary groups use plain windows. Large ones are cut into blocks of at most `limit` rows.
+    """
+
+    def __init__(
+        self, df: DataFrame, keys, order, limit: int = GROUP_ROWS, small: bool | None = None
+    ):
+        keys, order = list(keys), list(order)
+        large = None if small or not keys else large_groups(df, keys, limit)
+        self.parts: list[_Rows] = []
+        if keys:
+            few, many = (df, None) if large is None else divided(df, large, keys)
+            self.parts.append(_Rows(few, keys, order, False))
+        else:
+            many = df
+        if many is not None:
+            numbered = _numbered_by_range(many, keys, order, "_pos")
+            block = F.floor((F.col("_pos") - 1) / limit)
+            blocks = numbered.withColumn("_block", block).drop("_pos")
+            self.parts.append(_Rows(blocks, keys, order, True))
+
+    def with_columns(self, columns: dict[str, Column]) -> "Ordered":
+        for part in self.parts:
+            part.df = part.df.withColumns(columns)
+        return self
+
+    def running(self, name: str, kind: str, value: Column, before: bool = False) -> "Ordered":
+        """Running sum, max or min up to this row, or up to the row before it."""
+        for part in self.parts:
+            part.running(name, kind, value, before)
+        return self
+
+    def neighbour(self, name: str, value: Column, step: int) -> "Ordered":
+        """The value on the next row (`step` 1) or on the previous row (`step` -1)."""
+        for part in self.parts:
+            part.neighbour(name, value, step)
+        return self
+
+    def collected(self, value: Column, name: str) -> DataFrame:
+        """Per group and block (bounded) the values in order, with the block number `part`."""
+        return _united([part.collected(value, name) for part in self.parts])
+
+    def each(self, make) -> DataFrame:
+        """`make(rows, blocked)` for ordinary and large groups, put together."""
+        return _united([make(part.df, part.blocked) for part in self.parts])
+
     def done(self) -> DataFrame:
-        return self.df.drop("_block")
+        return _united([part.df.drop("_block") for part in self.parts])
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    whole, *rest = frames
+    for frame in rest:
+        whole = whole.unionByName(frame)
+    return whole
 
 
 def lookup(
