@@ -22,6 +22,7 @@ COPIED_ROWS = 500_000
 BATCH_BYTES = 16 << 20
 #: Characters that one numpy step of a text operator works on.
 SLICE_CHARS = 1 << 20
+SLICE_ROWS = 512
 
 
 def page_texts(pages: DataFrame, lines: DataFrame) -> DataFrame:
@@ -98,11 +99,11 @@ def hashed_fraction(doc_id: Column, salt: str) -> Column:
 
 
 def slices(texts: pa.Array, chars: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of rows with about so many characters; null texts are empty."""
+    """(first row, texts) of runs of a few rows with about so many characters; null texts are empty."""
     start, run, size = 0, [], 0
     for i, value in enumerate(texts):
         text = value.as_py() or ""
-        if run and size + len(text) > chars:
+        if run and (size + len(text) > chars or len(run) == SLICE_ROWS):
             yield start, run
             start, run, size = i, [], 0
         run.append(text)
