@@ -34,3 +34,45 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def _strength(groups: str) -> str:
+    return f"""(
+  SELECT CASE WHEN g < 2 OR v <= 0 OR n - nn / n - (g - 1) <= 0 THEN 2.0
+              ELSE 1 / least(greatest((b - n * m * m - (g - 1) * v) / (v * (n - nn / n - (g - 1))), 0.001), 0.999) - 1 END
+  FROM (SELECT g, n, nn, b, m, m * (1 - m) AS v FROM (
+    SELECT count(*) AS g, CAST(sum(n) AS DOUBLE) AS n, sum(CAST(n AS DOUBLE) * n) AS nn,
+           sum(CAST(k AS DOUBLE) * k / n) AS b, CAST(sum(k) AS DOUBLE) / sum(n) AS m FROM {groups} WHERE n > 0)))"""
+
+
+SQL["op10_url_filter"] = rf"""
+WITH cut AS (
+  SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END, '') AS u FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(u, '^[^/?#]*'), {_LETTERS}) AS host,
+         regexp_extract(regexp_replace(u, '^[^/?#]*', ''), '^[^?#]*') AS path FROM cut),
+rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+ruled AS (
+  SELECT page_id, host, path,
+         arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(verdict, length(rule_host || rule_path)) AS decided
+  FROM split LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id, host, path),
+hosts AS (
+  SELECT host, count(decided) AS n, count(*) FILTER (decided = 'block') AS k,
+         regexp_extract(host, '[^.]*\.?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix
+  FROM ruled GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
+s1 AS (SELECT suffix, (k + t * m) / (n + t) AS mean FROM suffixes, (SELECT {_strength("suffixes")} AS t),
+  (SELECT CAST(sum(k) + 1 AS DOUBLE) / (sum(n) + 2) AS m FROM suffixes)),
+s2 AS (SELECT domain, (k + t * mean) / (n + t) AS mean FROM domains JOIN s1 USING (suffix),
+  (SELECT {_strength("domains")} AS t)),
+s3 AS (SELECT host, k + t * mean AS a, n - k + t * (1 - mean) AS b FROM hosts JOIN s2 USING (domain),
+  (SELECT {_strength("hosts")} AS t)),
+bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM s3)
+SELECT page_id, host, path, rule,
+       coalesce(decided, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN bound USING (host)
+"""

@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscribe.llm.exact import exact_copies
+from leafscribe.llm.hosts import judge_image_urls
 from leafscribe.llm.language import page_languages
 from leafscribe.llm.leaks import benchmark_leaks
 from leafscribe.llm.packing import packed
 
+#: Verdict, host and path of the stated address rules.
+RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -45,3 +55,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("image_url"))
+    return judge_image_urls(pages, RULES).withColumnRenamed("doc_id", "page_id")
