@@ -12,6 +12,7 @@ from leafscribe.llm.hosts import judge_image_urls
 from leafscribe.llm.language import page_languages
 from leafscribe.llm.leaks import benchmark_leaks
 from leafscribe.llm.packing import packed
+from leafscribe.llm.toxicity import page_toxicity
 
 #: Verdict, host and path of the stated address rules.
 RULES = [
@@ -61,3 +62,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("image_url"))
     return judge_image_urls(pages, RULES).withColumnRenamed("doc_id", "page_id")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
