@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from leafscribe.llm.common import hashed_fraction, per_slice, plain
 
-#: A text as sparse features: ids and values of equal length.
-Sparse = tuple[np.ndarray, np.ndarray]
+#: A text as sparse features: ids and as many values (None: all are 1).
+Sparse = tuple[np.ndarray, np.ndarray | None]
 
 
 class Hashed:
@@ -24,7 +24,7 @@ class Hashed:
         self.size = size
         self.row = np.repeat(np.arange(len(rows)), lengths)
         self.ids = np.concatenate([np.zeros(0, np.int64), *(i.astype(np.int64) for i, _ in rows)])
-        self.values = np.concatenate([np.zeros(0), *(v.astype(np.float64) for _, v in rows)])
+        self.values = np.concatenate([np.zeros(0), *(np.ones(len(i)) if v is None else v.astype(np.float64) for i, v in rows)])
         self.n = len(rows)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
@@ -56,16 +56,17 @@ def sample_features(pages: DataFrame, label: str, extract, caps: dict, salt: str
     def work(labels: pa.Array, texts: list[str]) -> pa.RecordBatch:
         found = [extract(t) for t in texts]
         ids = pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary())
-        values = pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())
+        values = pa.array([None if v is None else v.astype("<f4").tobytes() for _, v in found], pa.binary())
         return pa.record_batch([labels, ids, values], ["doc_id", "ids", "vals"])
 
     kind = dict(rows.dtypes)["doc_id"]
     result: dict = {value: [] for value in caps}
     for r in rows.mapInArrow(per_slice(work), f"doc_id {kind}, ids binary, vals binary").collect():
-        result[r["doc_id"]].append((np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["vals"], "<f4")))
+        values = None if r["vals"] is None else np.frombuffer(r["vals"], "<f4")
+        result[r["doc_id"]].append((np.frombuffer(r["ids"], "<i4"), values))
     for found in result.values():
         # The same order whatever task came first.
-        found.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes()))
+        found.sort(key=lambda r: (len(r[0]), r[0].tobytes(), b"" if r[1] is None else r[1].tobytes()))
     return result
 
 

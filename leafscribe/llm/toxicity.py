@@ -14,7 +14,7 @@ from leafscribe.llm.leaks import words
 #: Size of the hashed feature space.
 FEATURES = 1 << 20
 #: Bounds of the sample that the model is fitted on: confirmed toxic pages, and unlabelled pages.
-CONFIRMED, UNLABELLED = 4000, 12000
+CONFIRMED, UNLABELLED = 3000, 9000
 #: Share of toxic pages taken as the class prior where no labels tell it.
 PRIOR = 0.1
 THRESHOLD = 0.7
@@ -33,7 +33,7 @@ def features(text: str, size: int = FEATURES) -> Sparse:
     """Which hashed features the text has: its words, and their first four and first six bytes."""
     distinct = sorted(set(words(text)))
     ids = np.unique(hashed_ids(distinct, _kinds, size)) if distinct else np.zeros(0, np.int64)
-    return ids, np.ones(len(ids))
+    return ids, None
 
 
 class ToxicityModel:
@@ -46,9 +46,6 @@ class ToxicityModel:
         self.other: set[bytes] = set()
 
     def _look(self, new: list[bytes]) -> None:
-        if len(self.other) + len(self.telling) > REMEMBERED:
-            self.other.clear()
-            self.telling.clear()
         for word, ids in zip(new, hashed_ids(new, _kinds, self.size).tolist(), strict=True):
             used = [i for i in ids if i in self.weight]
             if used:
@@ -60,18 +57,25 @@ class ToxicityModel:
         """Score of each text."""
         result = np.full(len(texts), self.constant)
         for row, text in enumerate(texts):
+            # Loops over the words of the text, never over what is remembered.
             own = set(words(text))
-            new = own.difference(self.other, self.telling)
-            if new:
-                self._look(list(new))
-            found = {i for w in own.intersection(self.telling) for i in self.telling[w]}
+            new = [w for w in own if w not in self.other and w not in self.telling]
+            if len(new) + len(self.other) + len(self.telling) > REMEMBERED:
+                self.other.clear()
+                self.telling.clear()
+                new = list(own)
+            self._look(new)
+            found = {i for w in own for i in self.telling.get(w, ())}
             result[row] += sum(self.weight[i] for i in sorted(found))
         return sigmoid(result)
 
 
 def _telling(positive: list[Sparse], unlabelled: list[Sparse], size: int) -> np.ndarray:
     """Features on which confirmed and unlabelled pages differ beyond chance."""
-    of_p, of_u = (np.bincount(Hashed(rows, size).ids, minlength=size) for rows in (positive, unlabelled))
+    of_p, of_u = np.zeros(size), np.zeros(size)
+    for counts, rows in ((of_p, positive), (of_u, unlabelled)):
+        for ids, _ in rows:
+            counts[ids] += 1
     expected = of_u * (len(positive) / len(unlabelled))
     return np.flatnonzero((of_p >= LEAST_PAGES) & (np.abs(of_p - expected) > DEVIATIONS * np.sqrt(expected + 1)))
 
@@ -98,7 +102,7 @@ def fit_nnpu(
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(constant[0]), size)
     used = _telling(positive, unlabelled, size)
     positive, unlabelled = (
-        [(np.searchsorted(used, i[np.isin(i, used)]), v[np.isin(i, used)]) for i, v in rows]
+        [(np.searchsorted(used, i[np.isin(i, used, kind="sort")]), None) for i, _ in rows]
         for rows in (positive, unlabelled)
     )
     n = max(len(used), 1)
