@@ -76,3 +76,16 @@ SELECT page_id, host, path, rule,
        coalesce(decided, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled JOIN bound USING (host)
 """
+
+SQL["op9_substring_dedup"] = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM doc, unnest(range(1, len(w) - 33)) AS r(i)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM win JOIN twice USING (h), unnest(range(i, i + 35)) AS r(p)),
+removed AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
+         list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]) END, ' '), '')) AS kept_sha256
+FROM doc LEFT JOIN removed USING (doc_id)
+"""

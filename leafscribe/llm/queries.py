@@ -12,6 +12,7 @@ from leafscribe.llm.hosts import judge_image_urls
 from leafscribe.llm.language import page_languages
 from leafscribe.llm.leaks import benchmark_leaks
 from leafscribe.llm.packing import packed
+from leafscribe.llm.passages import without_repeats
 from leafscribe.llm.toxicity import page_toxicity
 
 #: Verdict, host and path of the stated address rules.
@@ -67,3 +68,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
