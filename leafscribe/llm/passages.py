@@ -17,6 +17,9 @@ from leafscribe.llm.common import bound_batches, copied, pin, slices
 WINDOW = 35
 KMER = 8
 
+#: Repeated k-mers (one number each) that may be copied to every executor; more of them are joined by a shuffle.
+COPIED_NODES = 2_000_000
+
 _PLACE = 24  # bits of a k-mer's place that stand beside its hash
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -125,7 +128,7 @@ def repeated_paths(pages: DataFrame, window: int, kmer: int) -> DataFrame:
     again = pin(nodes.groupBy("node").count().where("count > 1").select("node"))
     schema = f"node long, doc_id {kind}, digest long, start long, path long, edges array<long>"
     cut = pages.mapInArrow(_cut(window, kmer, True), schema)
-    held = pin(cut.join(copied(again), "node", "left_semi"))
+    held = pin(cut.join(copied(again, COPIED_NODES), "node", "left_semi"))
     distinct = held.groupBy("node", "path").agg(F.count(F.lit(1)).alias("n"), F.first("edges").alias("edges"))
     distinct = pin(distinct)
     branching = distinct.groupBy("node").count().where("count > 1").select("node")
