@@ -11,6 +11,7 @@ from leafscribe.llm.exact import exact_copies
 from leafscribe.llm.hosts import judge_image_urls
 from leafscribe.llm.language import page_languages
 from leafscribe.llm.leaks import benchmark_leaks
+from leafscribe.llm.near import near_copies
 from leafscribe.llm.packing import packed
 from leafscribe.llm.passages import without_repeats
 from leafscribe.llm.toxicity import page_toxicity
@@ -73,3 +74,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
