@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
+from page_fixtures import hard, pages, with_clashes  # noqa: F401
 from leafscribe.llm.exact import exact_copies, golomb, golomb_values
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from page_fixtures import hard, pages, with_clashes  # noqa: F401
 from leafscribe.llm.language import Prototypes, bound_vectors, page_languages, profiles, predict_languages
 
 SWEDISH = ["Anno 1702 den 3 februari hölls ordinarie ting", "Samma dag framkom för rätten drängen", "Så blev och upplyst"]

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
+from page_fixtures import pages, with_clashes  # noqa: F401
 from leafscribe.llm.leaks import benchmark_leaks, words
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")

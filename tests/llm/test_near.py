@@ -1,5 +1,6 @@
 import random
 
+from page_fixtures import hard, pages, with_clashes  # noqa: F401
 from leafscribe.llm.components import components
 from leafscribe.llm.near import near_copies
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
+from page_fixtures import hard, pages, with_clashes  # noqa: F401
 from leafscribe.llm.packing import TightestWindow, TokenIds, best_fit, packed  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")

@@ -4,6 +4,7 @@ from collections import Counter
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from page_fixtures import hard, pages, with_clashes  # noqa: F401
 from leafscribe.llm.passages import without_repeats
 
 

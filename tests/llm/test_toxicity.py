@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
+from page_fixtures import hard, pages, with_clashes  # noqa: F401
 from leafscribe.llm.features import Hashed, sigmoid
 from leafscribe.llm.toxicity import features, fit_nnpu, learn_toxicity, page_toxicity, score_toxicity
 
