@@ -14,6 +14,8 @@ from leafscribe.llm.leaks import benchmark_leaks
 from leafscribe.llm.near import near_copies
 from leafscribe.llm.packing import packed
 from leafscribe.llm.passages import without_repeats
+from leafscribe.llm.private import private_data
+from leafscribe.llm.quality import page_quality
 from leafscribe.llm.toxicity import page_toxicity
 
 #: Verdict, host and path of the stated address rules.
@@ -79,3 +81,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
+    return page_quality(table(spark, sf_dir, "documents"), ratings)
