@@ -11,10 +11,6 @@ def half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
-def clamp(value: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least(value, high))
-
-
 def three_digits(value: Column) -> Column:
     return F.format_string("%.3f", value)
 

@@ -68,7 +68,7 @@ def _occurrences(column: str, term: str) -> Column:
 
 def _query_terms(query: str) -> list[str]:
     # The parameter is one short text, so it is cut on the caller's side.
-    kept = "".join(c if c.isalpha() or c.isdigit() else " " for c in query.lower())
+    kept = "".join(c if c.isalpha() or c.isnumeric() else " " for c in query.lower())
     return kept.split()
 
 

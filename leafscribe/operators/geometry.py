@@ -119,11 +119,11 @@ def region_shape(boxes: DataFrame) -> DataFrame:
 
 
 def decode_lines(raw: DataFrame, min_score: float = LINE_SCORE) -> DataFrame:
-    """Centre boxes in padded space to boxes in page space; the first best class wins.
+    """Centre boxes in padded space to boxes in page space; the first best class wins, NaN never does.
 
     The size is limited by the page edge seen from the unclipped origin, so it may be negative.
     """
-    best = F.array_max("scores")
+    best = F.array_max(F.filter("scores", lambda s: ~F.isnan(s)))
     scored = raw.withColumn("score", best).where(F.col("score") >= min_score)
     x = (F.col("cx") - F.col("bw") / 2 - F.col("pad_x")) / F.col("scale")
     y = (F.col("cy") - F.col("bh") / 2 - F.col("pad_y")) / F.col("scale")

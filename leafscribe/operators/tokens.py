@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from leafscribe.operators.scale import lookup
+from leafscribe.operators.scale import GROUP_ROWS, lookup, ordinal, same
 
 # Reserved token ids, decode length, batch size and the failure text.
 BEGIN, PAD, END = 0, 1, 2
@@ -169,15 +169,23 @@ def decode_timing(lines: DataFrame) -> DataFrame:
     )
 
 
-def timing_by_worker(lines: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Summary per worker; the median is a mergeable sketch, exact below `accuracy` values."""
-    return decode_timing(lines).groupBy("worker").agg(
+def timing_by_worker(lines: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+    """Summary per worker. The median is exact at any size: the value at the middle position (the lower of two)."""
+    timed = decode_timing(lines).select("worker", "tokens", "ms_per_token", "total_ms")
+    summary = timed.groupBy("worker").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum("tokens").alias("tokens"),
         F.avg("ms_per_token").alias("avg_ms_per_token"),
         F.avg("total_ms").alias("avg_total_ms"),
-        F.percentile_approx("total_ms", 0.5, accuracy).alias("median_total_ms"),
     )
+    known = timed.where("total_ms is not null").select("worker", "total_ms")
+    middle = known.groupBy("worker").agg(F.ceil(F.count(F.lit(1)) / 2).alias("_middle"))
+    ranked = ordinal(known, ["worker"], ["total_ms"], "_position", limit)
+    at = (F.col("_position") == F.col("_middle")) & same(ranked, middle, ["worker"])
+    median = ranked.join(middle, at, "left_semi").select(
+        F.col("worker").alias("_r_worker"), F.col("total_ms").alias("median_total_ms")
+    )
+    return summary.join(median, same(summary, median, ["worker"], "_r_"), "left").drop("_r_worker")
 
 
 # Scoring ----------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ SELECT manifest_id, page_number, doc_id, line_id,
   CASE WHEN doc_id%6=1 OR line_id%9=8 THEN NULL ELSE CAST(floor(line_id/4) AS INT) END AS group_pos, CAST(line_id%4 AS INT) AS line_pos,
   CASE WHEN (doc_id*3+line_id)%13=0 THEN '' WHEN (doc_id*3+line_id)%17=0 THEN '  ' ELSE txt END AS text,
   CAST((doc_id*13+line_id*7)%40 AS DOUBLE) AS x, CAST(24*floor(line_id/2) AS DOUBLE) AS y,
-  CAST(20+8*least(length(txt),100) AS DOUBLE) AS w, CAST(20 AS DOUBLE) AS h,
+  CAST(20+8*length(txt) AS DOUBLE) AS w, CAST(20 AS DOUBLE) AS h,
   CAST((doc_id*31+line_id*17)%101 AS DOUBLE)/CAST(100 AS DOUBLE) AS confidence, (doc_id+line_id)%7<>0 AS complete
 FROM (SELECT manifest_id, page_number, doc_id, CAST(generate_subscripts(ls,1)-1 AS INT) AS line_id, unnest(ls) AS txt
       FROM (SELECT *, string_split(body, chr(10)) AS ls FROM f_feed))""",
@@ -58,7 +58,7 @@ FROM events""",
 SELECT doc_id, concat(source,'/',lang,'/',CAST(doc_id AS VARCHAR)) AS reference_code, source AS archive_code,
   CASE WHEN doc_id%11=0 THEN '' ELSE concat('Fonds ',source) END AS fonds_title, concat('About ',source) AS fonds_description,
   concat('Creator ',lang) AS creator, CASE WHEN doc_id%5=0 THEN '' ELSE lang END AS series_title, CAST(doc_id AS VARCHAR) AS volume_id,
-  CAST(1600+doc_id%300 AS VARCHAR) AS date_text, CAST(1600+doc_id%300 AS INT) AS year_start, substr(text,1,200) AS description
+  CAST(1600+doc_id%300 AS VARCHAR) AS date_text, CAST(1600+doc_id%300 AS INT) AS year_start, text AS description
 FROM documents""",
     "f_logits": """
 SELECT vec_id AS seq_id, CAST(generate_subscripts(embedding,1)-1 AS INT) AS token_id, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings""",

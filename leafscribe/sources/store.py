@@ -50,8 +50,10 @@ def serialize_for_save(
 def digests(saved: DataFrame) -> DataFrame:
     """One fingerprint per volume, independent of row order, combined before the shuffle."""
     columns = [c for c in saved.columns if c != "manifest_id"]
-    row = F.xxhash64(*columns)
-    other = F.xxhash64(F.lit("second"), *columns)
+    # Hashes skip nulls, so the rows are written out with them.
+    written = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    row = F.xxhash64(written)
+    other = F.xxhash64(F.lit("second"), written)
     return saved.groupBy("manifest_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(row.cast("decimal(20,0)")).alias("digest_sum"),

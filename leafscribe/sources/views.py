@@ -82,7 +82,7 @@ class Views:
                     ELSE txt END AS text""",
             "CAST((doc_id*13+line_id*7)%40 AS DOUBLE) AS x",
             "CAST(24*floor(line_id/2) AS DOUBLE) AS y",
-            "CAST(20+8*least(length(txt),100) AS DOUBLE) AS w",
+            "CAST(20+8*length(txt) AS DOUBLE) AS w",
             "CAST(20 AS DOUBLE) AS h",
             "CAST((doc_id*31+line_id*17)%101 AS DOUBLE)/100D AS confidence",
             "(doc_id+line_id)%7<>0 AS complete",
@@ -240,7 +240,7 @@ class Views:
             "CAST(doc_id AS STRING) AS volume_id",
             "CAST(1600+doc_id%300 AS STRING) AS date_text",
             "CAST(1600+doc_id%300 AS INT) AS year_start",
-            "substr(text,1,200) AS description",
+            "text AS description",
         )
 
     def harvest(self) -> DataFrame:

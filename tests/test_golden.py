@@ -132,34 +132,53 @@ def test_dense_masks(spark):
     assert all(math.isclose(found[k], expected[k], abs_tol=1e-9) for k in found)
 
 
-def simplified(points, eps):
-    if len(points) <= 3:
-        return points
-    (ax, ay), (bx, by) = points[0], points[-1]
-    dx, dy = bx - ax, by - ay
-    best, at = 0.0, 0
-    for i in range(1, len(points) - 1):
-        px, py = points[i]
-        square = dx * dx + dy * dy
-        t = max(0, min(1, ((px - ax) * dx + (py - ay) * dy) / square)) if square else 0
-        d = math.hypot(px - ax - t * dx, py - ay - t * dy)
-        if d > best:
-            best, at = d, i
-    if best > eps:
-        return simplified(points[: at + 1], eps)[:-1] + simplified(points[at:], eps)
-    return [points[0], points[-1]]
-
-
-def test_simplify_against_recursion(spark):
-    rng = np.random.default_rng(8)
-    shapes = [[(float(i), float(v)) for i, v in enumerate(rng.integers(-6, 7, n))] for n in range(0, 40)]
-    shapes += [[(0.0, 0.0)] * 5, [(0.0, 0.0), (5.0, 9.0), (3.0, 1.0), (0.0, 0.0)]]
+def from_segment(p, a, b):
+    """Distance of a point from a segment, by its foot on the line."""
+    p, a, b = (np.array(x, float) for x in (p, a, b))
+    length = (b - a) @ (b - a)
+    foot = a + (b - a) * np.clip((p - a) @ (b - a) / length, 0, 1) if length else a
+    return float(np.linalg.norm(p - foot))
+
+
+def simplify(spark, shapes):
     df = spark.createDataFrame(
         [(i, [{"x": x, "y": y} for x, y in s]) for i, s in enumerate(shapes)],
         "i int, polygon array<struct<x:double,y:double>>",
     )
-    for r in G.simplify_polygons(df).collect():
-        assert [(p.x, p.y) for p in r.polygon] == simplified(shapes[r.i], 2.0)
+    rows = sorted(G.simplify_polygons(df).collect(), key=lambda r: r.i)
+    return [[(p.x, p.y) for p in r.polygon] for r in rows]
+
+
+def test_simplify_keeps_what_matters(spark):
+    rng = np.random.default_rng(8)
+    shapes = [[(float(i), float(v)) for i, v in enumerate(rng.integers(-6, 7, n))] for n in range(0, 40)]
+    for shape, kept in zip(shapes, simplify(spark, shapes), strict=True):
+        if len(shape) <= 3:
+            assert kept == shape
+            continue
+        at = [shape.index(p) for p in kept]  # x counts up, so points are distinct
+        assert at == sorted(at) and at[0] == 0 and at[-1] == len(shape) - 1
+        for a, b in zip(at, at[1:]):
+            assert all(from_segment(shape[i], shape[a], shape[b]) <= 2.0 for i in range(a + 1, b))
+
+
+def test_simplify_by_hand(spark):
+    flat = [(0.0, 0.0), (4.0, 1.0), (8.0, -1.0), (12.0, 0.0)]
+    # Cut at the peak, then at (4, 0); what is left of it is flat.
+    peak = [(0.0, 0.0), (1.0, 0.5), (2.0, 0.0), (3.0, 0.5), (4.0, 0.0), (6.0, 8.0), (12.0, 0.0)]
+    # Pieces of three points stay as they are.
+    short = [(0.0, 0.0), (4.0, 1.0), (8.0, 5.0), (12.0, 0.0)]
+    still = [(1.0, 1.0)] * 5
+    got = simplify(spark, [flat, peak, short, still])
+    assert got == [[flat[0], flat[3]], [peak[0], peak[4], peak[5], peak[6]], short, [(1.0, 1.0)] * 2]
+
+
+def test_nan_class_never_wins(spark):
+    scores = "array(CAST('NaN' AS DOUBLE), 0.9D)"
+    rest = "10D AS cx, 10D AS cy, 4D AS bw, 4D AS bh, 100D AS orig_w, 100D AS orig_h, 1D AS scale, 0D AS pad_x, 0D AS pad_y"
+    df = spark.range(1).selectExpr("id AS image_id", "1 AS det_id", f"{scores} AS scores", *rest.split(", "))
+    row = G.decode_lines(df).first()
+    assert (row.class_id, row.score) == (1, 0.9)
 
 
 def test_shapes_fall_back_to_box(spark):
