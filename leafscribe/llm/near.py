@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ from leafscribe.llm.passages import joined_hashes, mix, word_hashes
 #: Words of a shingle, and the similarity (in hundredths) from which two pages are linked.
 SHINGLE = 5
 PERCENT = 75
-#: Minwise tokens of a page, independent trees, tokens chosen at each node of a tree, and depth of a tree.
-TOKENS, TREES, CHOSEN, DEPTH = 64, 5, 2, 5
+#: Minwise tokens of a page, independent trees, and depth of a tree. A node chooses two tokens.
+TOKENS, TREES, DEPTH = 64, 5, 5
 #: Pages of a node that are compared exhaustively; larger nodes branch on, and at full depth are compared in blocks.
 SMALL = 256
+#: Pages of a large node that stand in each of its blocks, so that near copies in different blocks are linked early.
+LEADERS = 4
 #: Equal minwise tokens (of 64) from which a pair is verified. A pair at 0.75 has 48 on average, deviation 3.5.
 LEAST_EQUAL = 32
 SEED = 23
@@ -27,6 +30,9 @@ SEED = 23
 _random = np.random.default_rng(SEED)
 _XOR = _random.integers(0, 2**32, TOKENS, np.uint32)
 _ODD = _random.integers(0, 2**32, TOKENS, np.uint32) | np.uint32(1)
+_ROOTS = _random.integers(0, 2**63, TREES, np.uint64)
+#: A place in the trees is tree * 64 + heap index: the root has index 1, the children of h have 2h and 2h + 1.
+_PLACES = np.arange(TREES, dtype=np.int32) * 64 + 1
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +64,12 @@ def _sketch(width: int):
                 found, counts = shingles(texts, width)
                 full = np.flatnonzero(counts)
                 offsets = (np.cumsum(counts) - counts)[full]
-                tokens = np.zeros((len(texts), TOKENS), "<u2")
+                tokens = np.zeros((len(texts), TOKENS), "<u4")
                 prints = np.zeros(len(texts), np.uint64)
                 if len(full):
                     high = (found >> np.uint64(32)).astype(np.uint32)
                     for t in range(TOKENS):
-                        tokens[full, t] = np.minimum.reduceat((high ^ _XOR[t]) * _ODD[t], offsets) & np.uint32(0xFFFF)
+                        tokens[full, t] = np.minimum.reduceat((high ^ _XOR[t]) * _ODD[t], offsets)
                     salt = np.full(len(found), SEED, np.uint64)
                     prints[full] = mix(np.add.reduceat(mix(found, salt), offsets), counts[full].astype(np.uint64))
                 rows = batch.slice(start, len(texts))
@@ -82,152 +88,285 @@ def _sketch(width: int):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, TOKENS)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, TOKENS)
+
+
+def _chosen(node: np.ndarray) -> np.ndarray:
+    """The two tokens that each node chooses by its own hash."""
+    first, step = node % np.uint64(TOKENS), (node >> np.uint64(6)) % np.uint64(TOKENS - 1) + np.uint64(1)
+    return np.stack([first, (first + step) % np.uint64(TOKENS)], axis=-1)
+
+
+def _child(node: np.ndarray, token: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(node, token), value.astype(np.uint64))
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of each page at its node: the node's hash chooses tokens, equal tokens go the same way."""
+    """Children of each page at its node, or at all roots: equal values of a chosen token go the same way."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        node = batch["node"].to_numpy().view(np.uint64)
         tokens = _matrix(batch["tokens"])
-        rank = mix(np.repeat(node[:, None], TOKENS, 1), np.repeat(np.arange(TOKENS, dtype=np.uint64)[None], len(node), 0))
-        chosen = np.argsort(rank, axis=1, kind="stable")[:, :CHOSEN]
-        value = np.take_along_axis(tokens, chosen, 1).astype(np.uint64)
-        child = mix(mix(np.repeat(node[:, None], CHOSEN, 1), chosen.astype(np.uint64)), value)
-        row = pa.array(np.repeat(np.arange(len(node)), CHOSEN))
+        if "node" in batch.schema.names:
+            row = np.arange(batch.num_rows)
+            node, place = batch["node"].to_numpy().view(np.uint64), batch["place"].to_numpy()
+        else:
+            row = np.repeat(np.arange(batch.num_rows), TREES)
+            node, place = np.tile(_ROOTS, batch.num_rows), np.tile(_PLACES, batch.num_rows)
+        chosen = _chosen(node)
+        value = tokens[row[:, None], chosen.astype(np.int64)]
+        child = _child(np.repeat(node[:, None], 2, 1), chosen, value)
+        tree, heap = np.divmod(place, 64)
+        places = (tree * 64 + 2 * heap)[:, None] + np.arange(2)
         yield pa.record_batch(
-            [pa.array(child.ravel().view(np.int64)), batch["set_id"].take(row)], ["node", "set_id"]
+            [
+                pa.array(child.ravel().view(np.int64)),
+                pa.array(places.ravel().astype(np.int32)),
+                batch["set_id"].take(pa.array(np.repeat(row, 2))),
+            ],
+            ["node", "place", "set_id"],
         )
 
 
-def _pairs(ids: np.ndarray, tokens: np.ndarray, labels: np.ndarray, forest: bool):
-    """Pairs of one node with enough equal tokens and different labels: all, or a spanning forest of the closest."""
-    n = len(ids)
-    if forest:
-        # Prim: always the closest page that is still outside.
-        best, near = np.full(n, -1), np.zeros(n, np.int64)
-        outside, last = np.ones(n, bool), 0
-        outside[0] = False
-        for _ in range(n - 1):
-            equal = (tokens == tokens[last]).sum(1)
-            closer = outside & (equal > best)
-            best[closer], near[closer] = equal[closer], last
-            last = int(np.where(outside, best, -2).argmax())
-            outside[last] = False
-            if best[last] >= LEAST_EQUAL and labels[last] != labels[near[last]]:
-                yield ids[last], ids[near[last]]
-        return
-    for i in range(n - 1):
-        good = np.flatnonzero(((tokens[i + 1 :] == tokens[i]).sum(1) >= LEAST_EQUAL) & (labels[i + 1 :] != labels[i]))
-        for j in good + i + 1:
-            yield ids[i], ids[j]
+def _earliest(tokens: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray, place: int) -> np.ndarray:
+    """For pairs of pages at one compared node: False where an earlier compared node holds both, too.
 
+    A pair's common nodes follow from its equal tokens, and `marks` tells which of them branched on.
+    """
+    tree, heap = divmod(place, 64)
+    first = np.ones(len(i), bool)
+    equal = tokens[i] == tokens[j]
+    for t in range(tree + 1):
+        open_nodes = [(1, np.full(len(i), _ROOTS[t]), np.arange(len(i)))]
+        while open_nodes:
+            h, node, at = open_nodes.pop()
+            chosen = _chosen(node)
+            for slot in (0, 1):
+                g = 2 * h + slot
+                same = equal[at, chosen[:, slot].astype(np.int64)] & first[at]
+                pair = at[same]
+                branched = (marks[i[pair], t] >> g) & 1 == 1
+                if t < tree or g < heap:
+                    first[pair[~branched]] = False
+                if branched.any():
+                    pair, token = pair[branched], chosen[same, slot][branched]
+                    value = tokens[i[pair], token.astype(np.int64)]
+                    open_nodes.append((g, _child(node[same][branched], token, value), pair))
+    return first
+
+
+def _closest(tokens: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the closest pages of a node, between different labels."""
+    # Prim: always the closest page that is still outside.
+    n = len(labels)
+    best, near = np.full(n, -1), np.zeros(n, np.int64)
+    outside, last, found = np.ones(n, bool), 0, []
+    outside[0] = False
+    for _ in range(n - 1):
+        equal = (tokens == tokens[last]).sum(1)
+        closer = outside & (equal > best)
+        best[closer], near[closer] = equal[closer], last
+        last = int(np.where(outside, best, -2).argmax())
+        outside[last] = False
+        if best[last] >= LEAST_EQUAL and labels[last] != labels[near[last]]:
+            found.append((last, near[last]))
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _close(tokens, labels, marks, sides, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a node with enough equal tokens and different labels that no earlier node holds."""
+    left, right = [], []
+    across = sides.any() and not sides.all()
+    for i in range(len(labels) - 1):
+        good = ((tokens[i + 1 :] == tokens[i]).sum(1) >= LEAST_EQUAL) & (labels[i + 1 :] != labels[i])
+        if across:
+            good &= sides[i + 1 :] != sides[i]
+        found = np.flatnonzero(good) + i + 1
+        left.append(np.full(len(found), i))
+        right.append(found)
+    i, j = np.concatenate(left), np.concatenate(right)
+    if len(i):
+        first = _earliest(tokens, marks, i, j, place)
+        i, j = i[first], j[first]
+    return i, j
+
+
+def _by_node(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """`work` per table of whole nodes; rows come sorted by node, and a node, bounded in size, may go on in the next batch."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        node = table["node"].to_numpy()
+        cut = int(np.searchsorted(node, node[-1]))
+        if cut:
+            yield work(table.slice(0, cut).combine_chunks())
+        rest = table.slice(cut)
+    if rest is not None:
+        yield work(rest.combine_chunks())
 
-def _compare(forest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by node; a node, bounded in size, may go on in the next batch."""
-        rest = None
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            node, ids = table["node"].to_numpy(), table["set_id"].to_numpy()
-            labels = table["label"].to_numpy()
-            tokens = _matrix(table["tokens"].combine_chunks())
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
-            found = [
-                p
-                for a, b in zip(bounds, bounds[1:], strict=False)
-                if b - a > 1
-                for p in _pairs(ids[a:b], tokens[a:b], labels[a:b], forest)
-            ]
-            both = np.array(found, np.int64).reshape(-1, 2)
-            return pa.record_batch([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
+def _bounds(node: np.ndarray) -> Iterator[tuple[int, int]]:
+    at = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+    return zip(at.tolist(), at[1:].tolist(), strict=False)
+
+
+def _compare(forest: bool):
+    """Pages of each node that have candidates there, with their partners; a pair stands at one of its two pages."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        node, ids, labels = (table[c].to_numpy() for c in ("node", "set_id", "label"))
+        tokens = _matrix(table["tokens"].combine_chunks())
+        nodes, members, partners, lengths = [], [], [], []
+        if not forest:
+            places, sides = table["place"].to_numpy(), table["side"].to_numpy()
+            marks = np.array(table["marks"].to_pylist(), np.int64)
+        for a, b in _bounds(node):
+            if b - a < 2:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            node = table["node"].to_numpy()
-            cut = int(np.searchsorted(node, node[-1]))
-            if cut:
-                yield done(table.slice(0, cut).combine_chunks())
-            rest = table.slice(cut)
-        if rest is not None:
-            yield done(rest.combine_chunks())
+            if forest:
+                i, j = _closest(tokens[a:b], labels[a:b])
+            else:
+                i, j = _close(tokens[a:b], labels[a:b], marks[a:b], sides[a:b], int(places[a]))
+            order = np.argsort(i, kind="stable")
+            counts = np.bincount(i, minlength=b - a)
+            own = np.union1d(i, j)
+            nodes.append(np.full(len(own), node[a]))
+            members.append(ids[a:b][own])
+            partners.append(ids[a:b][j[order]])
+            lengths.append(counts[own])
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        offsets = np.concatenate([[0], np.cumsum(join(lengths))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(partners)))
+        return pa.record_batch([pa.array(join(nodes)), pa.array(join(members)), lists], ["node", "set_id", "partners"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_node(batches, done)
 
     return run
 
 
-def _candidates(leaves: DataFrame, labels: DataFrame | None, forest: bool) -> DataFrame:
+def _mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows, with the label of each page so far, of the nodes that hold more than one label."""
     if labels is None:
-        rows = leaves.withColumn("label", F.col("set_id"))
-    else:
-        known = copied(labels.select(F.col("id").alias("set_id"), "component"))
-        rows = leaves.join(known, "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
-        mixed = rows.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
-        rows = rows.join(mixed.select("node"), "node", "left_semi")
-    rows = rows.select("node", "set_id", "label", "tokens").repartition("node").sortWithinPartitions("node", "set_id")
-    return pin(rows.mapInArrow(_compare(forest), "a long, b long").distinct())
+        return rows.withColumn("label", F.col("set_id"))
+    known = copied(labels.select(F.col("id").alias("set_id"), "component"))
+    rows = rows.join(known, "set_id", "left").withColumn("label", F.coalesce("component", "set_id")).drop("component")
+    mixed = rows.groupBy("node").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h")
+    return rows.join(mixed.select("node"), "node", "left_semi")
 
 
 def _verify(width: int, percent: int):
+    """Links among the candidates of each node, by the whole sets of its pages."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        ids, partners = table["set_id"].to_pylist(), table["partners"].to_pylist()
+        node, texts = table["node"].to_numpy(), table["text"].combine_chunks()
+        left, right = [], []
+        for a, b in _bounds(node):
+            sets = {}
+            for start, part in slices(texts.slice(a, b - a)):
+                found, counts = shingles(part, width)
+                sets |= zip(ids[a + start : a + start + len(part)], np.split(found, np.cumsum(counts)[:-1]), strict=True)
+            for one, others in zip(ids[a:b], partners[a:b], strict=True):
+                for other in others:
+                    common = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[one]) + len(sets[other]) - common):
+                        left.append(one)
+                        right.append(other)
+        return pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                texts = [*part["text_a"].to_pylist(), *part["text_b"].to_pylist()]
-                distinct = sorted(set(texts))
-                found, counts = shingles(distinct, width)
-                sets = dict(zip(distinct, np.split(found, np.cumsum(counts)[:-1]), strict=True))
-                keep = []
-                for x, y in zip(texts[: part.num_rows], texts[part.num_rows :], strict=True):
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    keep.append(100 * common >= percent * (len(sets[x]) + len(sets[y]) - common))
-                linked = part.filter(pa.array(keep))
-                yield pa.record_batch([linked["a"], linked["b"]], ["a", "b"])
+        return _by_node(batches, done)
 
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets are similar enough; only texts of pairs are shuffled, one for each set."""
-    digest = copied(classes.select("set_id", "digest"))
-    named = pairs.join(digest.withColumnsRenamed({"set_id": "a", "digest": "digest_a"}), "a")
-    named = named.join(digest.withColumnsRenamed({"set_id": "b", "digest": "digest_b"}), "b")
-    named = pin(named.select("a", "b", "digest_a", "digest_b"))
-    needed = named.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct()
-    texts = rows.select("digest", "text").join(copied(pin(needed)), "digest", "left_semi")
-    texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
-    both = named.join(texts.withColumnsRenamed({"digest": "digest_a", "text": "text_a"}), "digest_a")
-    both = both.join(texts.withColumnsRenamed({"digest": "digest_b", "text": "text_b"}), "digest_b")
-    return pin(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "a long, b long"))
-
-
-def _leaves(classes: DataFrame, small: int, depth: int) -> DataFrame:
-    """(node, set_id, tokens) of all nodes that are compared: small ones, and blocks of those that stay large."""
-    tree = F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)]))
-    level = classes.select(tree.alias("node"), "set_id", "tokens")
-    sets = classes.select("set_id", "tokens")
-    leaves = None
-    for _ in range(depth):
-        children = pin(level.mapInArrow(_branch, "node long, set_id long").distinct())
-        sizes = pin(children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        rows = children.join(copied(sizes), "node").join(sets, "set_id").select("node", "set_id", "tokens", "size")
-        rows = pin(rows)
-        own = rows.where(F.col("size") <= small).drop("size")
-        leaves = own if leaves is None else leaves.unionByName(own)
-        level = rows.where(F.col("size") > small)
-        if level.isEmpty():
-            return leaves
-    # Full depth: every two blocks of half the size meet once, so all pairs of the node are still compared.
-    blocks = F.ceil(2 * F.col("size") / F.lit(small)).cast("long")
-    mine = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
-    dealt = level.withColumn("blocks", blocks).withColumn("mine", mine)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+class _Links:
+    """Verified links so far, and the component (`labels`) of every page that has one."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.rows, self.classes = rows, classes
+        self.width, self.percent = width, percent
+        self.found, self.labels = None, None
+
+    def add(self, nodes: DataFrame, forest: bool, marks: DataFrame | None = None) -> None:
+        """Compare the pages of each node (bounded in size) and verify the candidates.
+
+        The text of a page goes once to each node where it has candidates, not once a pair.
+        """
+        near = _mixed(nodes, self.labels).join(self.classes.select("set_id", "tokens"), "set_id")
+        if not forest:
+            none = F.array(*[F.lit(0).cast("long")] * TREES)
+            near = near.join(marks, "set_id", "left").withColumn("marks", F.coalesce("marks", none))
+        near = near.repartition("node").sortWithinPartitions("node", "set_id")
+        near = near.mapInArrow(_compare(forest), "node long, set_id long, partners array<long>")
+        near = pin(near.join(self.classes.select("set_id", "digest"), "set_id"))
+        needed = pin(near.select("digest").distinct())
+        texts = self.rows.select("digest", "text").join(copied(needed), "digest", "left_semi")
+        texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
+        near = near.join(texts, "digest").select("node", "set_id", "partners", "text")
+        near = near.repartition("node").sortWithinPartitions("node")
+        links = pin(near.mapInArrow(_verify(self.width, self.percent), "a long, b long"))
+        self.found = links if self.found is None else self.found.unionByName(links)
+        self.labels = pin(components(self.found))
+
+
+def _blocks(small: int):
+    """Number of blocks of half the size `small` that a large node is dealt to."""
+    return F.ceil(2 * F.col("size") / F.lit(small)).cast("long")
+
+
+def _with_leaders(large: DataFrame, small: int) -> DataFrame:
+    """(node, set_id) of the blocks of large nodes; a few pages of the node stand in all its blocks."""
+    drawn = [F.min_by("set_id", F.xxhash64("node", "set_id", F.lit(i))) for i in range(LEADERS)]
+    leaders = large.groupBy("node").agg(F.first("size").alias("size"), F.array_distinct(F.array(*drawn)).alias("sets"))
+    leaders = leaders.select("node", "sets", F.explode(F.sequence(F.lit(0), _blocks(small) - 1)).alias("block"))
+    leaders = leaders.select(F.xxhash64("node", "block").alias("node"), F.explode("sets").alias("set_id"))
+    block = F.pmod(F.xxhash64("set_id"), _blocks(small))
+    return large.select(F.xxhash64("node", block).alias("node"), "set_id").unionByName(leaders).distinct()
+
+
+def _against(large: DataFrame, small: int) -> DataFrame:
+    """Rows of nodes that stay large, for every two of their blocks: all pairs of such a node still meet, each once."""
+    mine = F.pmod(F.xxhash64("set_id"), _blocks(small))
+    dealt = large.withColumn("mine", mine)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), _blocks(small) - 1)))
     both = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))
-    return leaves.unionByName(dealt.select(both.alias("node"), "set_id", "tokens"))
+    return dealt.select(both.alias("node"), "place", "set_id", F.expr("int(mine > other)").alias("side"))
+
+
+def _link(links: _Links, small: int, depth: int) -> None:
+    """Grow the trees level by level and verify what meets in their nodes."""
+    sets = links.classes.select("set_id", "tokens")
+    level, leaves, branched = sets, [], []
+    for d in range(1, depth + 1):
+        children = pin(level.mapInArrow(_branch, "node long, place int, set_id long"))
+        sizes = pin(children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        rows = pin(children.join(copied(sizes), "node"))
+        leaves.append(rows.where(F.col("size") <= small).select("node", "place", "set_id"))
+        large = rows.where(F.col("size") > small)
+        if large.isEmpty():
+            large = None
+            break
+        # Near copies of one large group are linked here; a node with one component only has no more to find.
+        links.add(_with_leaders(large, small), True)
+        if d < depth:
+            branched.append(large.select("set_id", "place"))
+        large = pin(_mixed(large, links.labels).drop("label"))
+        level = large.join(sets, "set_id")
+    leaves = reduce(DataFrame.unionByName, leaves)
+    links.add(leaves, True)
+    nodes = leaves.withColumn("side", F.lit(0))
+    if large is not None:
+        nodes = nodes.unionByName(_against(large, small))
+    places = reduce(DataFrame.unionByName, branched) if branched else leaves.select("set_id", "place").limit(0)
+    heap = F.expr("shiftleft(1L, place % 64)")
+    marks = [F.bit_or(F.when(F.expr("place div 64") == t, heap).otherwise(0)) for t in range(TREES)]
+    links.add(nodes, False, places.groupBy("set_id").agg(F.array(*marks).alias("marks")))
 
 
 def near_copies(
@@ -241,10 +380,12 @@ def near_copies(
 
     Pages with equal sets are one class from the start. A class has 64 minwise tokens. In each of several trees it starts
     at the root; a node chooses two tokens by its own hash, and classes with the same value go to the same child.
-    Nodes of at most `small` classes are compared exhaustively, larger ones branch on; what is still large at full
-    depth is compared block against block. A pair at the least similarity shares a node of a tree with
-    probability 0.9 or more, so five trees miss fewer than one pair in 100,000. Pairs with half their tokens equal
-    are verified on their full sets: first a spanning forest of each node, then all pairs between the components so far.
+    Nodes of at most `small` classes are compared exhaustively. The classes of a larger node are first linked in blocks that
+    share a few of them; if they are not all in one component then, the node branches on, and what is still large and mixed at
+    full depth is compared block against block. A pair at the least similarity shares a node of a tree with
+    probability 0.89, so five trees miss about two such pairs in 100,000, and far fewer of closer ones. Pairs with half their
+    tokens equal are verified on their full sets: first a spanning forest of each node, then all pairs between the components
+    so far, each at the first node that holds it. `depth` is 5 at most.
 
     pages: `doc_id`, `text`; other columns are not looked at. Words are lower-cased (ASCII) and parted by ASCII white
     space; a text of fewer words than `width` is one shingle. Null and blank texts have no shingle and no links.
@@ -261,16 +402,9 @@ def near_copies(
     classes = pin(
         classes.agg(F.min("digest").alias("digest"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("least"))
     )
-    leaves = pin(_leaves(classes, small, depth))
-    links, labels = None, None
-    for forest in (True, False):
-        pairs = _candidates(leaves, labels, forest)
-        if links is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = pairs
-        found = _verified(pairs, classes, rows, width, percent)
-        links = found if links is None else links.unionByName(found)
-        labels = pin(components(links))
+    links = _Links(rows, classes, width, percent)
+    _link(links, small, depth)
+    labels = links.labels
     joined = classes.join(copied(labels.withColumnRenamed("id", "set_id")), "set_id", "left")
     joined = joined.select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
