@@ -285,6 +285,18 @@ def _verify(width: int, percent: int):
     return run
 
 
+def _once(near: DataFrame) -> DataFrame:
+    """The same candidates with each pair at one of its nodes only."""
+    pair = near.select("node", "set_id", F.explode("partners").alias("partner"))
+    both = [F.least("set_id", "partner").alias("a"), F.greatest("set_id", "partner").alias("b")]
+    pair = pair.select("node", *both).groupBy("a", "b").agg(F.min("node").alias("node"))
+    ends = pair.select("node", F.col("a").alias("set_id"), F.col("b").alias("partner")).unionByName(
+        pair.select("node", F.col("b").alias("set_id"), F.lit(None).cast("long").alias("partner"))
+    )
+    # A node is bounded, so are its partners; nulls are not collected.
+    return ends.groupBy("node", "set_id").agg(F.collect_list("partner").alias("partners"))
+
+
 class _Links:
     """Verified links so far, and the component (`labels`) of every page that has one."""
 
@@ -298,13 +310,14 @@ class _Links:
 
         The text of a page goes once to each node where it has candidates, not once a pair.
         """
-        near = _mixed(nodes, self.labels).join(self.classes.select("set_id", "tokens"), "set_id")
+        near = copied(pin(_mixed(nodes, self.labels))).join(self.classes.select("set_id", "tokens"), "set_id")
         if not forest:
             none = F.array(*[F.lit(0).cast("long")] * TREES)
             near = near.join(marks, "set_id", "left").withColumn("marks", F.coalesce("marks", none))
         near = near.repartition("node").sortWithinPartitions("node", "set_id")
         near = near.mapInArrow(_compare(forest), "node long, set_id long, partners array<long>")
-        near = pin(near.join(self.classes.select("set_id", "digest"), "set_id"))
+        near = pin(_once(near) if forest else near)
+        near = pin(copied(near).join(self.classes.select("set_id", "digest"), "set_id"))
         needed = pin(near.select("digest").distinct())
         texts = self.rows.select("digest", "text").join(copied(needed), "digest", "left_semi")
         texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
@@ -339,10 +352,30 @@ def _against(large: DataFrame, small: int) -> DataFrame:
     return dealt.select(both.alias("node"), "place", "set_id", F.expr("int(mine > other)").alias("side"))
 
 
+def _parted(large: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Large mixed nodes with few pages outside their main component, and the others.
+
+    The few meet all pages of their node, block by block; `label` is the component of a page so far.
+    """
+    counts = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
+    counts = counts.agg(F.max_by("label", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    rows = pin(large.join(copied(pin(counts)), "node"))
+    few_others = F.col("others") <= small // 2
+    outside = F.col("label") != F.col("main")
+    every = F.sequence(F.lit(-1).cast("long"), _blocks(small) - 1)
+    mine = F.array(F.pmod(F.xxhash64("set_id"), _blocks(small)))
+    block = F.explode(F.when(outside, every).otherwise(mine))
+    side = outside.cast("int")
+    lone = rows.where(few_others).select("node", block.alias("block"), "place", "set_id", side.alias("side"))
+    # Block -1 holds the few alone.
+    lone = lone.select(F.xxhash64("node", "block").alias("node"), "place", "set_id", "side")
+    return lone, rows.where(~few_others).drop("main", "others", "label")
+
+
 def _link(links: _Links, small: int, depth: int) -> None:
     """Grow the trees level by level and verify what meets in their nodes."""
     sets = links.classes.select("set_id", "tokens")
-    level, leaves, branched = sets, [], []
+    level, leaves, lone, branched = sets, [], [], []
     for d in range(1, depth + 1):
         children = pin(level.mapInArrow(_branch, "node long, place int, set_id long"))
         sizes = pin(children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -354,13 +387,17 @@ def _link(links: _Links, small: int, depth: int) -> None:
             break
         # Near copies of one large group are linked here; a node with one component only has no more to find.
         links.add(_with_leaders(large, small), True)
+        alone, large = _parted(_mixed(large, links.labels), small)
+        lone.append(alone)
         if d < depth:
             branched.append(large.select("set_id", "place"))
-        large = pin(_mixed(large, links.labels).drop("label"))
-        level = large.join(sets, "set_id")
+        if large.isEmpty():
+            large = None
+            break
+        level = copied(large).join(sets, "set_id")
     leaves = reduce(DataFrame.unionByName, leaves)
     links.add(leaves, True)
-    nodes = leaves.withColumn("side", F.lit(0))
+    nodes = reduce(DataFrame.unionByName, [leaves.withColumn("side", F.lit(0)), *lone])
     if large is not None:
         nodes = nodes.unionByName(_against(large, small))
     places = reduce(DataFrame.unionByName, branched) if branched else leaves.select("set_id", "place").limit(0)
@@ -381,8 +418,8 @@ def near_copies(
     Pages with equal sets are one class from the start. A class has 64 minwise tokens. In each of several trees it starts
     at the root; a node chooses two tokens by its own hash, and classes with the same value go to the same child.
     Nodes of at most `small` classes are compared exhaustively. The classes of a larger node are first linked in blocks that
-    share a few of them; if they are not all in one component then, the node branches on, and what is still large and mixed at
-    full depth is compared block against block. A pair at the least similarity shares a node of a tree with
+    share a few of them. If few are outside the main component then, they are compared with all classes of the node; otherwise
+    the node branches on, and what is still large at full depth is compared block against block. A pair at the least similarity shares a node of a tree with
     probability 0.89, so five trees miss about two such pairs in 100,000, and far fewer of closer ones. Pairs with half their
     tokens equal are verified on their full sets: first a spanning forest of each node, then all pairs between the components
     so far, each at the first node that holds it. `depth` is 5 at most.

@@ -1,6 +1,11 @@
 import random
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
 
 from page_fixtures import hard, pages, with_clashes  # noqa: F401
+from leafscribe.llm import near
 from leafscribe.llm.components import components
 from leafscribe.llm.near import near_copies
 
@@ -62,6 +67,35 @@ def test_groups(pages):
     assert result(near_copies(pages(texts), small=4, depth=2)) == expected(rows)
 
 
+def test_each_pair_at_its_first_node():
+    rnd = np.random.default_rng(3)
+    tokens = np.repeat(rnd.integers(0, 2**32, (1, near.TOKENS), np.uint32), 12, 0)
+    tokens[rnd.random(tokens.shape) < 0.2] = 7
+    marks = rnd.integers(0, 16, (12, near.TREES)) & ~1
+    marks[:] = marks[0]
+    # Every compared node and its members, by walking all trees.
+    found = {}
+    for m in range(12):
+        todo = [(t, 1, near._ROOTS[t]) for t in range(near.TREES)]
+        while todo:
+            t, h, node = todo.pop()
+            for slot, token in enumerate(near._chosen(np.array([node]))[0]):
+                value = tokens[m, [int(token)]]
+                child, g = near._child(np.array([node]), np.array([token]), value)[0], 2 * h + slot
+                if marks[m, t] >> g & 1:
+                    todo.append((t, g, child))
+                else:
+                    found.setdefault((t * 64 + g, child), []).append(m)
+    times, met = Counter(), set()
+    for (place, _), members in found.items():
+        pairs = list(combinations(members, 2))
+        met |= set(pairs)
+        if pairs:
+            i, j = np.array(pairs).T
+            times.update(p for p, f in zip(pairs, near._earliest(tokens, marks, i, j, place)) if f)
+    assert len(met) > 40 and dict(times) == dict.fromkeys(met, 1)
+
+
 def test_hard_rows(pages, hard, with_clashes):
     ids = [None, 5, 5, *range(7, 7 + len(hard) - 3)]
     df = with_clashes(pages(hard, ids), "set_id", "tokens", "component")
