@@ -61,13 +61,23 @@ def _volume_in(link: Column) -> Column:
     return F.coalesce(viewer, F.when(link.contains("/manifest"), manifest))
 
 
+def _plain_content(inner: Column) -> Column:
+    """Text of an element's inner XML: nested tags go, character data and the five named entities are resolved."""
+    text = F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>|<[^>]*>", "$1")
+    for name, sign in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")]:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return text
+
+
 def resolve_harvest(records: DataFrame, xml: str = "xml") -> DataFrame:
     """Adds `manifest_id` and `error`, one of the two is null.
 
     The link elements may sit at any depth and a broken record must not stop the job, so
     the elements are taken by pattern; the first link that holds a volume id wins.
     """
-    body = F.regexp_replace(xml, "(?s)<!--.*?-->", "")
+    whole = F.regexp_replace(xml, "(?s)<!--.*?-->", "")
+    # Elements written inside character data are no elements.
+    body = F.regexp_replace(whole, r"(?s)<!\[CDATA\[.*?\]\]>", "")
     element = r"""(?s)<(?:[\w.-]+:)?dao\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
     links = F.transform(
         F.regexp_extract_all(body, F.lit(element), F.lit(0)),
@@ -75,7 +85,8 @@ def resolve_harvest(records: DataFrame, xml: str = "xml") -> DataFrame:
     )
     found = F.filter(F.transform(links, _volume_in), lambda v: v.isNotNull())
     opening = F.regexp_extract(body, r"(?s)<(?:[\w.-]+:)?error\b[^>]*>", 0)
-    inner = F.regexp_extract(body, r"(?s)<(?:[\w.-]+:)?error\b[^>]*[^>/]>(.*?)</", 1)
+    inner = F.regexp_extract(whole, r"(?s)<((?:[\w.-]+:)?error)\b[^>]*(?<!/)>(.*?)</\1\s*>", 2)
+    inner = _plain_content(inner)
     code = F.regexp_extract(opening, r"""\bcode\s*=\s*["']([^"']*)["']""", 1)
     message = F.coalesce(
         F.nullif(inner, F.lit("")), F.nullif(code, F.lit("")), F.lit(UNKNOWN_ERROR)

@@ -60,6 +60,21 @@ def test_harvest(spark):
     assert [(r.manifest_id, r.error) for r in found] == [r[1:] for r in RECORDS]
 
 
+def test_harvest_errors(spark):
+    hidden = '<o><![CDATA[<dao xlink:href="https://x/y/R0001203"/>]]></o>'
+    rows = [
+        ("<o><error>a &amp; b</error></o>", "a & b"),
+        ("<o><error><b>x</b> y</error></o>", "x y"),
+        ("<o><error><![CDATA[a<b]]></error></o>", "a<b"),
+        ('<o><error code="c1"/></o>', "c1"),
+        ("<o><error/></o>", V.UNKNOWN_ERROR),
+        (hidden, V.NO_VOLUME),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, xml string")
+    found = V.resolve_harvest(df).orderBy("i").collect()
+    assert [(r.manifest_id, r.error) for r in found] == [(None, e) for _, e in rows]
+
+
 def test_page_ranges(spark):
     df = spark.createDataFrame([("a", 3, 0, 9), ("b", 3, 2, 1), ("c", 0, 1, 5)], "m string, n int, s int, e int")
     found = V.expand_pages(df, F.col("n"), F.col("s"), F.col("e")).collect()
