@@ -298,12 +298,12 @@ def _once(near: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Verified links so far, and the component (`labels`) of every page that has one."""
+    """The component (`labels`) of every page that has a verified link so far."""
 
     def __init__(self, rows: DataFrame, classes: DataFrame, width: int, percent: int):
         self.rows, self.classes = rows, classes
         self.width, self.percent = width, percent
-        self.found, self.labels = None, None
+        self.labels = None
 
     def add(self, nodes: DataFrame, forest: bool, marks: DataFrame | None = None) -> None:
         """Compare the pages of each node (bounded in size) and verify the candidates.
@@ -323,9 +323,11 @@ class _Links:
         texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
         near = near.join(texts, "digest").select("node", "set_id", "partners", "text")
         near = near.repartition("node").sortWithinPartitions("node")
-        links = pin(near.mapInArrow(_verify(self.width, self.percent), "a long, b long"))
-        self.found = links if self.found is None else self.found.unionByName(links)
-        self.labels = pin(components(self.found))
+        links = near.mapInArrow(_verify(self.width, self.percent), "a long, b long")
+        if self.labels is not None:
+            # Earlier links only count by their components.
+            links = links.unionByName(self.labels.select(F.col("component").alias("a"), F.col("id").alias("b")))
+        self.labels = pin(components(links))
 
 
 def _blocks(small: int):
@@ -334,13 +336,17 @@ def _blocks(small: int):
 
 
 def _with_leaders(large: DataFrame, small: int) -> DataFrame:
-    """(node, set_id) of the blocks of large nodes; a few pages of the node stand in all its blocks."""
+    """(node, set_id) of blocks: a page stands in one of the largest node that holds it, a few pages of a node in all of its blocks.
+
+    A large group of near copies fills many nodes; once is enough to link it.
+    """
     drawn = [F.min_by("set_id", F.xxhash64("node", "set_id", F.lit(i))) for i in range(LEADERS)]
     leaders = large.groupBy("node").agg(F.first("size").alias("size"), F.array_distinct(F.array(*drawn)).alias("sets"))
     leaders = leaders.select("node", "sets", F.explode(F.sequence(F.lit(0), _blocks(small) - 1)).alias("block"))
     leaders = leaders.select(F.xxhash64("node", "block").alias("node"), F.explode("sets").alias("set_id"))
+    home = large.groupBy("set_id").agg(F.max(F.struct("size", "node")).alias("home")).select("set_id", "home.*")
     block = F.pmod(F.xxhash64("set_id"), _blocks(small))
-    return large.select(F.xxhash64("node", block).alias("node"), "set_id").unionByName(leaders).distinct()
+    return home.select(F.xxhash64("node", block).alias("node"), "set_id").unionByName(leaders).distinct()
 
 
 def _against(large: DataFrame, small: int) -> DataFrame:

@@ -107,3 +107,13 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 900), (900, 700), (3, 3)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 700: 500, 900: 500}
+
+
+def test_components_in_blocks(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(-5, 300), (2**62, -5), (400, 400)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    want = {r.id: r.component for r in components(links).collect()}
+    assert want[2**62] == want[300] == -5 and 400 not in want
+    assert all(want[a] == want[b] for a, b in rows if a != b)
+    assert {r.id: r.component for r in components(links, block=40).collect()} == want
