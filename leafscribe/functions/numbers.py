@@ -12,7 +12,18 @@ def half_up(value: Column) -> Column:
 
 
 def three_digits(value: Column) -> Column:
-    return F.format_string("%.3f", value)
+    """Three digits, by the exact value of the double: 1.0005, which is a little less, gives 1.000; exact halves go up."""
+    size = F.abs(value)
+    whole = F.floor(size)
+    # Both halves of the fraction are so short that their products with 1000 are exact.
+    fraction = size - whole
+    high = F.floor(fraction * 2.0**26) / 2.0**26
+    thousandths, rest = high * 1000, (fraction - high) * 1000
+    up = (thousandths - F.floor(thousandths) - 0.5) + rest >= 0
+    total = whole * 1000 + F.floor(thousandths) + up.cast("long")
+    sign = F.when((value < 0) & (total > 0), "-").otherwise("")
+    digits = F.format_string("%d.%03d", F.floor(total / 1000).cast("long"), F.pmod(total, F.lit(1000)).cast("long"))
+    return F.when(size < 1e12, F.concat(sign, digits)).otherwise(F.format_string("%.3f", value))
 
 
 def plain_number(value: Column) -> Column:

@@ -17,8 +17,10 @@ LINES_PER_PAGE = 14
 SAVE_DELAY, CATALOG_DELAY, SEARCH_DELAY = 2.0, 0.4, 0.3
 
 REGION = ["image_id", "region_id"]
-# Beyond this many steps the weight of an older value is 0 in a double (0.7 ** 2200).
+# After so many steps the weight of an older value is 0 in a double (0.7 ** 2200); a decayed average itself
+# stops at the smallest double, so it never counts as "no value yet" again.
 FORGOTTEN = 2200
+SMALLEST = 5e-324
 
 
 def _is(kind: str) -> Column:
@@ -133,12 +135,13 @@ def latest_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def _smooth(values: Column) -> Column:
-    """Running average of an array: the first non-zero value as is, then 0.3 new + 0.7 old."""
+def _smooth(values: Column, started: bool = False) -> Column:
+    """Running average of an array: the first non-zero value as is (unless `started`), then 0.3 new + 0.7 old."""
 
     def step(acc: Column, v: Column) -> Column:
         old = acc["avg"]
-        new = F.when(old == 0, v).otherwise(NEW_WEIGHT * v + OLD_WEIGHT * old)
+        new = NEW_WEIGHT * v + OLD_WEIGHT * old
+        new = new if started else F.when(old == 0, v).otherwise(new)
         return F.struct(new.alias("avg"), F.concat(acc["all"], F.array(new)).alias("all"))
 
     start = F.struct(F.lit(0.0).alias("avg"), F.array().cast("array<double>").alias("all"))
@@ -148,8 +151,9 @@ def _smooth(values: Column) -> Column:
 def smoothed_rate(events: DataFrame, limit: int = 4096) -> DataFrame:
     """Seconds per line of each image, smoothed, with the time left for its pending lines.
 
-    Input: one row per finished line. Blocks are long enough for the value carried into a
-    block to depend on the block before it only, so all blocks fold in parallel.
+    Input: one row per finished line, with times ascending by `seq`. Blocks are long enough for
+    the value carried into a block to depend on the block before it and on whether any value
+    came earlier, so all blocks fold in parallel.
     """
     block_rows = max(limit, FORGOTTEN)
     ordered = Ordered(events, ["image_id"], ["seq"], block_rows)
@@ -167,9 +171,14 @@ def smoothed_rate(events: DataFrame, limit: int = 4096) -> DataFrame:
         values = F.transform("items", lambda i: i["seconds"])
         carry = F.lit(0.0)
         if blocked:
+            # The end of a block as the first with a value, and as a later one.
+            ends = packed.select(*chunk, _smooth(values)["avg"].alias("_own"), _smooth(values, True)["avg"].alias("_on"))
+            first = ends.where("_own <> 0").groupBy("image_id").agg(F.min("_block").alias("_first"))
+            ends = ends.join(first, "image_id", "left")
+            on = F.when(F.col("_on") == 0, F.lit(SMALLEST)).otherwise(F.col("_on"))
+            carried = F.when(F.col("_block") == F.col("_first"), F.col("_own")).when(F.col("_block") > F.col("_first"), on)
             following = (F.col("_block") + 1).alias("_block")
-            ends = packed.select("image_id", following, _smooth(values)["avg"].alias("_carry"))
-            packed = packed.join(ends, chunk, "left")
+            packed = packed.join(ends.select("image_id", following, carried.alias("_carry")), chunk, "left")
             carry = F.coalesce("_carry", carry)
         seeded = _smooth(F.concat(F.array(carry), values))["all"]
         both = F.zip_with(

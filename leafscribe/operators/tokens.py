@@ -133,10 +133,10 @@ def decode_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def detokenise(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Text of each sequence; reserved and unknown ids give nothing.
+    """Text of each sequence, one row; reserved and unknown ids give nothing.
 
-    Token bytes are looked up once per vocabulary entry. Long sequences come in parts of
-    SPAN tokens; bytes of a character cut by a seam go to the earlier part.
+    Token bytes are looked up once per vocabulary entry. They are joined by spans of SPAN tokens
+    first, then the spans of a sequence; the whole is decoded at once, so no seam cuts a character.
     """
     spelled = vocab.select(F.col("id").alias("token_id"), token_bytes(F.col("token")).alias("_raw"))
     kept = tokens.where(~F.col("token_id").isin(BEGIN, PAD, END))
@@ -145,20 +145,12 @@ def detokenise(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     packed = coded.groupBy("seq_id", part).agg(
         F.array_sort(F.collect_list(F.struct("pos", "_raw"))).alias("items")
     )
-    joined = packed.select(
-        "seq_id", "part", F.array_join(F.transform("items", lambda i: i["_raw"]), "").alias("_all")
+    spans = packed.select(
+        "seq_id", "part", F.array_join(F.transform("items", lambda i: i["_raw"]), "").alias("_raw")
     )
-    # Continuation bytes are 80..BF; a character has at most three of them.
-    head = F.regexp_extract("_all", r"^[\x80-\xbf]{1,3}", 0)
-    spill = joined.where("part > 0").select(
-        "seq_id", (F.col("part") - 1).alias("part"), head.alias("_tail")
-    )
-    own = F.when(F.col("part") > 0, F.substr("_all", F.length(head) + 1)).otherwise(F.col("_all"))
-    whole = joined.join(spill.where("_tail <> ''"), ["seq_id", "part"], "left").withColumn(
-        "_all", F.concat(own, F.coalesce("_tail", F.lit("")))
-    )
-    text = F.make_valid_utf8(F.encode("_all", LATIN).cast("string"))
-    return whole.select("seq_id", F.col("part").cast("int").alias("part"), text.alias("text"))
+    whole = spans.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("part", "_raw"))).alias("items"))
+    raw = F.array_join(F.transform("items", lambda i: i["_raw"]), "")
+    return whole.select("seq_id", F.make_valid_utf8(F.encode(raw, LATIN).cast("string")).alias("text"))
 
 
 def decode_timing(lines: DataFrame) -> DataFrame:

@@ -25,16 +25,17 @@ def hydrate(
     group_pos, line_index and line columns. By default only a page's first saved group
     is taken, because after it the page has a group.
     """
-    empty = pages.join(page_groups.select("doc_id").distinct(), "doc_id", "left_anti")
     if first_group_only:
         firsts = saved.groupBy("manifest_id", "page_number").agg(
             F.min("group_pos").alias("group_pos")
         )
         saved = saved.join(firsts, ["manifest_id", "page_number", "group_pos"], "left_semi")
-    # Two pages may carry the same number; the first one takes the rows.
-    targets = empty.groupBy("manifest_id", "page_number").agg(
+    # Two pages may carry the same number; only the first one can take the rows, and does not if it is filled.
+    targets = pages.groupBy("manifest_id", "page_number").agg(
         F.min(F.struct("doc_id", "line_counter")).alias("t")
     )
+    filled = page_groups.select(F.col("doc_id").alias("_filled")).distinct()
+    targets = targets.join(filled, F.col("t.doc_id") == F.col("_filled"), "left_anti")
     placed = saved.drop("doc_id").join(targets, ["manifest_id", "page_number"])
     placed = placed.withColumns(
         {"doc_id": F.col("t.doc_id"), "line_counter": F.coalesce("t.line_counter", F.lit(0))}

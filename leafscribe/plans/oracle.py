@@ -412,7 +412,7 @@ QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, token_id)=1"
 WITH e AS (SELECT seq_id, pos, CASE WHEN (seq_id+pos)%97=96 THEN 2 ELSE token_id END AS token_id FROM f_tokens)
 SELECT seq_id, pos, token_id FROM e WHERE pos<256 AND pos < coalesce((SELECT min(pos) FROM e z WHERE z.seq_id=e.seq_id AND z.token_id=2), 1000000)""",
     "vocab_load": "SELECT id, CASE WHEN id%10=0 THEN concat(word,'!') ELSE word END AS token FROM f_vocab",
-    "detokenise": "SELECT seq_id, CAST(0 AS INT) AS part, concat(' ',string_agg(word,' ' ORDER BY pos)) AS text FROM f_seq GROUP BY seq_id",
+    "detokenise": "SELECT seq_id, concat(' ',string_agg(word,' ' ORDER BY pos)) AS text FROM f_seq GROUP BY seq_id",
     "decode_tokens": "SELECT seq_id, pos, concat(' ',word) AS text FROM f_seq",
     "decode_timing": """
 SELECT seq, region_id AS worker, line_id AS tokens, round(CASE WHEN line_id>0 THEN value/line_id ELSE 0 END,6) AS ms_per_token, round(value/4+value,6) AS total_ms
@@ -437,7 +437,7 @@ SELECT image_id, region_id, group_name, CAST(row_number() OVER (PARTITION BY ima
     "hydrate": """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY group_pos, line_index)-1+doc_id%5 AS BIGINT) AS line_id, group_pos, group_name, text, confidence, true AS complete FROM (
   SELECT p.doc_id, s.group_pos, s.line_index, s.group_name, s.text, s.confidence FROM f_saved s JOIN (
-    SELECT manifest_id, page_number, min(doc_id) AS doc_id FROM f_page WHERE doc_id NOT IN (SELECT doc_id FROM f_group WHERE group_pos>=1) GROUP BY 1,2) p
+    SELECT manifest_id, page_number, min(doc_id) AS doc_id FROM f_page GROUP BY 1,2 HAVING min(doc_id) NOT IN (SELECT doc_id FROM f_group WHERE group_pos>=1)) p
   ON p.manifest_id=s.manifest_id AND p.page_number=s.page_number)""",
     "new_pages": """
 SELECT DISTINCT concat('src',page_id%25) AS manifest_id, n AS page_number FROM (SELECT page_id, CAST(unnest(range(1, n_pages+1)) AS INT) AS n FROM f_manifest) x

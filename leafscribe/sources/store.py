@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from leafscribe.functions.text import contains_folded, not_blank
 from leafscribe.operators.scale import GROUP_ROWS, Ordered, ordinal, within, without
+from leafscribe.session import pin
 
-LINE_KEY = ["manifest_id", "page_number", "group_pos", "line_index"]
+GROUP_KEY = ["manifest_id", "page_number", "group_pos"]
+LINE_KEY = [*GROUP_KEY, "line_index"]
 
 
 def serialize_for_save(
@@ -67,14 +69,16 @@ def changed_volumes(current: DataFrame, saved_digests: DataFrame) -> DataFrame:
     return digests(current).join(saved_digests.select(*keys), keys, "left_anti")
 
 
-def save(rows: DataFrame, path: str, keys=LINE_KEY) -> None:
-    """Upsert: new rows replace saved rows of the same key; other volumes stay untouched."""
+def save(rows: DataFrame, path: str, keys=GROUP_KEY) -> None:
+    """Upsert: the new rows of a group replace all its saved rows; other groups and volumes stay untouched."""
     spark = rows.sparkSession
+    # Read several times, and it may come from the folder that is written.
+    rows = pin(rows)
     merged = rows
     if _exists(spark, path):
         old = spark.read.schema(rows.schema).parquet(path)
         touched = within(old, rows, ["manifest_id"])
-        merged = rows.unionByName(touched.join(rows.select(*keys), keys, "left_anti"))
+        merged = rows.unionByName(touched.join(rows.select(*keys).distinct(), keys, "left_anti"))
     # Pages of a volume stay together, but an outsized volume, page or group is spread.
     place = [
         F.floor(F.col(c) / n)

@@ -2,14 +2,16 @@
 
 import json
 import math
+import random
 import xml.etree.ElementTree as ET
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from leafscribe.functions.boxes import box, in_shape, iou
-from leafscribe.functions.numbers import duration_text, half_up, plain_number
+from leafscribe.functions.numbers import duration_text, half_up, plain_number, three_digits
 from leafscribe.functions.text import not_blank, pad_number, trimmed, words, xml_escaped
 from leafscribe.operators import catalog as C
 from leafscribe.operators import events as E
@@ -28,6 +30,14 @@ def test_numbers(spark):
     assert [one(spark, half_up(F.lit(x))) for x in (-2.5, 2.5, 0.49)] == [-2, 3, 0]
     assert [one(spark, plain_number(F.lit(x))) for x in (20.0, 0.47)] == ["20", "0.47"]
     assert one(spark, duration_text(F.lit(59))) == "59s"
+    # Exact binary value; an exact half goes up.
+    rounded = {1.0005: "1.000", 0.2345: "0.234", 0.0625: "0.063", 0.9995: "1.000", 0.0005: "0.001", 0.0: "0.000", 12.3456: "12.346", -0.25: "-0.250"}
+    rng = random.Random(5)
+    for _ in range(60):
+        x = rng.choice([rng.random(), rng.randrange(20_000) / 10_000, rng.randrange(4000) / 16])
+        rounded[x] = str(Decimal(x).quantize(Decimal("0.001"), ROUND_HALF_UP))
+    df = spark.createDataFrame([(x,) for x in rounded], "v double").select("v", three_digits(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == rounded
     assert one(spark, duration_text(F.lit(125))) == "2m 5s"
 
 
@@ -282,10 +292,11 @@ def test_detokenise_round_trip(spark, monkeypatch, span):
     vocab = spark.createDataFrame([(3 + b, c) for b, c in shown.items()] + [(1, "pad")], "id int, token string")
     assert alphabet.count() == vocab.count() - 1
     tokens = spark.createDataFrame(pieces + [(1, 90, 1), (1, 91, 9999)], "seq_id int, pos int, token_id int")
-    built = {}
-    for r in T.detokenise(tokens, vocab).orderBy("seq_id", "part").collect():
-        built[r.seq_id] = built.get(r.seq_id, "") + r.text
-    assert [built[s] for s in range(len(texts))] == texts
+    built = T.detokenise(tokens, vocab)
+    assert [r.text for r in built.orderBy("seq_id").collect()] == texts
+    # Bytes after a span without a known token stay.
+    lone = spark.createDataFrame([(7, 0, 1), (7, 1, 9999), (7, 2, 3 + 0xA4), (7, 3, 3 + 97)], tokens.schema)
+    assert [r.text for r in T.detokenise(lone, vocab).collect()] == ["\ufffda"]
     encoded = spark.createDataFrame([(t,) for t in texts], "t string").select(
         "t", T.to_byte_alphabet(F.col("t")).alias("e")
     )
@@ -326,6 +337,9 @@ def test_first_group_only_and_line_ids(spark):
     )
     found = W.hydrate(pages, held, saved).collect()
     assert sorted((r.doc_id, r.line_id, r.text) for r in found) == [(1, 4, "a"), (1, 5, "b")]
+    # A second page of the same number takes nothing, even where the first one is filled.
+    twice = pages.unionByName(spark.createDataFrame([(3, "v", 1, 0), (4, "v", 2, 0)], pages.schema))
+    assert sorted(map(str, W.hydrate(twice, held, saved).collect())) == sorted(map(str, found))
     every = W.hydrate(pages, held, saved, first_group_only=False).collect()
     assert sorted(r.text for r in every) == ["a", "b", "c"]
 

@@ -118,6 +118,22 @@ def test_event_paths(views):
     assert rows(E.debounce(events, 7200.0, 3)) == rows(E.debounce(events, 7200.0))
 
 
+def test_smoothed_rate_after_a_long_rest(spark):
+    """The decayed average of equal times is not taken for "no value yet", whatever the blocks."""
+    data, at = [], 0
+    for i in range(9_000):
+        at += 0 if i < 2_300 or 2_350 <= i < 8_900 else 8_000_000 if i >= 8_900 else 10_000_000
+        data.append((1, i, at))
+    df = spark.createDataFrame(data, "image_id int, seq int, us long").select(
+        "image_id", "seq", F.timestamp_micros("us").alias("ts")
+    )
+    split = {r.seq: r.avg for r in E.smoothed_rate(df, limit=1).collect()}
+    whole = {r.seq: r.avg for r in E.smoothed_rate(df, limit=10_000).collect()}
+    assert [round(whole[s], 3) for s in (2_300, 2_301, 8_900, 8_901, 8_902)] == [10.0, 10.0, 2.4, 4.08, 5.256]
+    assert split.keys() == whole.keys()
+    assert all(abs(split[s] - whole[s]) <= 1e-9 * max(1.0, whole[s]) for s in whole)
+
+
 def test_smoothed_rate_blocks(spark):
     rng = random.Random(2)
     at, data = 0, []

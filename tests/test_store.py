@@ -31,6 +31,19 @@ def test_upsert(spark, views, tmp_path):
     assert S.saved_rows(spark, path).count() == keep.count() + change.count()
 
 
+def test_shrunk_group(spark, views, tmp_path):
+    path = str(tmp_path / "store")
+    all_rows = saved(views).drop("doc_id").cache()
+    S.save(all_rows, path)
+    largest = all_rows.groupBy(*S.GROUP_KEY).count().orderBy(F.desc("count"), *S.GROUP_KEY).first()
+    assert largest["count"] > 2
+    own = F.lit(True)
+    for key in S.GROUP_KEY:
+        own = own & (F.col(key) == largest[key])
+    S.save(all_rows.where(own & (F.col("line_index") < 2)), path)
+    assert rows(S.saved_rows(spark, path)) == rows(all_rows.where(~own | (F.col("line_index") < 2)))
+
+
 def test_one_volume_reads_one_partition(spark, views, tmp_path):
     path = str(tmp_path / "store")
     S.save(saved(views), path)
