@@ -20,7 +20,13 @@ PERCENT = 75
 #: Minwise tokens of a page, independent trees, and depth of a tree. A node chooses two tokens.
 TOKENS, TREES, DEPTH = 64, 5, 5
 #: Pages of a node that are compared exhaustively; larger nodes branch on, and at full depth are compared in blocks.
-SMALL = 256
+SMALL = 2048
+#: Pages of a node whose whole texts are held together to verify candidates; the pairs of a larger node are parted.
+HELD = 256
+#: Pairs of a node that are looked at together.
+PAIRS = 1 << 16
+#: Partners of a page whose sets are compared with its own at once.
+TOGETHER = 64
 #: Pages of a large node that stand in each of its blocks, so that near copies in different blocks are linked early.
 LEADERS = 4
 #: Equal minwise tokens (of 64) from which a pair is verified. A pair at 0.75 has 48 on average, deviation 3.5.
@@ -186,10 +192,22 @@ def _close(tokens, labels, marks, sides, place: int) -> tuple[np.ndarray, np.nda
         left.append(np.full(len(found), i))
         right.append(found)
     i, j = np.concatenate(left), np.concatenate(right)
-    if len(i):
-        first = _earliest(tokens, marks, i, j, place)
-        i, j = i[first], j[first]
-    return i, j
+    some = [slice(at, at + PAIRS) for at in range(0, len(i), PAIRS)]
+    first = [np.zeros(0, bool), *(_earliest(tokens, marks, i[s], j[s], place) for s in some)]
+    first = np.concatenate(first)
+    return i[first], j[first]
+
+
+def _held(node: int, size: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The candidates of a node by parts that touch `HELD` pages at most, each under a number of its own."""
+    if size <= HELD:
+        yield node, i, j
+        return
+    part = (i // (HELD // 2)).astype(np.uint64) << np.uint64(32) | (j // (HELD // 2)).astype(np.uint64)
+    for p in np.unique(part):
+        own = part == p
+        number = mix(np.array([node], np.int64).view(np.uint64), np.array([p], np.uint64)).view(np.int64)[0]
+        yield number, i[own], j[own]
 
 
 def _by_node(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
@@ -231,13 +249,14 @@ def _compare(forest: bool):
                 i, j = _closest(tokens[a:b], labels[a:b])
             else:
                 i, j = _close(tokens[a:b], labels[a:b], marks[a:b], sides[a:b], int(places[a]))
-            order = np.argsort(i, kind="stable")
-            counts = np.bincount(i, minlength=b - a)
-            own = np.union1d(i, j)
-            nodes.append(np.full(len(own), node[a]))
-            members.append(ids[a:b][own])
-            partners.append(ids[a:b][j[order]])
-            lengths.append(counts[own])
+            for number, x, y in _held(node[a], b - a, i, j):
+                order = np.argsort(x, kind="stable")
+                counts = np.bincount(x, minlength=b - a)
+                own = np.union1d(x, y)
+                nodes.append(np.full(len(own), number))
+                members.append(ids[a:b][own])
+                partners.append(ids[a:b][y[order]])
+                lengths.append(counts[own])
         join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
         offsets = np.concatenate([[0], np.cumsum(join(lengths))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(partners)))
@@ -259,6 +278,14 @@ def _mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(mixed.select("node"), "node", "left_semi")
 
 
+def _common(own: np.ndarray, others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of hashes that each of the other sets (not empty, sorted) has in common with one, and their sizes."""
+    sizes = np.array([len(other) for other in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    return np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes), sizes
+
+
 def _verify(width: int, percent: int):
     """Links among the candidates of each node, by the whole sets of its pages."""
 
@@ -272,11 +299,12 @@ def _verify(width: int, percent: int):
                 found, counts = shingles(part, width)
                 sets |= zip(ids[a + start : a + start + len(part)], np.split(found, np.cumsum(counts)[:-1]), strict=True)
             for one, others in zip(ids[a:b], partners[a:b], strict=True):
-                for other in others:
-                    common = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
-                    if 100 * common >= percent * (len(sets[one]) + len(sets[other]) - common):
-                        left.append(one)
-                        right.append(other)
+                for at in range(0, len(others), TOGETHER):
+                    near = others[at : at + TOGETHER]
+                    common, sizes = _common(sets[one], [sets[other] for other in near])
+                    linked = np.flatnonzero(100 * common >= percent * (len(sets[one]) + sizes - common))
+                    left += [one] * len(linked)
+                    right += [near[k] for k in linked]
         return pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,25 @@ def test_groups(pages):
     assert result(near_copies(pages(texts), small=4, depth=2)) == expected(rows)
 
 
+def test_candidates_in_parts(pages, monkeypatch):
+    rnd = np.random.default_rng(2)
+    i, j = np.triu_indices(40, 1)
+    keep = rnd.random(len(i)) < 0.5
+    i, j = i[keep], j[keep]
+    monkeypatch.setattr(near, "HELD", 8)
+    monkeypatch.setattr(near, "PAIRS", 16)
+    parts = list(near._held(-3, 40, i, j))
+    assert len({n for n, _, _ in parts}) == len(parts) > 10
+    assert all(len(np.union1d(x, y)) <= 8 for _, x, y in parts)
+    assert sorted((a, b) for _, x, y in parts for a, b in zip(x, y)) == list(zip(i, j))
+    tokens = rnd.integers(0, 2, (30, near.TOKENS)).astype(np.uint32)
+    marks, sides = np.zeros((30, near.TREES), np.int64), np.zeros(30, int)
+    some = near._close(tokens, np.arange(30), marks, sides, 130)
+    monkeypatch.setattr(near, "PAIRS", 10**6)
+    every = near._close(tokens, np.arange(30), marks, sides, 130)
+    assert [x.tolist() for x in some] == [x.tolist() for x in every]
+
+
 def test_each_pair_at_its_first_node():
     rnd = np.random.default_rng(3)
     tokens = np.repeat(rnd.integers(0, 2**32, (1, near.TOKENS), np.uint32), 12, 0)
