@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscribe.llm.common import hashed_fraction, held_out, learning_fold, per_slice, plain, slices
+from leafscribe.llm.common import bound_batches, hashed_fraction, held_out, learning_fold, per_slice, plain, slices
 
 #: Length of the vectors, letters of one n-gram, and seed of the random letter vectors.
 DIMENSIONS = 1024
@@ -52,6 +53,17 @@ def _letters(text: str) -> np.ndarray:
     return padded[~(space & np.concatenate([[False], space[:-1]]))]
 
 
+def with_letters(pages: DataFrame) -> DataFrame:
+    """Pages, with all their columns, whose text has a letter."""
+    bound_batches(pages.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool)
+
+    return pages.where(lettered("text"))
+
+
 def _grams(text: str, letters: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams (21 bits a letter) and their counts; none if the text has no letter."""
     codes = _letters(text)
