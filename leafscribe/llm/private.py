@@ -178,8 +178,6 @@ class Field:
     def added(self, text: str, base: list[list[Span]]) -> list[list[Span]]:
         """Spans that the field adds: tokens surely of a kind that touch no base span."""
         found: list[list[Span]] = [[] for _ in KINDS]
-        if not any(base):
-            return found
         tokens = _tokens(text)
         labels = _labels(tokens, base)
         for span, label, p in zip(tokens, labels, self.marginals(text, tokens, labels) if tokens else [], strict=True):
@@ -235,7 +233,8 @@ def private_data(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Patterns give the base spans (email, ip, card, phone; leftmost, not overlapping within a kind). A skip-chain
     conditional random field over the page's tokens with digits or an `@` then adds tokens: neighbours and, however
     far apart, tokens with the same digits or letters share potentials, and loopy message passing makes their labels
-    agree. Base spans always stay. The field's shape potentials are learnt from the pattern matches of a bounded sample.
+    agree, on pages with and without base spans. Base spans always stay. The field's shape potentials are learnt from the
+    pattern matches of a bounded sample.
 
     pages: `doc_id`, `text` (null: empty); other columns are not looked at. Returns per page `doc_id`, `n_email`, `n_ip`,
     `n_card`, `n_phone` (base spans), `base_sha256` (of kind:start:end, joined by commas, by kind, then start) and `spans`

@@ -79,3 +79,10 @@ def test_pages(pages, hard, with_clashes):
 
 def test_no_pages(pages):
     assert private_data(pages([])).collect() == []
+
+
+def test_field_runs_without_base_spans(pages):
+    known = [f"kort 4111-1111-1111-1111 nummer{i}" for i in range(30)]
+    rows = private_data(pages([*known, "kort 4111-1111-1111-1112", "a.b@c.se kort 4111-1111-1111-1112", "år 1917"]))
+    found = [r.spans for r in rows.orderBy("doc_id").collect()][-3:]
+    assert found == ["card:5:24", "email:0:8,card:14:33", ""]
