@@ -227,12 +227,17 @@ def error_sentinel(results: DataFrame) -> DataFrame:
     )
 
 
-def flatten_page_result(pages: DataFrame, column: str = "groups") -> DataFrame:
-    """Line rows out of nested page results groups[{region, lines[{bbox, text, confidence}]}]."""
-    keys = [c for c in pages.columns if c != column]
-    groups = pages.select(*keys, F.posexplode(column).alias("group_pos", "g"))
+def flatten_page_result(pages: DataFrame, column: str = "groups", first: str | None = None) -> DataFrame:
+    """Line rows out of nested page results groups[{region, lines[{bbox, text, confidence}]}].
+
+    `first` names a column with the number of lines of the group in the rows before; `line_pos` goes on from there.
+    """
+    keys = [c for c in pages.columns if c not in (column, first)]
+    before = F.lit(0) if first is None else F.col(first)
+    groups = pages.select(*keys, before.alias("_before"), F.posexplode(column).alias("group_pos", "g"))
     lines = groups.select(
         *keys,
+        "_before",
         "group_pos",
         F.col("g.region.label").alias("label"),
         F.col("g.region.confidence").alias("region_confidence"),
@@ -243,7 +248,7 @@ def flatten_page_result(pages: DataFrame, column: str = "groups") -> DataFrame:
         "group_pos",
         "label",
         "region_confidence",
-        "line_pos",
+        (F.col("_before") + F.col("line_pos")).cast("int").alias("line_pos"),
         "l.bbox.*",
         "l.text",
         "l.confidence",

@@ -14,7 +14,7 @@ from leafscribe.operators import events as E
 from leafscribe.operators import geometry as G
 from leafscribe.operators import tokens as T
 from leafscribe.operators import workspace as W
-from leafscribe.operators.scale import Ordered, lookup
+from leafscribe.operators.scale import GROUP_ROWS, Ordered, lookup
 from leafscribe.operators.suppression import nms
 from leafscribe.plans.page_transcription import transcribe_pages
 from leafscribe.sinks import exports as X
@@ -539,20 +539,22 @@ def score_lines(v: Views) -> DataFrame:
 
 
 @query
-def flatten_page_result(v: Views) -> DataFrame:
+def flatten_page_result(v: Views, limit: int = GROUP_ROWS) -> DataFrame:
     grouped = v.lines().where("group_pos IS NOT NULL")
     line = F.struct(
         box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("bbox"), "text", "confidence"
     )
-    nested = Ordered(grouped, ["doc_id", "group_pos"], ["line_id"]).collected(line, "lines")
+    nested = Ordered(grouped, ["doc_id", "group_pos"], ["line_id"], limit).collected(line, "lines")
     region = F.struct(F.lit("text_region").alias("label"), F.lit(0.5).alias("confidence"))
     results = nested.select(
         "doc_id",
         F.col("group_pos").alias("source_group"),
-        "part",
+        # A group is one part at every size: the blocks of a large one are counted on.
+        F.lit(0).alias("part"),
+        (F.col("part") * limit).alias("first"),
         F.array(F.struct(region.alias("region"), "lines")).alias("groups"),
     )
-    return T.flatten_page_result(results)
+    return T.flatten_page_result(results, first="first")
 
 
 @query

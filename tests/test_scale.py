@@ -10,6 +10,7 @@ from leafscribe.operators import geometry as G
 from leafscribe.operators import workspace as W
 from leafscribe.operators.scale import Ordered, has_large_group, lookup, ordinal
 from leafscribe.operators.suppression import nms
+from leafscribe.plans import queries as Q
 from leafscribe.sinks import exports as X
 from leafscribe.sources import store as S
 
@@ -195,3 +196,9 @@ def test_exports_in_parts(views, kind):
     for r in sorted(parts, key=lambda r: (r.doc_id, r.part)):
         built.setdefault(r.doc_id, []).append(r.content)
     assert {k: joint.join(v) for k, v in built.items()} == whole
+
+
+def test_flattened_lines_go_on_across_blocks(views):
+    whole = rows(Q.flatten_page_result(views))
+    assert rows(Q.flatten_page_result(views, limit=1)) == whole
+    assert rows(Q.flatten_page_result(views, limit=3)) == whole
