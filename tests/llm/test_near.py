@@ -136,3 +136,22 @@ def test_components_in_blocks(spark):
     assert want[2**62] == want[300] == -5 and 400 not in want
     assert all(want[a] == want[b] for a, b in rows if a != b)
     assert {r.id: r.component for r in components(links, block=40).collect()} == want
+
+
+def test_joint_miss_at_the_least_similarity():
+    from math import comb
+
+    def met(equal):
+        both = equal * (equal - 1) / (near.TOKENS * (near.TOKENS - 1))
+        other = near.TOKENS - equal
+        none = other * (other - 1) / (near.TOKENS * (near.TOKENS - 1))
+        lives = 1.0
+        for _ in range(near.DEPTH):
+            lives = 1 - (none + (1 - both - none) * (1 - lives) + both * (1 - lives) ** 2)
+        return lives
+
+    miss = 0.0
+    for equal in range(near.TOKENS + 1):
+        share = comb(near.TOKENS, equal) * 0.75**equal * 0.25 ** (near.TOKENS - equal)
+        miss += share * (1 if equal < near.LEAST_EQUAL else (1 - met(equal)) ** near.TREES)
+    assert miss < 2e-5
