@@ -89,3 +89,62 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
          list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]) END, ' '), '')) AS kept_sha256
 FROM doc LEFT JOIN removed USING (doc_id)
 """
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string of ASCII characters, bit by bit; 3988292384 is the reversed polynomial."""
+    return f"""xor(4294967295::BIGINT, list_reduce(range(0, 8 * length({text})), lambda c, i:
+      xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii({text}[i // 8 + 1])::BIGINT) ELSE c END) >> 1,
+          3988292384 * ((CASE WHEN i % 8 = 0 THEN xor(c, ascii({text}[i // 8 + 1])::BIGINT) ELSE c END) & 1)), 4294967295::BIGINT))"""
+
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE
+leaves AS (
+  SELECT doc_id, source, sha256(head || {_field("text")}) AS leaf,
+         sha256(head || {_field("CASE WHEN bad THEN replace(text, chr(10), '') ELSE text END")}) AS claimed
+  FROM (SELECT *, {_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} AS head,
+               coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0, false) AS bad FROM documents)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+nodes(source, lvl, p, h, n) AS (
+  SELECT source, 0, p, leaf, count(*) OVER (PARTITION BY source) FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY source, lvl, p // 3),
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS sp FROM nodes WHERE n = 1),
+tops(lvl, p, h, n) AS (
+  SELECT 0, sp, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT lvl + 1, p // 3, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 2) // 3
+  FROM tops WHERE n > 1 GROUP BY lvl, p // 3),
+sides AS (
+  SELECT a.source, a.lvl, a.p, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < a.p), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > a.p), '') AS after
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.p // 3 = b.p // 3
+  WHERE a.n > 1 GROUP BY ALL),
+top_sides AS (
+  SELECT a.lvl, a.p, coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p < a.p), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.p) FILTER (b.p > a.p), '') AS after
+  FROM tops a JOIN tops b ON a.lvl = b.lvl AND a.p // 3 = b.p // 3 WHERE a.n > 1 GROUP BY ALL),
+lower AS (
+  SELECT l.source, l.p, list(before || '|' || after ORDER BY s.lvl) FILTER (s.lvl IS NOT NULL) AS w
+  FROM placed l LEFT JOIN sides s ON l.source IS NOT DISTINCT FROM s.source AND s.p = l.p // CAST(pow(3, s.lvl) AS BIGINT)
+  GROUP BY ALL),
+upper AS (
+  SELECT r.source, r.subroot, list(before || '|' || after ORDER BY s.lvl) FILTER (s.lvl IS NOT NULL) AS w
+  FROM subroots r LEFT JOIN top_sides s ON s.p = r.sp // CAST(pow(3, s.lvl) AS BIGINT) GROUP BY ALL),
+whole AS (
+  SELECT l.doc_id, l.leaf, l.claimed, u.subroot, list_concat(coalesce(o.w, []), coalesce(u.w, [])) AS w
+  FROM placed l JOIN lower o ON l.source IS NOT DISTINCT FROM o.source AND l.p = o.p
+  JOIN upper u ON l.source IS NOT DISTINCT FROM u.source),
+done AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+         sha256(replace(array_to_string(w, ''), '|', '')) AS proof_sha256,
+         list_reduce(w, lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2)), claimed) AS folded_root
+  FROM whole)
+SELECT *, folded_root = root AS verified FROM done
+"""

@@ -11,6 +11,7 @@ from leafscribe.llm.exact import exact_copies
 from leafscribe.llm.hosts import judge_image_urls
 from leafscribe.llm.language import page_languages
 from leafscribe.llm.leaks import benchmark_leaks
+from leafscribe.llm.manifest import folded, record_digest, volume_manifest, witness_digest
 from leafscribe.llm.near import near_copies
 from leafscribe.llm.packing import packed
 from leafscribe.llm.passages import without_repeats
@@ -92,3 +93,21 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratings = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
     return page_quality(table(spark, sf_dir, "documents"), ratings)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["page_number", "manifest_id", "lang", "n_chars", "text"]
+    documents = table(spark, sf_dir, "documents")
+    renamed = [F.col("doc_id").alias("page_number"), F.col("source").alias("manifest_id"), "lang", "n_chars", "text"]
+    pages = documents.select(*renamed)
+    # Tampering deletes the line breaks of the text of some pages.
+    tampered = F.crc32(F.col("page_number").cast("string")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claimed = record_digest(*[F.col(f) for f in fields[:-1]], text)
+    found = volume_manifest(pages.withColumn("claimed", claimed), fields, ["claimed"])
+    found = found.withColumn("folded_root", folded(F.col("claimed"), F.col("witness")))
+    return found.select(
+        F.col("page_number").alias("doc_id"), "leaf", "subroot", "root", witness_digest(F.col("witness")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
