@@ -148,3 +148,52 @@ done AS (
   FROM whole)
 SELECT *, folded_root = root AS verified FROM done
 """
+
+SQL["op12_exact_topk"] = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS units FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.units, c.units) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scores
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE
+steps AS (  -- CRC-32 of each byte value; 3988292384 is the reversed polynomial
+  SELECT list(list_reduce(range(0, 8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), byte) ORDER BY byte) AS t
+  FROM unnest(range(0, 256)) AS r(byte)),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LETTERS}), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, c, length(run) AS len, xor(4294967295::BIGINT, list_reduce(range(0, strlen(doc_id || ':' || run)), lambda x, i:
+    xor(x >> 8, t[(xor(x, 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) & 255) + 1]),
+    4294967295::BIGINT)) AS crc
+  FROM (SELECT *, hex(doc_id || ':' || run) AS h FROM runs), steps),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % len) || substr(run, crc % len + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word
+  UNION ALL
+  SELECT DISTINCT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION ALL
+  SELECT DISTINCT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, CASE WHEN near_n >= 2 * w.n THEN near END AS form, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+paths(word, reached) AS (
+  SELECT word, word FROM forms
+  UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON p.reached = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, p.reached AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN paths p ON f.word = p.word JOIN forms last ON last.word = p.reached WHERE last.form IS NULL
+"""

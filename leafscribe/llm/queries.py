@@ -17,6 +17,8 @@ from leafscribe.llm.packing import packed
 from leafscribe.llm.passages import without_repeats
 from leafscribe.llm.private import private_data
 from leafscribe.llm.quality import page_quality
+from leafscribe.llm.similar import similar_records
+from leafscribe.llm.spelling import spelling_variants, word_counts
 from leafscribe.llm.toxicity import page_toxicity
 
 #: Verdict, host and path of the stated address rules.
@@ -111,3 +113,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_number").alias("doc_id"), "leaf", "subroot", "root", witness_digest(F.col("witness")).alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("reference_code"), "embedding")
+    found = similar_records(records, F.col("reference_code") % 100 == 0, k=10, scale=1024.0)
+    return found.select(F.col("query_code").alias("query_id"), "rank", F.col("reference_code").alias("vec_id"), "score")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), fault=97))
