@@ -89,7 +89,7 @@ def test_far_records_are_not_sent():
     # Two distant clusters: a group of queries in one does not get the records of the other.
     pivots = np.array([[1000, 0], [-1000, 0]])
     space = Space(pivots, 1000.0**2)
-    layout = Layout(space, np.array([60.0, -np.inf]), np.array([3, 0]), np.array([5, 5]), np.array([40.0, 40.0]), 8, 4)
+    layout = Layout(space, np.array([70.0, -np.inf]), np.array([3, 0]), np.array([5, 5]), np.array([40.0, 40.0]), 8, 4)
     row, group = layout.groups_of(np.array([[999, 1], [-999, 1], [998, 20]]))
     assert row.tolist() == [0, 2] and group.tolist() == [0, 0]
     row, block = layout.blocks_of(np.array([[1000, 0]]), np.array([30.0]))
