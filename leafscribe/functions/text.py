@@ -30,6 +30,12 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def query_terms(query: str) -> list[str]:
+    """Search terms of a query. The parameter is one short text, so it is cut on the caller's side."""
+    kept = "".join(c if c.isalpha() or c.isnumeric() else " " for c in query.lower())
+    return kept.split()
+
+
 def contains_folded(text: Column, query: str) -> Column:
     """Case-insensitive contains; a blank query keeps everything."""
     wanted = query.strip().lower()

@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafscribe.functions.text import or_else, terms
-from leafscribe.operators.scale import lookup, ordinal
+from leafscribe.functions.text import or_else, query_terms, terms
+from leafscribe.operators.scale import lookup
 from leafscribe.session import pin
+from leafscribe.sources.text_index import K1, B
 
-K1, B = 1.2, 0.75
-FUSION = 60
 
 
 def catalog_filter(
@@ -34,13 +33,14 @@ def catalog_filter(
 
 
 def full_text(docs: DataFrame, text: str, query: str) -> DataFrame:
-    """Rows that hold any query term, without their text and with their BM25 `score`.
+    """Rows that hold any query term, without their text and with their BM25 `score`, from the texts themselves.
 
+    For texts that are searched once; `sources.text_index` keeps posting lists for those that are searched often.
     Term counts come from each row's own array, so nothing is exploded or shuffled. The
     texts are cut once: the counts are pinned, as both the corpus statistics (one row) and
     the scores need them.
     """
-    wanted = sorted(set(_query_terms(query)))
+    wanted = sorted(set(query_terms(query)))
     kept = [c for c in docs.columns if c != text]
     if not wanted:
         return docs.select(*kept, F.lit(0.0).alias("score")).limit(0)
@@ -66,12 +66,6 @@ def _occurrences(column: str, term: str) -> Column:
     return F.size(column) - F.size(F.array_remove(column, term))
 
 
-def _query_terms(query: str) -> list[str]:
-    # The parameter is one short text, so it is cut on the caller's side.
-    kept = "".join(c if c.isalpha() or c.isnumeric() else " " for c in query.lower())
-    return kept.split()
-
-
 def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(score), F.asc(key)).limit(k)
 
@@ -108,21 +102,6 @@ def vector_search(
     return ranked.where(F.col("rank") <= k)
 
 
-def ranked_by(scored: DataFrame, score: str, key: str, name: str) -> DataFrame:
-    """Complete ranking without a single-task sort."""
-    ordered = scored.select(key, (-F.col(score)).alias("_down"))
-    return ordinal(ordered, [], ["_down", key], name).select(key, name)
-
-
-def hybrid(text_scores: DataFrame, vector_scores: DataFrame, key: str, k: int) -> DataFrame:
-    """Reciprocal rank fusion over both complete rankings."""
-    left = ranked_by(text_scores, "score", key, "text_rank")
-    right = ranked_by(vector_scores, "score", key, "vector_rank")
-    both = left.join(right, key, "full_outer")
-    part = lambda c: F.coalesce(1.0 / (FUSION + F.col(c)), F.lit(0.0))
-    return top(both.withColumn("score", part("text_rank") + part("vector_rank")), "score", key, k)
-
-
 def result_page(hits: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
     """One page by falling score, with the total match count on every row."""
     total = hits.agg(F.count(F.lit(1))).scalar()

@@ -317,6 +317,38 @@ FROM f_page p LEFT JOIN (
         for n in Q.query_vectors()
     )
     + f")) WHERE rank<={Q.TOP}",
+    "catalog_index": r"""
+SELECT term, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_occurrences FROM (
+  SELECT doc_id, term, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents)
+  WHERE term <> '' GROUP BY ALL)
+GROUP BY term""",
+    "catalog_vector_batch": f"""
+SELECT query, CAST(rank AS INT) AS rank, vec_id, round(score,6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT CAST(q.vec_id AS VARCHAR) AS query, e.vec_id,
+           list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
+    FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0)) WHERE rank <= {Q.TOP}""",
+    "catalog_search": f"""
+WITH r AS (SELECT * FROM f_catalog WHERE year_start BETWEEN {Q.SEARCH_YEARS[0]} AND {Q.SEARCH_YEARS[1]}),
+t AS (SELECT reference_code, score FROM {RECORD_HITS} SEMI JOIN r USING (reference_code)),
+v AS (SELECT reference_code, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_vector("q0")}) AS score FROM r JOIN embeddings ON vec_id = doc_id),
+h AS (SELECT reference_code, coalesce(1.0::DOUBLE/(60+a),0)+coalesce(1.0::DOUBLE/(60+b),0) AS score
+  FROM (SELECT reference_code, row_number() OVER (ORDER BY score DESC, reference_code) AS a FROM t)
+  FULL JOIN (SELECT reference_code, row_number() OVER (ORDER BY score DESC, reference_code) AS b FROM v) USING (reference_code)),
+every AS (SELECT 'fts' AS mode, * FROM t UNION ALL SELECT 'vector', * FROM v UNION ALL SELECT 'hybrid', * FROM h)
+SELECT mode, position, reference_code, archive_code, date_text, round(score,6) AS score, total FROM (
+  SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, reference_code) AS position, count(*) OVER (PARTITION BY mode) AS total FROM every)
+JOIN r USING (reference_code) WHERE position > {Q.PAGE_SIZE // 2} AND position <= {Q.PAGE_SIZE // 2 + Q.PAGE_SIZE}""",
+    "open_records": f"""
+WITH f AS (SELECT reference_code, doc_id FROM {RECORD_HITS} JOIN f_catalog USING (reference_code)),
+a AS (SELECT reference_code, page_id, page_id % 12 AS n, page_id IS NULL OR page_id % 10 < 2 AS failed FROM f LEFT JOIN pages ON page_id = doc_id),
+p AS (SELECT reference_code, page_id, n, unnest(CASE WHEN failed OR n = 0 THEN [NULL] ELSE range(1, n + 1) END) AS page, failed FROM a)
+SELECT reference_code, CASE WHEN NOT failed THEN concat('R', lpad(CAST(page_id AS VARCHAR), 7, '0')) END AS manifest_id, CAST(page AS INT) AS page_number,
+  CASE WHEN page IS NOT NULL THEN concat('R', lpad(CAST(page_id AS VARCHAR), 7, '0'), '_', lpad(CAST(page AS VARCHAR), 5, '0'), '.jpg') END AS name,
+  CASE WHEN page_id % 10 = 0 THEN 'no such record' WHEN failed THEN 'Could not find IIIF manifest ID in OAI-PMH response'
+       WHEN n = 0 THEN 'No pages found in this volume' END AS error
+FROM p WHERE page IS NULL OR NOT (n > 4 AND page = 3)""",
     "catalog_hybrid": f"""
 SELECT doc_id, text_rank, vector_rank, round(score,6) AS score FROM (
   SELECT doc_id, text_rank, vector_rank, coalesce(1.0::DOUBLE/(60+text_rank),0)+coalesce(1.0::DOUBLE/(60+vector_rank),0) AS score

@@ -14,8 +14,12 @@ from leafscribe.operators import events as E
 from leafscribe.operators import geometry as G
 from leafscribe.operators import tokens as T
 from leafscribe.operators import workspace as W
+from leafscribe.operators.fusion import fused
 from leafscribe.operators.scale import GROUP_ROWS, Ordered, lookup
+from leafscribe.operators.search import MODES, search_catalog
+from leafscribe.operators.search import open_records as search_open_records
 from leafscribe.operators.suppression import nms
+from leafscribe.operators.vectors import vector_search_batch
 from leafscribe.plans.page_transcription import transcribe_pages
 from leafscribe.sinks import exports as X
 from leafscribe.sources import store as S
@@ -30,6 +34,7 @@ LINE_QUERY = "an"
 SEED = 7
 TOP = 10
 PAGE_SIZE = 20
+SEARCH_YEARS = (1650, 1850)
 CREATED = "2024-01-01T00:00:00.000Z"
 CROP_WIDTH, CROP_HEIGHT = 400.0, 150.0
 BURST = 7200.0
@@ -222,10 +227,15 @@ def catalog_filter(v: Views) -> DataFrame:
     return found.select("reference_code", "archive_code", "year_start")
 
 
+@query
+def catalog_index(v: Views) -> DataFrame:
+    return v.text_index("documents").vocabulary()
+
+
 @query
 def catalog_fts(v: Views) -> DataFrame:
-    hits = C.full_text(v.documents().select("doc_id", "text"), "text", DOC_QUERY)
-    return C.top(hits.select("doc_id", "score"), "score", "doc_id", TOP).select("doc_id", r6("score"))
+    best = v.text_index("documents").top(DOC_QUERY, TOP)
+    return best.select(F.col("key").alias("doc_id"), r6("score"))
 
 
 @query
@@ -235,21 +245,53 @@ def catalog_vector(v: Views) -> DataFrame:
     )
 
 
+@query
+def catalog_vector_batch(v: Views) -> DataFrame:
+    asked = v.embeddings().where("vec_id % 50 = 0")
+    asked = asked.select(F.col("vec_id").cast("string").alias("query"), F.col("embedding").alias("vector"))
+    return vector_search_batch(v.embeddings(), asked, TOP).select("query", "rank", "vec_id", r6("score"))
+
+
 @query
 def catalog_hybrid(v: Views) -> DataFrame:
-    texts = C.full_text(v.documents().select("doc_id", "text"), "text", DOC_QUERY).select("doc_id", "score")
+    texts = v.text_index("documents").search(DOC_QUERY).withColumnRenamed("key", "doc_id")
     vectors = v.embeddings().select(
         F.col("vec_id").alias("doc_id"),
         C.cosine(F.col("embedding"), query_vectors()["q0"]).alias("score"),
     )
-    return C.hybrid(texts, vectors, "doc_id", TOP).select(
-        "doc_id", "text_rank", "vector_rank", r6("score")
-    )
+    return fused(texts, vectors, "doc_id", TOP).select("doc_id", "text_rank", "vector_rank", r6("score"))
 
 
 def _record_hits(v: Views) -> DataFrame:
-    records = v.catalog().select("reference_code", "description")
-    return C.full_text(records, "description", RECORD_QUERY)
+    return v.text_index("catalog").search(RECORD_QUERY).withColumnRenamed("key", "reference_code")
+
+
+def _searched(v: Views, mode: str, **parameters) -> DataFrame:
+    codes = v.catalog().select("doc_id", "reference_code")
+    vectors = v.embeddings().join(codes, F.col("vec_id") == F.col("doc_id")).select("reference_code", "embedding")
+    return search_catalog(
+        v.catalog(), v.text_index("catalog"), vectors, RECORD_QUERY, query_vectors()["q0"], mode, **parameters
+    )
+
+
+@query
+def catalog_search(v: Views) -> DataFrame:
+    page = {"date_start": SEARCH_YEARS[0], "date_end": SEARCH_YEARS[1], "limit": PAGE_SIZE, "offset": PAGE_SIZE // 2}
+    found = [_searched(v, mode, **page).withColumn("mode", F.lit(mode)) for mode in MODES]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select(
+        "mode", "position", "reference_code", "archive_code", "date_text", r6("score"), "total"
+    )
+
+
+@query
+def open_records(v: Views) -> DataFrame:
+    # Every match, not a page of the result: the limit is beyond the number of records.
+    found = _searched(v, "fts", limit=10**9)
+    codes = v.catalog().select("doc_id", F.col("reference_code").alias("code"))
+    harvest = V.resolve_harvest(v.harvest()).join(codes, F.col("page_id") == F.col("doc_id"))
+    counts = v.manifests().select("manifest_id", V.page_count(F.col("manifest")).alias("n_pages"))
+    known = counts.where("n_pages > 4").select("manifest_id", F.lit(3).alias("page_number"))
+    return search_open_records(found, harvest.select("code", "manifest_id", "error"), counts, known)
 
 
 @query

@@ -6,17 +6,24 @@ Each view is a lazy DataFrame over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscribe.operators.scale import ordinal
+from leafscribe.session import use_shared_checkpoints
+from leafscribe.sources.text_index import TextIndex
 
 
 VOLUME = """CASE WHEN doc_id%50=7 THEN NULL WHEN source='src1' THEN 'upload-1' ELSE source END"""
 
 
+#: Folders of the text indexes that an application has built, by application, tables and name.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -243,6 +250,23 @@ class Views:
             "text AS description",
         )
 
+    def text_index(self, name: str) -> TextIndex:
+        """Index of the texts of `documents` by doc_id, or of the descriptions of `catalog` by reference code.
+
+        Built once for an application, in the shared folder.
+        """
+        key, key_type, text = ("doc_id", "long", "text") if name == "documents" else ("reference_code", "string", "description")
+        use_shared_checkpoints(self.spark)
+        context = self.spark.sparkContext
+        built = (context.applicationId, self.folder, name)
+        if built in _INDEXES:
+            return TextIndex(self.spark, _INDEXES[built], key_type)
+        path = f"{context.getCheckpointDir()}/text-index-{uuid.uuid4().hex}"
+        index = TextIndex.create(self.spark, path, key_type)
+        index.append(getattr(self, name)(), key, text, 0)
+        _INDEXES[built] = path
+        return index
+
     def harvest(self) -> DataFrame:
         head = '<r xmlns:xlink="http://www.w3.org/1999/xlink"><dao xlink:href="https://a.example/'
         return self.table("pages").selectExpr(
