@@ -17,8 +17,8 @@ from leafscribe.llm.passages import joined_hashes, mix, word_hashes
 #: Words of a shingle, and the similarity (in hundredths) from which two pages are linked.
 SHINGLE = 5
 PERCENT = 75
-#: Minwise tokens of a page, independent trees, and depth of a tree. A node chooses two tokens.
-TOKENS, TREES, DEPTH = 64, 8, 5
+#: Minwise tokens of a page, trees, tokens that a tree chooses at its start, and levels below that. A node chooses two tokens.
+TOKENS, TREES, START, DEPTH = 64, 56, 3, 5
 #: Pages of a node that are compared exhaustively; larger nodes branch on, and at full depth are compared in blocks.
 SMALL = 2048
 #: Pages of a node whose whole texts are held together to verify candidates; the pairs of a larger node are parted.
@@ -37,7 +37,9 @@ _random = np.random.default_rng(SEED)
 _XOR = _random.integers(0, 2**32, TOKENS, np.uint32)
 _ODD = _random.integers(0, 2**32, TOKENS, np.uint32) | np.uint32(1)
 _ROOTS = _random.integers(0, 2**63, TREES, np.uint64)
-#: A place in the trees is tree * 64 + heap index: the root has index 1, the children of h have 2h and 2h + 1.
+#: Tokens that each tree chooses at its start.
+_CHOSEN = np.array([_random.choice(TOKENS, START, replace=False) for _ in range(TREES)])
+#: A place in the trees is tree * 64 + heap index: a start node has index 1, the children of h have 2h and 2h + 1.
 _PLACES = np.arange(TREES, dtype=np.int32) * 64 + 1
 
 
@@ -107,20 +109,33 @@ def _child(node: np.ndarray, token: np.ndarray, value: np.ndarray) -> np.ndarray
     return mix(mix(node, token), value.astype(np.uint64))
 
 
+def _starts(tokens: np.ndarray) -> np.ndarray:
+    """The start node of each page in each tree: that of its values of all tokens that the tree chooses there."""
+    node = np.repeat(_ROOTS[None, :], len(tokens), 0)
+    for step in range(START):
+        node = mix(node, tokens[:, _CHOSEN[:, step]].astype(np.uint64))
+    return node
+
+
+def _start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Start nodes of each page, one a tree."""
+    for batch in batches:
+        if batch.num_rows:
+            node = _starts(_matrix(batch["tokens"]))
+            places = np.tile(_PLACES, batch.num_rows)
+            own = batch["set_id"].take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))
+            yield pa.record_batch([pa.array(node.ravel().view(np.int64)), pa.array(places), own], ["node", "place", "set_id"])
+
+
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of each page at its node, or at all roots: equal values of a chosen token go the same way."""
+    """Children of each page at its node: equal values of a chosen token go the same way."""
     for batch in batches:
         if not batch.num_rows:
             continue
         tokens = _matrix(batch["tokens"])
-        if "node" in batch.schema.names:
-            row = np.arange(batch.num_rows)
-            node, place = batch["node"].to_numpy().view(np.uint64), batch["place"].to_numpy()
-        else:
-            row = np.repeat(np.arange(batch.num_rows), TREES)
-            node, place = np.tile(_ROOTS, batch.num_rows), np.tile(_PLACES, batch.num_rows)
+        node, place = batch["node"].to_numpy().view(np.uint64), batch["place"].to_numpy()
         chosen = _chosen(node)
-        value = tokens[row[:, None], chosen.astype(np.int64)]
+        value = np.take_along_axis(tokens, chosen.astype(np.int64), 1)
         child = _child(np.repeat(node[:, None], 2, 1), chosen, value)
         tree, heap = np.divmod(place, 64)
         places = (tree * 64 + 2 * heap)[:, None] + np.arange(2)
@@ -128,7 +143,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(child.ravel().view(np.int64)),
                 pa.array(places.ravel().astype(np.int32)),
-                batch["set_id"].take(pa.array(np.repeat(row, 2))),
+                batch["set_id"].take(pa.array(np.repeat(np.arange(batch.num_rows), 2))),
             ],
             ["node", "place", "set_id"],
         )
@@ -143,21 +158,21 @@ def _earliest(tokens: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarra
     first = np.ones(len(i), bool)
     equal = tokens[i] == tokens[j]
     for t in range(tree + 1):
-        open_nodes = [(1, np.full(len(i), _ROOTS[t]), np.arange(len(i)))]
+        at = np.flatnonzero(equal[:, _CHOSEN[t]].all(1) & first)
+        open_nodes = [(1, _starts(tokens[i[at]])[:, t], at)] if len(at) else []
         while open_nodes:
-            h, node, at = open_nodes.pop()
+            g, node, pair = open_nodes.pop()
+            branched = (marks[i[pair], t] >> g) & 1 == 1
+            if t < tree or g < heap:
+                first[pair[~branched]] = False
+            node, pair = node[branched], pair[branched]
             chosen = _chosen(node)
             for slot in (0, 1):
-                g = 2 * h + slot
-                same = equal[at, chosen[:, slot].astype(np.int64)] & first[at]
-                pair = at[same]
-                branched = (marks[i[pair], t] >> g) & 1 == 1
-                if t < tree or g < heap:
-                    first[pair[~branched]] = False
-                if branched.any():
-                    pair, token = pair[branched], chosen[same, slot][branched]
-                    value = tokens[i[pair], token.astype(np.int64)]
-                    open_nodes.append((g, _child(node[same][branched], token, value), pair))
+                token = chosen[:, slot]
+                same = equal[pair, token.astype(np.int64)]
+                if same.any():
+                    value = tokens[i[pair[same]], token[same].astype(np.int64)]
+                    open_nodes.append((2 * g + slot, _child(node[same], token[same], value), pair[same]))
     return first
 
 
@@ -345,7 +360,8 @@ class _Links:
         near = near.repartition("node").sortWithinPartitions("node", "set_id")
         near = near.mapInArrow(_compare(forest), "node long, set_id long, partners array<long>")
         near = pin(_once(near) if forest else near)
-        near = pin(copied(near).join(self.classes.select("set_id", "digest"), "set_id"))
+        # Not copied: a row may hold many partners.
+        near = pin(near.join(self.classes.select("set_id", "digest"), "set_id"))
         needed = pin(near.select("digest").distinct())
         texts = self.rows.select("digest", "text").join(copied(needed), "digest", "left_semi")
         texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
@@ -409,9 +425,9 @@ def _parted(large: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 def _link(links: _Links, small: int, depth: int) -> None:
     """Grow the trees level by level and verify what meets in their nodes."""
     sets = links.classes.select("set_id", "tokens")
-    level, leaves, lone, branched = sets, [], [], []
-    for d in range(1, depth + 1):
-        children = pin(level.mapInArrow(_branch, "node long, place int, set_id long"))
+    place = "node long, place int, set_id long"
+    children, leaves, lone, branched = sets.mapInArrow(_start, place), [], [], []
+    for d in range(depth + 1):
         sizes = pin(children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         rows = pin(children.join(copied(sizes), "node"))
         leaves.append(rows.where(F.col("size") <= small).select("node", "place", "set_id"))
@@ -428,7 +444,8 @@ def _link(links: _Links, small: int, depth: int) -> None:
         if large.isEmpty():
             large = None
             break
-        level = copied(large).join(sets, "set_id")
+        if d < depth:
+            children = pin(copied(large).join(sets, "set_id").mapInArrow(_branch, place))
     leaves = reduce(DataFrame.unionByName, leaves)
     links.add(leaves, True)
     nodes = reduce(DataFrame.unionByName, [leaves.withColumn("side", F.lit(0)), *lone])
@@ -449,14 +466,16 @@ def near_copies(
 ) -> DataFrame:
     """Components of pages whose sets of word shingles have a Jaccard similarity of `percent` hundredths or more.
 
-    Pages with equal sets are one class from the start. A class has 64 minwise tokens. In each of several trees it starts
-    at the root; a node chooses two tokens by its own hash, and classes with the same value go to the same child.
+    Pages with equal sets are one class from the start. A class has 64 minwise tokens. Each of 56 trees starts with a key of three
+    tokens of its own: classes with the same values share a start node, so pages that have only a common line seldom meet.
     Nodes of at most `small` classes are compared exhaustively. The classes of a larger node are first linked in blocks that
     share a few of them. If few are outside the main component then, they are compared with all classes of the node; otherwise
-    the node branches on, and what is still large at full depth is compared block against block. A pair at the least similarity shares a node of a tree with
-    probability 0.89. All trees draw from the same tokens: summed over the number of equal ones, eight trees and the least
-    number below miss 1.1 such pairs in 100,000, and far fewer of closer ones. Pairs with half their tokens equal are verified on their full sets: first a spanning forest of each node, then all pairs between the components
-    so far, each at the first node that holds it. `depth` is 5 at most.
+    the node branches on: it chooses two tokens by its own hash, and classes with the same value go to the same child. What is still
+    large after `depth` (5 at most) levels is compared block against block. A pair at the least similarity shares a start node of a tree
+    with probability 0.42, and a node that far below with 0.37. All trees draw from the same tokens: summed over the number of equal ones, the
+    trees and the least number below miss less than 2 such pairs in 100,000, and far fewer of closer ones. Pairs with half their tokens equal
+    are verified on their full sets: first a spanning forest of each node, then all pairs between the components so far, each at the
+    first node that holds it.
 
     pages: `doc_id`, `text`; other columns are not looked at. Words are lower-cased (ASCII) and parted by ASCII white
     space; a text of fewer words than `width` is one shingle. Null and blank texts have no shingle and no links.

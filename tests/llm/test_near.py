@@ -90,21 +90,20 @@ def test_each_pair_at_its_first_node():
     rnd = np.random.default_rng(3)
     tokens = np.repeat(rnd.integers(0, 2**32, (1, near.TOKENS), np.uint32), 12, 0)
     tokens[rnd.random(tokens.shape) < 0.2] = 7
-    marks = rnd.integers(0, 16, (12, near.TREES)) & ~1
+    marks = rnd.integers(0, 16, (12, near.TREES))
     marks[:] = marks[0]
     # Every compared node and its members, by walking all trees.
     found = {}
     for m in range(12):
-        todo = [(t, 1, near._ROOTS[t]) for t in range(near.TREES)]
+        todo = [(t, 1, near._starts(tokens[m : m + 1])[0, t]) for t in range(near.TREES)]
         while todo:
             t, h, node = todo.pop()
+            if not marks[m, t] >> h & 1:
+                found.setdefault((t * 64 + h, node), []).append(m)
+                continue
             for slot, token in enumerate(near._chosen(np.array([node]))[0]):
                 value = tokens[m, [int(token)]]
-                child, g = near._child(np.array([node]), np.array([token]), value)[0], 2 * h + slot
-                if marks[m, t] >> g & 1:
-                    todo.append((t, g, child))
-                else:
-                    found.setdefault((t * 64 + g, child), []).append(m)
+                todo.append((t, 2 * h + slot, near._child(np.array([node]), np.array([token]), value)[0]))
     times, met = Counter(), set()
     for (place, _), members in found.items():
         pairs = list(combinations(members, 2))
@@ -148,7 +147,7 @@ def test_joint_miss_at_the_least_similarity():
         lives = 1.0
         for _ in range(near.DEPTH):
             lives = 1 - (none + (1 - both - none) * (1 - lives) + both * (1 - lives) ** 2)
-        return lives
+        return lives * comb(equal, near.START) / comb(near.TOKENS, near.START)
 
     miss = 0.0
     for equal in range(near.TOKENS + 1):
