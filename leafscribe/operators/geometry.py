@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -209,45 +207,6 @@ def mask_to_page(polygons: DataFrame, mask_scale: float = 160 / INPUT_SIZE) -> D
     return polygons.withColumn("polygon", moved)
 
 
-def dense_mask_contour(detections: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Mask logits of dense model output, as rows for `mask_contour`.
-
-    detections: det_id, image_id, coefficients array, x1, y1, x2, y2 (input space).
-    prototypes: image_id, y, values array<array<float>> (mask x coefficient), one row per
-    mask row, so that no task needs the whole prototype of an image.
-    """
-    scale = 160 / INPUT_SIZE
-    rows = detections.withColumns(
-        {
-            "mx1": F.greatest(F.lit(0), F.floor(F.col("x1") * scale).cast("int")),
-            "mx2": F.least(F.lit(159), F.ceil(F.col("x2") * scale).cast("int")),
-            "my1": F.greatest(F.lit(0), F.floor(F.col("y1") * scale).cast("int")),
-            "my2": F.least(F.lit(159), F.ceil(F.col("y2") * scale).cast("int")),
-        }
-    ).where("mx2 >= mx1 AND my2 >= my1")
-    rows = rows.withColumn("y", F.explode(F.sequence("my1", "my2")))
-    joined = rows.join(prototypes, ["image_id", "y"])
-    schema = "det_id long, y int, x int, logit double"
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                proto = np.stack(list(r.values))[r.mx1 : r.mx2 + 1]
-                value = proto @ np.asarray(r.coefficients)
-                xs = np.arange(len(value))
-                out.append(
-                    pd.DataFrame(
-                        {"det_id": r.det_id, "y": r.y - r.my1, "x": xs, "logit": value}
-                    )
-                )
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    kept = joined.select("det_id", "y", "my1", "mx1", "mx2", "coefficients", "values")
-    return kept.mapInPandas(score, schema)
-
-
 def _point_picker(epsilon: float):
     """Douglas-Peucker with the distance to the segment, for all polygons of an Arrow batch
     at once: each pass splits every segment that still has a far point. Nested, so that it

@@ -180,6 +180,9 @@ def timing_by_worker(lines: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     return summary.join(median, same(summary, median, ["worker"], "_r_"), "left").drop("_r_worker")
 
 
+READING = T.StructType([T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType())])
+
+
 # Scoring ----------------------------------------------------------------------------------
 
 
@@ -199,6 +202,62 @@ def score_lines(
     return lines.withColumn(name, scorer(*[F.col(c) for c in inputs]))
 
 
+def isolated(make_predict: Callable) -> Callable:
+    """A model whose failures stay with their line: where a call fails, its lines are read one by one, and a line that fails alone
+    has neither text nor confidence."""
+
+    def make():
+        import numpy as np
+
+        predict = make_predict()
+
+        def attempt(*inputs):
+            try:
+                return list(predict(*inputs))
+            except Exception:  # noqa: BLE001  whatever a model raises
+                if len(inputs[0]) == 1:
+                    return [{"text": None, "confidence": None}]
+                return [attempt(*[x[i : i + 1] for x in inputs])[0] for i in range(len(inputs[0]))]
+
+        def read(*inputs):
+            lines = attempt(*inputs)
+            return {c: np.array([line[c] for line in lines], object) for c in ("text", "confidence")}
+
+        return read
+
+    return make
+
+
+def read_lines(lines: DataFrame, make_predict: Callable, inputs: list[str], shapes: list[list[int]]) -> DataFrame:
+    """Adds the `text` and `confidence` that a caller's model reads, eight lines a call; both are null for lines that it fails on.
+
+    The model returns one dictionary with `text` and `confidence` for each line.
+    """
+    scored = score_lines(lines, isolated(make_predict), inputs, shapes, READING, "_read")
+    return scored.withColumns({"text": F.col("_read.text"), "confidence": F.col("_read.confidence")}).drop("_read")
+
+
+def place_reader(unreadable: int = 7) -> Callable:
+    """Stand-in model without weights: reads from a box (x, y, w, h) where its line is, and fails where the rounded
+    position ends in the digit `unreadable`."""
+
+    def make():
+        import numpy as np
+
+        def predict(boxes):
+            read = []
+            for x, y, w, h in boxes.astype("float64"):
+                at = int(np.floor(y + 0.5))
+                if at % 10 == unreadable:
+                    raise ValueError("this line cannot be read")
+                read.append({"text": f"line at {at}", "confidence": (x * 0.25 + y * 0.5 + w * 0.75 + h) / 1000})
+            return read
+
+        return predict
+
+    return make
+
+
 def linear_scorer(size: int) -> Callable:
     """Stand-in model: a fixed weighted sum, weights 1..size over size."""
 

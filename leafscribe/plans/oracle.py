@@ -232,6 +232,31 @@ LINE_BOXES = """(SELECT image_id, det_id, {extra} CAST(list_position(scores, lis
     least(bw/scale,orig_w-(cx-bw/2-pad_x)/scale) AS w, least(bh/scale,orig_h-(cy-bh/2-pad_y)/scale) AS h
   FROM f_cbox WHERE list_max(scores)>=0.25)"""
 
+def _simplified(source: str, keys: str) -> str:
+    """Common table expressions up to `u`: the points of each polygon that simplification keeps."""
+    return f"""s AS (SELECT {keys}, polygon AS p, 1 AS lo, CAST(len(polygon) AS INT) AS hi FROM {source}
+  UNION ALL SELECT {keys}, p, CASE side WHEN 0 THEN lo ELSE cut END, CASE side WHEN 0 THEN cut ELSE hi END
+  FROM (SELECT *, CAST(lo+list_position(ds, list_max(ds)) AS INT) AS cut, unnest([0,1]) AS side
+    FROM (SELECT *, list_transform(range(lo+1,hi), lambda i: sqrt(
+        pow(p[i].x-p[lo].x-greatest(0,least(1,CASE WHEN sq=0 THEN 0 ELSE ((p[i].x-p[lo].x)*dx+(p[i].y-p[lo].y)*dy)/sq END))*dx,2)
+        +pow(p[i].y-p[lo].y-greatest(0,least(1,CASE WHEN sq=0 THEN 0 ELSE ((p[i].x-p[lo].x)*dx+(p[i].y-p[lo].y)*dy)/sq END))*dy,2))) AS ds
+      FROM (SELECT *, dx*dx+dy*dy AS sq FROM (SELECT *, p[hi].x-p[lo].x AS dx, p[hi].y-p[lo].y AS dy FROM s WHERE hi-lo>2)))
+    WHERE list_max(ds)>2)),
+corner AS (SELECT {keys}, p, unnest(CASE WHEN hi-lo=2 THEN [lo,lo+1,hi] ELSE [lo,hi] END) AS i FROM s),
+u AS (SELECT DISTINCT {keys}, i, p[i].x AS x, p[i].y AS y FROM corner)"""
+
+
+#: Regions, kept lines and read lines of the whole pages.
+TRANSCRIBED = f"""
+r AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y, x, anchor_idx)-1 AS INT) AS region_id, concat('text_region (',{half_up('score*100')},'%)') AS group_name,
+    greatest(0,{half_up('x')}) AS cx, greatest(0,{half_up('y')}) AS cy, x AS rx, y AS ry, greatest(0,w) AS rw, greatest(0,h) AS rh
+  FROM (SELECT image_id, anchor_idx, score, greatest(0,x) AS x, greatest(0,y) AS y, w, h FROM {_nms(regions_sql(1.0), 'image_id', 'anchor_idx')})),
+d AS (SELECT * FROM {LINE_BOXES.format(extra='det_id%4 AS region_id,')} JOIN (SELECT image_id, region_id FROM r) USING (image_id, region_id)),
+k AS (SELECT image_id, region_id, det_id, score, x+cx AS x, y+cy AS y, w, h, group_name, cx, cy, rx, ry, rw, rh FROM {_nms('d', 'image_id, region_id', 'det_id')} JOIN r USING (image_id, region_id)),
+read AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id, region_id ORDER BY y, x, det_id)-1 AS INT) AS line_index,
+  CASE WHEN {half_up('y')}%10=7 THEN '[error]' ELSE concat('line at ',{half_up('y')}) END AS text,
+  CASE WHEN {half_up('y')}%10<>7 THEN (x*0.25::DOUBLE+y*0.5::DOUBLE+w*0.75::DOUBLE+h)/1000 END AS text_confidence FROM k)"""
+
 SQL: dict[str, str] = {
     "image_scan": """
 SELECT page_id, ctype, n_bytes, 'upload-1' AS manifest_id, CAST(row_number() OVER (ORDER BY page_id) AS INT) AS page_number FROM f_fetch WHERE ctype LIKE 'image/%'""",
@@ -392,17 +417,8 @@ FROM f_det d JOIN (SELECT * FROM f_det QUALIFY row_number() OVER (PARTITION BY i
 WITH e AS (SELECT det_id, y, min(x) AS l, max(x)+1 AS r FROM f_mask WHERE logit>=0 GROUP BY 1,2),
 u AS (SELECT * FROM e WHERE det_id IN (SELECT det_id FROM e GROUP BY 1 HAVING count(*)>=2))
 SELECT det_id, CAST(0 AS INT) AS side, y AS position, l AS x, y FROM u UNION ALL SELECT det_id, 1, -y, r, y FROM u""",
-    "simplify_polygons": """
-WITH RECURSIVE s AS (SELECT image_id, det_id, polygon AS p, 1 AS lo, CAST(len(polygon) AS INT) AS hi FROM f_poly
-  UNION ALL SELECT image_id, det_id, p, CASE side WHEN 0 THEN lo ELSE cut END, CASE side WHEN 0 THEN cut ELSE hi END
-  FROM (SELECT *, CAST(lo+list_position(ds, list_max(ds)) AS INT) AS cut, unnest([0,1]) AS side
-    FROM (SELECT *, list_transform(range(lo+1,hi), lambda i: sqrt(
-        pow(p[i].x-p[lo].x-greatest(0,least(1,((p[i].x-p[lo].x)*dx+(p[i].y-p[lo].y)*dy)/sq))*dx,2)
-        +pow(p[i].y-p[lo].y-greatest(0,least(1,((p[i].x-p[lo].x)*dx+(p[i].y-p[lo].y)*dy)/sq))*dy,2))) AS ds
-      FROM (SELECT *, dx*dx+dy*dy AS sq FROM (SELECT *, p[hi].x-p[lo].x AS dx, p[hi].y-p[lo].y AS dy FROM s WHERE hi-lo>2)))
-    WHERE list_max(ds)>2)),
-k AS (SELECT image_id, det_id, p, unnest(CASE WHEN hi-lo=2 THEN [lo,lo+1,hi] ELSE [lo,hi] END) AS i FROM s),
-u AS (SELECT DISTINCT image_id, det_id, i, p[i].x AS x, p[i].y AS y FROM k)
+    "simplify_polygons": f"""
+WITH RECURSIVE {_simplified("f_poly", "image_id, det_id")}
 SELECT image_id, det_id, CAST(row_number() OVER (PARTITION BY image_id, det_id ORDER BY i)-1 AS INT) AS point_no, round(x,6) AS px, round(y,6) AS py FROM u""",
     "reading_order": "SELECT doc_id, line_id, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, line_id)-1 AS position FROM f_line",
     "start_index": """
@@ -458,14 +474,29 @@ SELECT doc_id, group_pos AS source_group, CAST(0 AS INT) AS part, CAST(0 AS INT)
   CAST(row_number() OVER (PARTITION BY doc_id, group_pos ORDER BY line_id)-1 AS INT) AS line_pos, x, y, w, h, text, confidence FROM f_line WHERE group_pos IS NOT NULL""",
     "error_sentinel": "SELECT doc_id, line_id, CASE WHEN complete THEN text ELSE '[error]' END AS text, CASE WHEN complete THEN confidence ELSE 0 END AS confidence, true AS complete FROM f_line",
     "page_transcription": f"""
-WITH r AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y, x, anchor_idx)-1 AS INT) AS region_id, concat('text_region (',{half_up("score*100")},'%)') AS group_name,
-    greatest(0,{half_up("x")}) AS cx, greatest(0,{half_up("y")}) AS cy
-  FROM (SELECT image_id, anchor_idx, score, greatest(0,x) AS x, greatest(0,y) AS y FROM {_nms(regions_sql(1.0), "image_id", "anchor_idx")})),
-d AS (SELECT * FROM {LINE_BOXES.format(extra="det_id%4 AS region_id,")} JOIN (SELECT image_id, region_id FROM r) USING (image_id, region_id)),
-k AS (SELECT image_id, region_id, det_id, score, x+cx AS x, y+cy AS y, w, h, group_name FROM {_nms("d", "image_id, region_id", "det_id")} JOIN r USING (image_id, region_id))
-SELECT image_id, region_id, group_name, CAST(row_number() OVER (PARTITION BY image_id, region_id ORDER BY y, x, det_id)-1 AS INT) AS line_index,
-  concat('line at ',{half_up("y")}) AS text, true AS complete, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h, round(score,6) AS det_confidence,
-  round((x*0.25+y*0.5+w*0.75+h)/1000,8) AS text_confidence, round((x*0.25+y*0.5+w*0.75+h)/1000,8) AS confidence FROM k""",
+WITH RECURSIVE {TRANSCRIBED},
+g AS (SELECT image_id, region_id, det_id, k.cx AS ox, k.cy AS oy, (l_partkey%7+1)/2::DOUBLE AS c0, (l_suppkey%5-2)/2::DOUBLE AS c1,
+    CAST(greatest(0,floor((c.cx-bw/2)*{Q.MASK_CELLS / 640}::DOUBLE)) AS INT) AS mx1, CAST(greatest(0,floor((c.cy-bh/2)*{Q.MASK_CELLS / 640}::DOUBLE)) AS INT) AS my1,
+    CAST(least({Q.MASK_CELLS - 1},ceil((c.cx+bw/2)*{Q.MASK_CELLS / 640}::DOUBLE)) AS INT) AS mx2, CAST(least({Q.MASK_CELLS - 1},ceil((c.cy+bh/2)*{Q.MASK_CELLS / 640}::DOUBLE)) AS INT) AS my2
+  FROM k JOIN f_cbox c USING (image_id, det_id) JOIN f_boxes USING (image_id, det_id)),
+cells AS (SELECT image_id, region_id, det_id, ox, oy, y, x FROM g, unnest(range(my1, my2+1)) AS ry(y), unnest(range(mx1, mx2+1)) AS rx(x)
+  WHERE c0*((image_id*31+region_id*17+y*7+x*3)%13-4)/4::DOUBLE + c1*((image_id*31+region_id*17+y*7+x*3+11)%13-4)/4::DOUBLE >= 0),
+e AS (SELECT image_id, region_id, det_id, ox, oy, y, min(x) AS l, max(x)+1 AS r FROM cells GROUP BY ALL),
+o AS (SELECT image_id, region_id, det_id, ox, oy, list_concat(list({{'x': l, 'y': y}} ORDER BY y), list({{'x': r, 'y': y}} ORDER BY y DESC)) AS p
+  FROM e GROUP BY ALL HAVING count(*)>=2),
+m AS (SELECT image_id, region_id, det_id, list_transform(p, lambda q: {{
+    'x': greatest(0,least(1200::DOUBLE,(q.x/{Q.MASK_CELLS / 640}::DOUBLE-80)/(2/5::DOUBLE)))+ox,
+    'y': greatest(0,least(1600::DOUBLE,(q.y/{Q.MASK_CELLS / 640}::DOUBLE-0)/(2/5::DOUBLE)))+oy}}) AS polygon FROM o),
+{_simplified("m", "image_id, region_id, det_id")},
+t AS (SELECT image_id, region_id, det_id, string_agg(concat({half_up("x")},',',{half_up("y")}), ' ' ORDER BY i) AS points FROM u GROUP BY 1,2,3)
+SELECT image_id, region_id, group_name, line_index, text, true AS complete, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h,
+  round(score,6) AS det_confidence, round(text_confidence,8) AS text_confidence, round(coalesce(text_confidence,0),8) AS confidence, points
+FROM read LEFT JOIN t USING (image_id, region_id, det_id)""",
+    "page_transcription_saved": f"""
+WITH {TRANSCRIBED}
+SELECT concat('R',lpad(CAST(image_id//10 AS VARCHAR),7,'0')) AS manifest_id, CAST(image_id%10+1 AS INT) AS page_number, image_id AS doc_id, region_id AS group_pos, group_name,
+  round(rx,6) AS group_rx, round(ry,6) AS group_ry, round(rw,6) AS group_rw, round(rh,6) AS group_rh,
+  line_index, round(x,6) AS x, round(y,6) AS y, round(w,6) AS w, round(h,6) AS h, text, round(coalesce(text_confidence,0),8) AS confidence, 'htr' AS source, '' AS contributor FROM read""",
     "hydrate": """
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY group_pos, line_index)-1+doc_id%5 AS BIGINT) AS line_id, group_pos, group_name, text, confidence, true AS complete FROM (
   SELECT p.doc_id, s.group_pos, s.line_index, s.group_name, s.text, s.confidence FROM f_saved s JOIN (

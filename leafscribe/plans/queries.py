@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscribe.functions.boxes import box, in_polygon
+from leafscribe.functions.numbers import half_up
 from leafscribe.functions.text import not_blank
 from leafscribe.operators import catalog as C
 from leafscribe.operators import events as E
@@ -15,12 +16,13 @@ from leafscribe.operators import geometry as G
 from leafscribe.operators import tokens as T
 from leafscribe.operators import workspace as W
 from leafscribe.operators.fusion import fused
+from leafscribe.operators.masks import TILE
 from leafscribe.operators.scale import GROUP_ROWS, Ordered, lookup
 from leafscribe.operators.search import MODES, search_catalog
 from leafscribe.operators.search import open_records as search_open_records
 from leafscribe.operators.suppression import nms
 from leafscribe.operators.vectors import vector_search_batch
-from leafscribe.plans.page_transcription import transcribe_pages
+from leafscribe.plans.page_transcription import regions_of, saved_pages, transcribe_pages
 from leafscribe.sinks import exports as X
 from leafscribe.sources import store as S
 from leafscribe.sources import volumes as V
@@ -38,6 +40,8 @@ SEARCH_YEARS = (1650, 1850)
 CREATED = "2024-01-01T00:00:00.000Z"
 CROP_WIDTH, CROP_HEIGHT = 400.0, 150.0
 BURST = 7200.0
+#: Rows and columns of the prototypes that are derived for line crops.
+MASK_CELLS = 32
 
 
 def query_vectors(size: int = 64) -> dict[str, list[float]]:
@@ -610,20 +614,38 @@ def error_sentinel(v: Views) -> DataFrame:
     return T.error_sentinel(results)
 
 
-def _transcribed(v: Views) -> DataFrame:
-    raw_lines = v.centre_boxes().withColumn("region_id", F.col("det_id") % 4)
-    return transcribe_pages(v.anchors_out(), raw_lines)
+def _transcribed(v: Views) -> tuple[DataFrame, DataFrame]:
+    regions = regions_of(v.anchors_out())
+    raw_lines = v.masked_boxes()
+    # Crops with detector output have prototypes.
+    prototypes = v.prototypes(raw_lines.select("image_id", "region_id").distinct(), MASK_CELLS, TILE)
+    lines = transcribe_pages(v.anchors_out(), raw_lines, prototypes, mask=MASK_CELLS, regions=regions)
+    return lines, regions
 
 
 @query
 def page_transcription(v: Views) -> DataFrame:
-    return _transcribed(v).select(
+    corner = lambda p: F.concat(half_up(p["x"]).cast("string"), F.lit(","), half_up(p["y"]).cast("string"))
+    return _transcribed(v)[0].select(
         "image_id", "region_id", "group_name", "line_index", "text", "complete",
         *[r6(c) for c in ("x", "y", "w", "h", "det_confidence")],
         *[F.round(c, 8).alias(c) for c in ("text_confidence", "confidence")],
+        F.array_join(F.transform("polygon", corner), " ").alias("points"),
     )
 
 
+@query
+def page_transcription_saved(v: Views) -> DataFrame:
+    lines, regions = _transcribed(v)
+    pages = v.embeddings().selectExpr(
+        "vec_id AS image_id", "concat('R', lpad(CAST(vec_id div 10 AS STRING), 7, '0')) AS manifest_id",
+        "CAST(vec_id % 10 + 1 AS INT) AS page_number",
+    )
+    saved = saved_pages(lines, regions, pages)
+    sizes = ["x", "y", "w", "h", *["group_" + c for c in ("rx", "ry", "rw", "rh")]]
+    return saved.select(*[r6(c) if c in sizes else c for c in saved.columns if c != "confidence"], F.round("confidence", 8).alias("confidence"))
+
+
 # Workspace --------------------------------------------------------------------------------
 
 

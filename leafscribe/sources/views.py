@@ -143,6 +143,27 @@ class Views:
             "0D AS pad_y",
         )
 
+    def masked_boxes(self) -> DataFrame:
+        """Raw boxes per region crop, with the coefficients of their masks."""
+        extra = self._boxes().selectExpr(
+            "image_id AS i",
+            "det_id AS d",
+            "array(CAST(l_partkey%7+1 AS DOUBLE)/2D, CAST(l_suppkey%5-2 AS DOUBLE)/2D) AS coefficients",
+        )
+        boxes = self.centre_boxes().withColumn("region_id", F.col("det_id") % 4)
+        return boxes.join(extra, (F.col("image_id") == F.col("i")) & (F.col("det_id") == F.col("d"))).drop("i", "d")
+
+    def prototypes(self, crops: DataFrame, mask: int, tile: int) -> DataFrame:
+        """Prototype tiles of region crops, two coefficients a cell. There are 13 patterns, dealt to the crops."""
+        cell = f"(tile*{tile} + i div {2 * mask})*7 + (i div 2 % {mask})*3 + (i % 2)*11"
+        tiles = F.explode(F.sequence(F.lit(0), F.lit(mask // tile - 1))).alias("tile")
+        patterns = self.spark.range(13).select(F.col("id").alias("pattern"), tiles).selectExpr(
+            "pattern", "tile",
+            f"transform(sequence(0, {tile * mask * 2 - 1}), i -> CAST((pattern + {cell}) % 13 - 4 AS FLOAT) / 4F) AS values",
+        )
+        named = crops.selectExpr("image_id", "region_id", "(image_id*31 + region_id*17) % 13 AS pattern")
+        return named.join(F.broadcast(patterns), "pattern").drop("pattern")
+
     def detections(self) -> DataFrame:
         return self._boxes().selectExpr(
             "image_id",

@@ -138,25 +138,6 @@ def test_contour_and_polygon(spark):
     assert points == [(1, 0), (2, 1), (0, 2), (1, 2), (3, 1), (3, 0)]
 
 
-def test_dense_masks(spark):
-    rng = np.random.default_rng(3)
-    proto = rng.normal(size=(6, 160, 4))
-    coeff = rng.normal(size=4)
-    rows = spark.createDataFrame(
-        [(7, y, proto[y].tolist()) for y in range(6)], "image_id int, y int, values array<array<double>>"
-    )
-    det = spark.createDataFrame(
-        [(1, 7, coeff.tolist(), 4.0, 2.0, 41.0, 17.0)],
-        "det_id long, image_id int, coefficients array<double>, x1 double, y1 double, x2 double, y2 double",
-    )
-    found = {(r.y, r.x): r.logit for r in G.dense_mask_contour(det, rows).collect()}
-    expected = {
-        (y, x - 1): float(proto[y, x] @ coeff) for y in range(0, 6) for x in range(1, 12)
-    }
-    assert found.keys() == expected.keys()
-    assert all(math.isclose(found[k], expected[k], abs_tol=1e-9) for k in found)
-
-
 def from_segment(p, a, b):
     """Distance of a point from a segment, by its foot on the line."""
     p, a, b = (np.array(x, float) for x in (p, a, b))
