@@ -237,9 +237,9 @@ def read_lines(lines: DataFrame, make_predict: Callable, inputs: list[str], shap
     return scored.withColumns({"text": F.col("_read.text"), "confidence": F.col("_read.confidence")}).drop("_read")
 
 
-def place_reader(unreadable: int = 7) -> Callable:
+def place_reader(unreadable: int = 77) -> Callable:
     """Stand-in model without weights: reads from a box (x, y, w, h) where its line is, and fails where the rounded
-    position ends in the digit `unreadable`."""
+    position ends in the two digits `unreadable`."""
 
     def make():
         import numpy as np
@@ -248,7 +248,7 @@ def place_reader(unreadable: int = 7) -> Callable:
             read = []
             for x, y, w, h in boxes.astype("float64"):
                 at = int(np.floor(y + 0.5))
-                if at % 10 == unreadable:
+                if at % 100 == unreadable:
                     raise ValueError("this line cannot be read")
                 read.append({"text": f"line at {at}", "confidence": (x * 0.25 + y * 0.5 + w * 0.75 + h) / 1000})
             return read

@@ -254,8 +254,8 @@ r AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y,
 d AS (SELECT * FROM {LINE_BOXES.format(extra='det_id%4 AS region_id,')} JOIN (SELECT image_id, region_id FROM r) USING (image_id, region_id)),
 k AS (SELECT image_id, region_id, det_id, score, x+cx AS x, y+cy AS y, w, h, group_name, cx, cy, rx, ry, rw, rh FROM {_nms('d', 'image_id, region_id', 'det_id')} JOIN r USING (image_id, region_id)),
 read AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id, region_id ORDER BY y, x, det_id)-1 AS INT) AS line_index,
-  CASE WHEN {half_up('y')}%10=7 THEN '[error]' ELSE concat('line at ',{half_up('y')}) END AS text,
-  CASE WHEN {half_up('y')}%10<>7 THEN (x*0.25::DOUBLE+y*0.5::DOUBLE+w*0.75::DOUBLE+h)/1000 END AS text_confidence FROM k)"""
+  CASE WHEN {half_up('y')}%100=77 THEN '[error]' ELSE concat('line at ',{half_up('y')}) END AS text,
+  CASE WHEN {half_up('y')}%100<>77 THEN (x*0.25::DOUBLE+y*0.5::DOUBLE+w*0.75::DOUBLE+h)/1000 END AS text_confidence FROM k)"""
 
 SQL: dict[str, str] = {
     "image_scan": """

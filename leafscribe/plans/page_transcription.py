@@ -22,6 +22,7 @@ from leafscribe.operators.masks import MASK, mask_polygons
 from leafscribe.operators.scale import has_large_group, ordinal
 from leafscribe.operators.suppression import IMAGE_BOXES, nms
 from leafscribe.operators.tokens import error_sentinel, place_reader, read_lines
+from leafscribe.session import pin
 from leafscribe.sources.store import serialize_for_save
 
 PAGE_WIDTH, PAGE_HEIGHT = 1200.0, 1600.0
@@ -104,9 +105,11 @@ def transcribe_pages(
     numbered = ordinal(lines, CROP, order, "_n", small=small or None)
     numbered = numbered.withColumn("line_index", (F.col("_n") - 1).cast("int")).drop("_n")
     if prototypes is None:
-        numbered = numbered.withColumn("polygon", F.lit(None).cast("array<struct<x:double,y:double>>"))
+        numbered = numbered.drop("crop_x", "crop_y").withColumn("polygon", F.lit(None).cast("array<struct<x:double,y:double>>"))
     else:
-        numbered = numbered.join(outlines_of(lines, raw_lines, prototypes, mask, small), [*CROP, "det_id"], "left")
+        # Suppression is not run again for the outlines.
+        numbered = pin(numbered)
+        numbered = numbered.join(outlines_of(numbered, raw_lines, prototypes, mask, small), [*CROP, "det_id"], "left")
     boxed = numbered.withColumn("_box", F.array("x", "y", "w", "h"))
     read = read_lines(boxed, make_reader or place_reader(), ["_box"], [[4]])
     read = read.withColumn("text_confidence", F.col("confidence"))

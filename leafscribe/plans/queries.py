@@ -23,6 +23,7 @@ from leafscribe.operators.search import open_records as search_open_records
 from leafscribe.operators.suppression import nms
 from leafscribe.operators.vectors import vector_search_batch
 from leafscribe.plans.page_transcription import regions_of, saved_pages, transcribe_pages
+from leafscribe.session import pin
 from leafscribe.sinks import exports as X
 from leafscribe.sources import store as S
 from leafscribe.sources import volumes as V
@@ -615,10 +616,13 @@ def error_sentinel(v: Views) -> DataFrame:
 
 
 def _transcribed(v: Views) -> tuple[DataFrame, DataFrame]:
-    regions = regions_of(v.anchors_out())
+    # Used for the crops, the lines and the saved groups.
+    regions = pin(regions_of(v.anchors_out()))
     raw_lines = v.masked_boxes()
-    # Crops with detector output have prototypes.
-    prototypes = v.prototypes(raw_lines.select("image_id", "region_id").distinct(), MASK_CELLS, TILE)
+    # The line detector runs on the crops of regions: these have prototypes.
+    crop = ["image_id", "region_id"]
+    crops = raw_lines.select(*crop).distinct().join(regions.select(*crop), crop, "left_semi")
+    prototypes = v.prototypes(crops, MASK_CELLS, TILE)
     lines = transcribe_pages(v.anchors_out(), raw_lines, prototypes, mask=MASK_CELLS, regions=regions)
     return lines, regions
 

@@ -126,32 +126,29 @@ class Views:
         numbered = ordinal(items, ["image_id"], order, "det_id")
         return numbered.withColumn("det_id", F.col("det_id").cast("int"))
 
+    _CENTRE_BOX = [
+        "image_id",
+        "det_id",
+        """array(CAST(l_partkey%101 AS DOUBLE)/100D, CAST(l_suppkey%101 AS DOUBLE)/100D,
+                 CAST(l_orderkey%101 AS DOUBLE)/100D) AS scores""",
+        "CAST(l_quantity*12 AS DOUBLE) AS cx",
+        "CAST(l_linenumber*90 AS DOUBLE) AS cy",
+        "CAST(40+l_partkey%300 AS DOUBLE) AS bw",
+        "CAST(20+l_suppkey%40 AS DOUBLE) AS bh",
+        "1200D AS orig_w",
+        "1600D AS orig_h",
+        "2D/5D AS scale",
+        "80D AS pad_x",
+        "0D AS pad_y",
+    ]
+
     def centre_boxes(self) -> DataFrame:
-        return self._boxes().selectExpr(
-            "image_id",
-            "det_id",
-            """array(CAST(l_partkey%101 AS DOUBLE)/100D, CAST(l_suppkey%101 AS DOUBLE)/100D,
-                     CAST(l_orderkey%101 AS DOUBLE)/100D) AS scores""",
-            "CAST(l_quantity*12 AS DOUBLE) AS cx",
-            "CAST(l_linenumber*90 AS DOUBLE) AS cy",
-            "CAST(40+l_partkey%300 AS DOUBLE) AS bw",
-            "CAST(20+l_suppkey%40 AS DOUBLE) AS bh",
-            "1200D AS orig_w",
-            "1600D AS orig_h",
-            "2D/5D AS scale",
-            "80D AS pad_x",
-            "0D AS pad_y",
-        )
+        return self._boxes().selectExpr(*self._CENTRE_BOX)
 
     def masked_boxes(self) -> DataFrame:
         """Raw boxes per region crop, with the coefficients of their masks."""
-        extra = self._boxes().selectExpr(
-            "image_id AS i",
-            "det_id AS d",
-            "array(CAST(l_partkey%7+1 AS DOUBLE)/2D, CAST(l_suppkey%5-2 AS DOUBLE)/2D) AS coefficients",
-        )
-        boxes = self.centre_boxes().withColumn("region_id", F.col("det_id") % 4)
-        return boxes.join(extra, (F.col("image_id") == F.col("i")) & (F.col("det_id") == F.col("d"))).drop("i", "d")
+        half = "array(CAST(l_partkey%7+1 AS DOUBLE)/2D, CAST(l_suppkey%5-2 AS DOUBLE)/2D) AS coefficients"
+        return self._boxes().selectExpr(*self._CENTRE_BOX, "CAST(det_id%4 AS INT) AS region_id", half)
 
     def prototypes(self, crops: DataFrame, mask: int, tile: int) -> DataFrame:
         """Prototype tiles of region crops, two coefficients a cell. There are 13 patterns, dealt to the crops."""
