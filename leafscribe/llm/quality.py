@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscribe.llm.common import held_out, keyed, learning_fold, per_slice, plain
+from leafscribe.llm.common import copied, held_out, learning_fold, per_slice, plain
 from leafscribe.llm.features import Adam, Hashed, Sparse, hashed_ids, sample_features, sigmoid
 
 #: Size of the hashed feature space, and the bound of the sample: pages of each grade.
 FEATURES, SAMPLE = 1 << 18, 4000
+#: Most different grades of a scale; ratings with more are refused.
+GRADES = 200
 #: Pages are kept whose chance of at least `GOOD` (the highest grade, if None) is this or more.
 LEAST_CHANCE = 0.5
 EPOCHS, BATCH, RATE, DECAY = 20, 500, 0.02, 1e-5
@@ -92,17 +94,17 @@ def fit_grades(rows: dict[int, list[Sparse]], size: int = FEATURES, epochs: int
 def learn_grades(pages: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> GradeModel:
     """Fits the model on about `sample` rated pages of each grade (all, where there are fewer).
 
-    pages: `doc_id`, `text`. ratings: `doc_id`, `grade` (small integers; nulls are left out, of several the largest counts).
+    pages: `doc_id`, `text`. ratings: `doc_id`, `grade` (a scale of integers, up to `GRADES` different ones; more are an error. Nulls are left
+    out, of several the largest counts).
     """
     rated = ratings.groupBy("doc_id").agg(F.max("grade").alias("grade")).where("grade is not null")
-    grades = [r["grade"] for r in rated.select("grade").distinct().orderBy("grade").limit(100).collect()]
-    graded = None
-    for grade in grades:
-        own = keyed(pages.select("doc_id", "text"), rated.where(F.col("grade") == grade), {"doc_id": pages["doc_id"]}, "left_semi")
-        own = own.withColumn("grade", F.lit(grade))
-        graded = own if graded is None else graded.unionByName(own)
-    if graded is None:
+    grades = [r["grade"] for r in rated.select("grade").distinct().orderBy("grade").limit(GRADES + 1).collect()]
+    if len(grades) > GRADES:
+        raise ValueError(f"the ratings have more than {GRADES} different grades")
+    if not grades:
         return fit_grades({})
+    named = copied(rated.select(F.col("doc_id").alias("__rated"), "grade"))
+    graded = pages.select("doc_id", "text").join(named, F.col("doc_id") == F.col("__rated")).drop("__rated")
     return fit_grades(sample_features(graded, "grade", features, dict.fromkeys(grades, sample), "grades"))
 
 

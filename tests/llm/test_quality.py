@@ -42,3 +42,17 @@ def test_empty_tables(spark, pages):
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert page_quality(pages([]), none).collect() == []
     assert {(r.expected_grade, r.kept) for r in page_quality(pages(["a", None]), none).collect()} == {(0.0, True)}
+
+
+def test_every_grade_of_a_long_scale_is_learnt(spark, pages, monkeypatch):
+    import pytest
+
+    from leafscribe.llm import quality
+
+    n = 150
+    texts = [f"ord{i % 7} sida{i}" for i in range(n)]
+    ratings = spark.createDataFrame([(i, i - 1) for i in range(1, n + 1)], "doc_id long, grade int")
+    assert quality.learn_grades(pages(texts), ratings).grades == list(range(n))
+    monkeypatch.setattr(quality, "GRADES", n - 1)
+    with pytest.raises(ValueError, match="different grades"):
+        quality.learn_grades(pages(texts), ratings)
