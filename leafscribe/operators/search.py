@@ -14,8 +14,8 @@ from leafscribe.sources.text_index import TextIndex
 from leafscribe.sources.volumes import expand_pages, new_pages, page_name, route_sources
 
 MODES = ("fts", "vector", "hybrid")
-#: Records of a page where no limit is given.
-PAGE = 200
+#: Records of a page where no limit is given, and the last position that a page may reach: every task keeps so many records.
+PAGE, DEEPEST = 200, 100_000
 
 RECORD = [
     "reference_code", "archive_code", "fonds_title", "fonds_description", "creator", "series_title", "volume_id",
@@ -39,7 +39,8 @@ def search_catalog(
     """One page of catalog records, best first, with their `position` in the whole result, `score` and the `total` of matches.
 
     catalog: records with `reference_code` (unique), `year_start`, `archive_code` and the other record columns. `index` holds the texts by
-    reference code, `vectors` has `reference_code` and `embedding`. An absent or empty parameter does not filter; a limit of 0 counts as absent.
+    reference code, `vectors` has `reference_code` and `embedding`. An absent or empty parameter does not filter; a limit of 0 counts as absent. Pages
+    beyond position `DEEPEST` are refused.
     Mode `fts` (the default) finds the records with a term of `q`, `vector` all with an embedding by cosine with `query_vector`, `hybrid` either,
     by reciprocal ranks among the records that pass the filters. Without `q` in mode `fts` every record matches, with score 0. Term
     weights are those of the whole catalog. Ties go to the smaller reference code.
@@ -50,6 +51,8 @@ def search_catalog(
     if mode != "fts" and (vectors is None or query_vector is None):
         raise ValueError(f"mode {mode} needs vectors and a query vector")
     limit, offset = limit or PAGE, offset or 0
+    if offset + limit > DEEPEST:
+        raise ValueError(f"a page ends at position {DEEPEST} at most; narrow the search, or take all matches from the index")
     records = catalog_filter(catalog, date_start, date_end, archive)
     passed = records.select("reference_code")
     filtered = date_start is not None or date_end is not None or bool(archive)

@@ -197,6 +197,8 @@ def test_parameters(catalog, index):
         search_catalog(catalog, index, q="x", mode="near")
     with pytest.raises(ValueError):
         search_catalog(catalog, index, q="x", mode="vector")
+    with pytest.raises(ValueError, match="position"):
+        search_catalog(catalog, index, q="x", limit=10**9)
 
 
 def test_hybrid_ranks_what_passes_the_filters(spark, catalog, index):
