@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscribe.llm.common import hashed_fraction, per_slice, plain
+from leafscribe.llm.common import per_slice, plain, slices
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Pages that token shapes are learnt from (chosen by a hash of doc_id), and shapes that are kept.
-SAMPLE, SHAPES = 20_000, 5_000
+#: Token shapes are counted by hash in so many buckets, which bounds what tasks, driver and broadcast hold.
+BUCKETS = 1 << 18
 #: Pull of a pattern's match, of equal tokens far apart, and of neighbouring tokens (log potentials).
 MATCHED, SKIP, CHAIN = 8.0, 6.0, 0.3
 ROUNDS, DAMPING, SURE = 12, 0.3, 0.8
@@ -28,7 +28,7 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _PART = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_MARK, _SPACE = re.compile(r"[0-9@]"), re.compile(r"\s")
 _EDGE = "()[]{}<>\"'.,;:!?|*&%$#"
 
 Span = tuple[int, int]
@@ -103,14 +103,23 @@ def base_spans(text: str) -> list[list[Span]]:
 
 
 def _tokens(text: str) -> list[Span]:
-    """Tokens with a digit or an `@`, without marks at their ends: only these can be personal data here."""
-    found = []
-    for token in _TOKEN.finditer(text):
-        own = token.group()
+    """Tokens with a digit or an `@`, without marks at their ends: only these can be personal data here.
+
+    Found from the first digit or `@` to both sides, so that a long run without one is read once.
+    """
+    found, mark = [], _MARK.search(text)
+    while mark:
+        start = mark.start()
+        while start and not text[start - 1].isspace():
+            start -= 1
+        space = _SPACE.search(text, mark.end())
+        end = space.start() if space else len(text)
+        own = text[start:end]
         left = len(own) - len(own.lstrip(_EDGE))
         kept = own.strip(_EDGE)
         if kept:
-            found.append((token.start() + left, token.start() + left + len(kept)))
+            found.append((start + left, start + left + len(kept)))
+        mark = _MARK.search(text, end)
     return found
 
 
@@ -120,6 +129,16 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1{3,}", r"\1\1\1", cut)[:40]
 
 
+@lru_cache(maxsize=100_000)
+def bucket(token_shape: str) -> int:
+    """The bucket that a shape is counted in, the same in every task."""
+    return zlib.crc32(token_shape.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def _buckets(text: str, tokens: list[Span]) -> np.ndarray:
+    return np.array([bucket(shape(text[s:e])) for s, e in tokens], np.int64)
+
+
 def _same(token: str) -> str:
     """Tokens with the same value here are alike: all digits if there are many, else the lower-case token."""
     digits = re.sub(r"\D", "", token)
@@ -138,18 +157,24 @@ def _labels(tokens: list[Span], base: list[list[Span]]) -> np.ndarray:
 
 
 class Field:
-    """Skip-chain conditional random field over the tokens of one page."""
+    """Skip-chain conditional random field over the tokens of one page.
 
-    def __init__(self, shapes: dict[str, list[float]]):
-        self.shapes = shapes
-        rare = np.full(len(KINDS) + 1, -3.0)
-        rare[0] = 0.0
-        self.rare = rare
+    counts: how often each bucket of shapes (rows) has no label or each kind (columns); a bucket without a count leans
+    to no label.
+    """
+
+    def __init__(self, counts: np.ndarray | None = None):
+        self.shapes = np.zeros((BUCKETS, len(KINDS) + 1), np.float32)
+        self.shapes[:, 1:] = -3.0
+        if counts is not None:
+            seen = counts.any(axis=1)
+            smooth = counts[seen] + np.array([1.0] + [0.02] * len(KINDS))
+            self.shapes[seen] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
     def marginals(self, text: str, tokens: list[Span], labels: np.ndarray) -> np.ndarray:
         """Label probabilities of each token by loopy sum-product messages."""
         own = [text[s:e] for s, e in tokens]
-        unary = np.array([self.shapes.get(shape(t), self.rare) for t in own])
+        unary = self.shapes[_buckets(text, tokens)].astype(float)
         unary[np.flatnonzero(labels), labels[labels > 0]] += MATCHED
         # Neighbours in the page, and each token with the next one like it: no more links than twice the tokens.
         links, last = [(i, i + 1, CHAIN) for i in range(len(own) - 1)], {}
@@ -187,60 +212,51 @@ class Field:
         return found
 
 
-def learn_shapes(pages: DataFrame, sample: int = SAMPLE) -> Field:
-    """Learns from pattern matches how likely each token shape is of each kind.
+def learn_shapes(pages: DataFrame) -> Field:
+    """Learns from the pattern matches of all pages how likely each token shape is of each kind.
 
-    About `sample` pages, chosen by a hash of doc_id; only counts of the most frequent `SHAPES` shapes come back.
+    Every token of every page counts, at every size of the input. A task adds up its own counts first, so at most
+    `BUCKETS` short rows per task are shuffled, and as many come back.
     """
-    rows = plain(pages)
-    share = sample / max(rows.count(), 1)
-    chosen = rows.where(hashed_fraction(F.col("doc_id"), "shapes") < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = np.zeros((BUCKETS, len(KINDS) + 1), np.int64)
         for batch in batches:
-            for value in batch["text"]:
-                text = value.as_py() or ""
-                tokens = _tokens(text)
-                if tokens:
-                    labels = _labels(tokens, base_spans(text))
-                    counts.update((shape(text[s:e]), int(k)) for (s, e), k in zip(tokens, labels, strict=True))
-        if counts:
-            shapes, kinds = zip(*counts, strict=True)
-            yield pa.record_batch(
-                [pa.array(shapes), pa.array(kinds, pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                ["shape", "kind", "n"],
-            )
-
-    counted = chosen.mapInArrow(count, "shape string, kind long, n long").groupBy("shape")
-    columns = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(len(KINDS) + 1)]
-    total = F.sum("n").alias("total")
-    found = counted.agg(total, *columns).orderBy(F.desc("total"), "shape").limit(SHAPES).collect()
-    shapes = {}
-    for r in found:
-        smooth = [r[f"k{k}"] + (1.0 if k == 0 else 0.02) for k in range(len(KINDS) + 1)]
-        shapes[r["shape"]] = [math.log(x / sum(smooth)) for x in smooth]
-    return Field(shapes)
+            for _, texts in slices(batch["text"]):
+                for text in texts:
+                    tokens = _tokens(text)
+                    if tokens:
+                        np.add.at(counts, (_buckets(text, tokens), _labels(tokens, base_spans(text))), 1)
+        seen = np.flatnonzero(counts.any(axis=1))
+        if len(seen):
+            yield pa.record_batch([pa.array(seen), *map(pa.array, counts[seen].T)], ["bucket", *columns])
+
+    columns = [f"k{k}" for k in range(len(KINDS) + 1)]
+    counted = plain(pages).mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in columns))
+    found = counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    counts = np.zeros((BUCKETS, len(columns)), np.int64)
+    counts[found["bucket"].to_numpy()] = np.stack([found[c].to_numpy() for c in columns], axis=1)
+    return Field(counts)
 
 
 def _written(spans: list[list[Span]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, own in zip(KINDS, spans, strict=True) for s, e in sorted(own))
 
 
-def private_data(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def private_data(pages: DataFrame) -> DataFrame:
     """Addresses, numbers and cards in every page text.
 
     Patterns give the base spans (email, ip, card, phone; leftmost, not overlapping within a kind). A skip-chain
     conditional random field over the page's tokens with digits or an `@` then adds tokens: neighbours and, however
     far apart, tokens with the same digits or letters share potentials, and loopy message passing makes their labels
     agree, on pages with and without base spans. Base spans always stay. The field's shape potentials are learnt from the
-    pattern matches of a bounded sample.
+    pattern matches of all pages; very long texts are read whole.
 
     pages: `doc_id`, `text` (null: empty); other columns are not looked at. Returns per page `doc_id`, `n_email`, `n_ip`,
     `n_card`, `n_phone` (base spans), `base_sha256` (of kind:start:end, joined by commas, by kind, then start) and `spans`
     (all spans, joined likewise; code points, end exclusive). Repeated rows give a row each, no pages no rows.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(learn_shapes(pages, sample))
+    shared = pages.sparkSession.sparkContext.broadcast(learn_shapes(pages))
 
     def work(doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         counts, digests, spans = [], [], []

@@ -1,11 +1,16 @@
 import hashlib
+import itertools
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from page_fixtures import hard, pages, with_clashes  # noqa: F401
-from leafscribe.llm.private import Field, base_spans, private_data
+import numpy as np
+import pytest
+
+from leafscribe.llm import private
+from leafscribe.llm.private import Field, base_spans, learn_shapes, private_data
 
 PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -49,16 +54,78 @@ def test_cards(text):
 def test_long_texts_take_linear_time():
     for text in ["a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "@a" * 100_000]:
         base_spans(text)
+        private._tokens(text)
+    assert private._tokens("x" * 3_000_000) == []
+
+
+@given(st.text("a@.1 \t\u2003\x1c\x85é(", max_size=30))
+def test_tokens_hold_a_digit_or_at(text):
+    want = []
+    for token in re.finditer(r"\S+", text):
+        own = token.group()
+        kept = own.strip(private._EDGE)
+        if kept and re.search("[0-9@]", own):
+            start = token.start() + len(own) - len(own.lstrip(private._EDGE))
+            want.append((start, start + len(kept)))
+    assert private._tokens(text) == want
 
 
 def test_field_makes_repeated_tokens_agree():
-    text = "Call +46 8 123 45 67 now; ref 4111111111111111 twice 4111-1111-1111-1111x and 17"
-    base = base_spans(text)
-    added = Field({}).added(text, base)
-    assert [text[s:e] for s, e in added[2]] == [] or all("4111" in text[s:e] for s, e in added[2])
-    assert not any(text[s:e] == "17" for own in added for s, e in own)
-    far = "mail a.b@c.se " + "ord " * 50 + "A.B@C.SE_x a.b@c.se"
-    assert Field({}).added(far, base_spans(far))[1:] == [[], [], []]
+    """A number without country code is only found because the same digits stand elsewhere with it."""
+    text = "Call +46812345678 now; " + "ord " * 50 + "again 46812345678 and 17"
+    added = Field().added(text, base_spans(text))
+    assert [[text[s:e] for s, e in own] for own in added] == [[], [], [], ["46812345678"]]
+    other = text.replace("again 46812345678", "again 46812345679")
+    assert Field().added(other, base_spans(other)) == [[], [], [], []]
+
+
+def exact_marginals(field, text, tokens, labels):
+    """Sums over all labellings."""
+    own = [text[s:e] for s, e in tokens]
+    unary = np.array([field.shapes[private.bucket(private.shape(t))] for t in own], float)
+    for i, label in enumerate(labels):
+        unary[i, label] += private.MATCHED * (label > 0)
+    kinds, total = unary.shape[1], np.zeros(unary.shape)
+    for given_labels in itertools.product(range(kinds), repeat=len(own)):
+        weight = sum(unary[i, k] for i, k in enumerate(given_labels))
+        weight += private.CHAIN * sum(a == b for a, b in itertools.pairwise(given_labels))
+        last = {}
+        for i, t in enumerate(own):
+            key = private._same(t)
+            if key in last:
+                weight += private.SKIP * (given_labels[last[key]] == given_labels[i])
+            last[key] = i
+        for i, k in enumerate(given_labels):
+            total[i, k] += np.exp(weight)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(
+    "text, off",
+    [
+        ("7 a.b@c.se 19", 0.001),
+        ("1 22 10.0.0.1 333 4444 5", 0.001),
+        ("+46812345678 x1 46812345678", 0.02),
+        ("a.b@c.se 1 2 a.b@c.se_ 3 A.B@C.SE", 0.02),
+    ],
+)
+def test_messages_give_the_marginals(text, off):
+    counts = np.zeros((private.BUCKETS, 5))
+    counts[private.bucket(private.shape("a.b@c.se"))] = [1, 30, 0, 0, 0]
+    counts[private.bucket("0")] = [40, 0, 0, 1, 2]
+    field, tokens = Field(counts), private._tokens(text)
+    labels = private._labels(tokens, base_spans(text))
+    found = field.marginals(text, tokens, labels)
+    assert np.abs(found - exact_marginals(field, text, tokens, labels)).max() < off
+
+
+def test_shapes_of_all_pages_count(pages):
+    texts = ["a.b@c.se 12", "12 c.d@e.se 12", None, ""] * 700 + ["x1;"]
+    field = learn_shapes(pages(texts, ids=[1] * len(texts)))
+    seen = np.flatnonzero((field.shapes != Field().shapes).any(axis=1))
+    assert set(seen) == {private.bucket(private.shape(t)) for t in ["a.b@c.se", "12", "x1"]}
+    smooth = np.array([1, 1400.02, 0.02, 0.02, 0.02])
+    assert np.allclose(field.shapes[private.bucket("a.a@a.aa")], np.log(smooth / smooth.sum()), atol=1e-4)
 
 
 def test_pages(pages, hard, with_clashes):
