@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafscribe.llm.common import keyed, pin
 from leafscribe.llm.exact import exact_copies
-from leafscribe.llm.language import with_letters
+from leafscribe.llm.language import spoken_pages
 from leafscribe.llm.leaks import benchmark_leaks
 from leafscribe.llm.near import near_copies
 from leafscribe.llm.packing import packed
@@ -45,11 +45,13 @@ def _once(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text can have a language; a null text or one without a letter is rejected, row by row.
+    """Documents whose text can have a language; those without one (null or without a letter) are rejected, row by row.
 
-    What languages were learnt, if any, does not matter, so none are predicted here.
+    Languages are learnt and predicted by `spoken_pages`; a text whose language was not learnt stays. `lang` is not
+    replaced by the prediction: it stays what the source says. No rows give no rows; other columns pass, whatever
+    their names.
     """
-    return with_letters(docs)
+    return spoken_pages(docs, into="__lang_pred").drop("__lang_pred")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafscribe.llm.common import bound_batches, hashed_fraction, held_out, learning_fold, per_slice, plain, slices
@@ -21,7 +20,7 @@ SEED = 17
 SAMPLE = 2000
 #: Tasks that add up the sample.
 TASKS = 12
-#: Languages that are told apart at most: prototypes are one small matrix.
+#: Languages that are told apart at most, as prototypes are one small matrix; more are refused.
 LANGUAGES = 1000
 #: Sharpness of the score: it is the softmax of the cosines times this number.
 SHARPNESS = 25.0
@@ -53,17 +52,6 @@ def _letters(text: str) -> np.ndarray:
     return padded[~(space & np.concatenate([[False], space[:-1]]))]
 
 
-def with_letters(pages: DataFrame) -> DataFrame:
-    """Pages, with all their columns, whose text has a letter."""
-    bound_batches(pages.sparkSession)
-
-    @F.pandas_udf("boolean")
-    def lettered(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool)
-
-    return pages.where(lettered("text"))
-
-
 def _grams(text: str, letters: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams (21 bits a letter) and their counts; none if the text has no letter."""
     codes = _letters(text)
@@ -142,10 +130,13 @@ def learn_languages(
 
     pages: `doc_id`, `text`, `lang`; rows without a text or a language are not learnt from. About `sample` pages of each
     language are used, chosen by a hash of doc_id (all of them where there are fewer): that bounds the sample. Their
-    profiles are added up in the tasks, so one vector per language and task comes back.
+    profiles are added up in the tasks, so one vector per language and task comes back. More than `LANGUAGES` values
+    are refused with an error: none is left out silently.
     """
     known = pages.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    totals = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    totals = known.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(totals) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang")
     share = F.lit(0.0)
     for row in totals:
         share = F.when(F.col("lang") == row["lang"], F.lit(sample / row["count"])).otherwise(share)
@@ -190,6 +181,42 @@ def predict_languages(pages: DataFrame, prototypes: Prototypes) -> DataFrame:
     return rows.mapInArrow(per_slice(work), f"doc_id {kind}, lang_pred string, score double")
 
 
+def language_of(text: Column, prototypes: Prototypes) -> Column:
+    """Struct of `lang_pred`, `score` and `lettered` (the text has a letter) of a text column.
+
+    `lang_pred` and `score` are those of `predict_languages`. Where no language was learnt all texts are `und`, but
+    `lettered` still tells those apart that can have a language. For tables whose rows have no key of their own.
+    """
+
+    @F.arrow_udf("lang_pred string, score double, lettered boolean")
+    def predicted(texts: pa.Array) -> pa.Array:
+        languages, scores, lettered = [], [], []
+        for _, own in slices(texts):
+            names, score = prototypes.predict(own)
+            languages += names
+            scores += score.tolist()
+            lettered += [any(map(str.isalpha, t)) for t in own]
+        columns = [pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "lettered"])
+
+    return predicted(text)
+
+
+def spoken_pages(pages: DataFrame, into: str = "lang_pred", **options) -> DataFrame:
+    """Pages, with all their columns, whose text can have a language, and that language in the column `into`.
+
+    pages: `doc_id`, `text`, `lang`. Languages are learnt as in `page_languages` and predicted row by row, so null and
+    repeated ids do not matter. A row is rejected if its text is null or has no letter; one whose language is only
+    unknown (as no language was learnt) stays, with `und`. No pages give no rows, very long texts are read whole, and
+    other columns may have any names; one named `into` is replaced.
+    """
+    bound_batches(pages.sparkSession)
+    fold = pages.select("doc_id", "text", "lang").where(learning_fold(F.col("doc_id")))
+    found = language_of(F.col("text"), learn_languages(fold, **options))
+    rows = pages.withColumn(into, F.when(found["lettered"], found["lang_pred"]))
+    return rows.where(F.col(into).isNotNull())
+
+
 def page_languages(pages: DataFrame, **options) -> DataFrame:
     """Learns from the pages of the learning fold that have a `lang` and predicts it for every page.
 

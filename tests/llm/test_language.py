@@ -1,8 +1,17 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from page_fixtures import hard, pages, with_clashes  # noqa: F401
-from leafscribe.llm.language import Prototypes, bound_vectors, page_languages, profiles, predict_languages
+from leafscribe.llm import language
+from leafscribe.llm.language import (
+    Prototypes,
+    bound_vectors,
+    page_languages,
+    predict_languages,
+    profiles,
+    spoken_pages,
+)
 
 SWEDISH = ["Anno 1702 den 3 februari hölls ordinarie ting", "Samma dag framkom för rätten drängen", "Så blev och upplyst"]
 LATIN = ["Anno domini millesimo quingentesimo", "Notum sit omnibus quorum interest", "In nomine patris et filii"]
@@ -60,3 +69,40 @@ def test_same_row_same_answer(pages):
     prototypes = Prototypes(["la", "sv"], profiles([" ".join(LATIN), " ".join(SWEDISH)]), 3, 17)
     rows = predict_languages(pages(["rätten den samma"] * 3, ids=[1, 1, 1]), prototypes).collect()
     assert len({tuple(r) for r in rows}) == 1 and rows[0].lang_pred == "sv"
+
+
+def test_prediction_is_the_nearest_bundle(pages):
+    """Against prototypes and cosines added up one text after the other."""
+    groups = {"la": LATIN, "sv": SWEDISH}
+    sums = np.array([sum(slow_profile(t, 3, 256, 5) for t in own) for own in groups.values()])
+    prototypes = Prototypes(list(groups), sums.copy(), 3, 5)
+    unit = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    centred = unit - unit.mean(axis=0)
+    texts = [*SWEDISH, *LATIN, "ting och domini", "ö", "Rex et regina", "drottning och konung"]
+    rows = predict_languages(pages(texts), prototypes).orderBy("doc_id").collect()
+    for text, row in zip(texts, rows):
+        own = slow_profile(text, 3, 256, 5) - unit.mean(axis=0)
+        cosine = centred @ own / np.linalg.norm(centred, axis=1) / np.linalg.norm(own)
+        weights = np.exp(language.SHARPNESS * cosine)
+        assert row.lang_pred == list(groups)[cosine.argmax()]
+        assert abs(row.score - weights.max() / weights.sum()) < 1e-4
+
+
+def test_spoken_pages_predict_and_reject_rows(pages, hard, with_clashes):
+    texts = [*SWEDISH, *LATIN] * 20 + hard
+    lang = F.when(F.col("page_number") > 120, None).otherwise(
+        F.when((F.col("page_number") - 1) % 6 < 3, "sv").otherwise("la")
+    )
+    df = with_clashes(pages(texts).withColumn("lang", lang), "score", "lettered")
+    found = spoken_pages(df)
+    assert found.columns == [*df.columns, "lang_pred"]
+    wanted = {r.doc_id: r.lang_pred for r in page_languages(df).collect() if r.lang_pred != "und"}
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == wanted
+
+
+def test_too_many_languages_are_refused(pages, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    three = pages(["en", "två", "tre", "fyra"] * 5).withColumn("lang", (F.col("doc_id") % 3).cast("string"))
+    with pytest.raises(ValueError, match="more than 2"):
+        page_languages(three)
+    assert page_languages(three.where("lang <> '0'")).count() > 0

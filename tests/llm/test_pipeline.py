@@ -60,6 +60,14 @@ def test_language_rejects_rows_not_ids(spark, tmp_path):
     assert sorted(r.text for r in left) == ["en annan", "en sida"]
 
 
+def test_language_keeps_columns_of_any_name(spark, tmp_path):
+    rows = [(1, "en sida " * 40_000, "sv", "a", 1), (2, "4", "sv", "a", 1), (3, "in nomine", "la", None, None)]
+    docs = tables(spark, tmp_path, rows).withColumn("lang_pred", F.lit("own")).withColumn("score", F.lit(1))
+    left = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.lang, r.lang_pred) for r in left.collect()) == [(1, "sv", "own"), (3, "la", "own")]
+
+
 def test_null_and_repeated_ids_stand_for_one_text(spark, tmp_path):
     long = [" ".join(f"{w}{i}" for i in range(80)) for w in ("ord", "rad")]
     leak = "början " + " ".join(f"prov{i}" for i in range(12)) + " slut"
