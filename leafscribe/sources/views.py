@@ -290,7 +290,12 @@ class Views:
         return self.table("pages").selectExpr(
             "page_id",
             "concat('R',lpad(CAST(page_id AS STRING),7,'0')) AS expected_id",
-            f"""CASE WHEN page_id%10=0
+            f"""CASE WHEN page_id%20=10
+                     THEN '<r><error><b>no</b> &#115;uch <![CDATA[record]]></error></r>'
+                     WHEN page_id%20=11 THEN concat('{head}bildvisning/R', page_id, '"/><dao')
+                     WHEN page_id%10=2 THEN concat('{head}bildvisning/&#82;',
+                                                   lpad(CAST(page_id AS STRING),7,'0'),'"/></r>')
+                     WHEN page_id%10=0
                      THEN '<r><error code="idDoesNotExist">no such record</error></r>'
                      WHEN page_id%10=1 THEN '{head}other"/></r>'
                      ELSE concat('{head}x"/><dao xlink:href="https://a.example/bildvisning/R',

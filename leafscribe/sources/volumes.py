@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +13,8 @@ from leafscribe.functions.text import pad_number, trimmed
 from leafscribe.operators.scale import GROUP_ROWS, ordinal
 
 # Link patterns that carry a volume id, and error texts.
-VIEWER_LINK = "bildvisning/([A-Za-z0-9]+)"
-MANIFEST_LINK = "(?i)arkis[%!]21?([A-Z0-9]+)/manifest"
+VIEWER_LINK = re.compile("bildvisning/([A-Za-z0-9]+)")
+MANIFEST_LINK = re.compile("arkis[%!]21?([A-Z0-9]+)/manifest", re.IGNORECASE | re.ASCII)
 VOLUME_ID = "(?i)^[A-Z][0-9]{5,}$"
 NO_VOLUME = "Could not find IIIF manifest ID in OAI-PMH response"
 NO_PAGES = "No pages found in this volume"
@@ -55,50 +59,80 @@ def scan_folder(spark: SparkSession, folder: str, upload: int = 1) -> DataFrame:
     return image_upload(typed, "path", upload)
 
 
-def _volume_in(link: Column) -> Column:
-    viewer = F.nullif(F.regexp_extract(link, VIEWER_LINK, 1), F.lit(""))
-    manifest = F.nullif(F.regexp_extract(link, MANIFEST_LINK, 1), F.lit(""))
-    return F.coalesce(viewer, F.when(link.contains("/manifest"), manifest))
+def _volume_in(link: str) -> str | None:
+    found = VIEWER_LINK.search(link)
+    if not found and "/manifest" in link:
+        found = MANIFEST_LINK.search(link)
+    return found and found.group(1)
+
+
+class _Record:
+    """Reads one harvest record element by element; keeps only its first volume and its first error."""
+
+    def __init__(self):
+        self.volume = self.code = None
+        self.texts: list[str] | None = None
+        self.depth = 0
+        self.inside = False
 
+    def opened(self, tag: str, attributes: dict[str, str]) -> None:
+        name = tag.rpartition(":")[2]
+        if self.inside:
+            self.depth += 1
+        elif name == "error" and self.texts is None:
+            self.texts, self.code, self.inside = [], attributes.get("code"), True
+        # A link inside an error counts for nothing, as the error decides.
+        if name == "dao" and self.volume is None:
+            links = [v for k, v in attributes.items() if k.endswith(":href")]
+            self.volume = _volume_in(attributes.get("xlink:href") or (links[0] if links else ""))
 
-def _plain_content(inner: Column) -> Column:
-    """Text of an element's inner XML: nested tags go, character data and the five named entities are resolved."""
-    text = F.regexp_replace(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>|<[^>]*>", "$1")
-    for name, sign in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")]:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-    return text
+    def closed(self, tag: str) -> None:
+        if self.inside:
+            self.inside = self.depth > 0
+            self.depth -= 1 if self.inside else 0
+
+    def characters(self, text: str) -> None:
+        if self.inside:
+            self.texts.append(text)
+
+    def result(self) -> tuple[str | None, str | None]:
+        if self.texts is not None:
+            return None, "".join(self.texts) or self.code or UNKNOWN_ERROR
+        return (self.volume, None) if self.volume else (None, NO_VOLUME)
+
+
+def read_record(xml: str | None) -> tuple[str | None, str | None]:
+    """(volume id, error) of a harvest record, one of the two is None.
+
+    Entities, character references, character data and comments are XML's. A record that is not well formed (broken off,
+    empty, with entities that grow too large) has no volume, whatever stands before the break.
+    """
+    record = _Record()
+    # Names keep their prefixes, so that one without a declaration is no fault.
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = record.opened, record.closed
+    parser.CharacterDataHandler = record.characters
+    try:
+        parser.Parse(xml or "", True)
+    except expat.ExpatError:
+        return None, NO_VOLUME
+    return record.result()
+
+
+def _read_records(records: pa.Array) -> pa.Array:
+    found = [read_record(r.as_py()) for r in records]
+    columns = [pa.array([f[i] for f in found], pa.string()) for i in range(2)]
+    return pa.StructArray.from_arrays(columns, ["manifest_id", "error"])
 
 
 def resolve_harvest(records: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds `manifest_id` and `error`, one of the two is null.
+    """Adds `manifest_id` and `error`, one of the two is null; records are read in Arrow batches.
 
-    The link elements may sit at any depth and a broken record must not stop the job, so
-    the elements are taken by pattern; the first link that holds a volume id wins.
+    The link elements may sit at any depth; the first link that holds a volume id wins. An error element decides alone. A
+    broken record never stops the job: it is an error row.
     """
-    whole = F.regexp_replace(xml, "(?s)<!--.*?-->", "")
-    # Elements written inside character data are no elements.
-    body = F.regexp_replace(whole, r"(?s)<!\[CDATA\[.*?\]\]>", "")
-    element = r"""(?s)<(?:[\w.-]+:)?dao\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
-    links = F.transform(
-        F.regexp_extract_all(body, F.lit(element), F.lit(0)),
-        lambda e: F.regexp_extract(e, r"""[\w.-]+:href\s*=\s*("[^"]*"|'[^']*')""", 1),
-    )
-    found = F.filter(F.transform(links, _volume_in), lambda v: v.isNotNull())
-    opening = F.regexp_extract(body, r"(?s)<(?:[\w.-]+:)?error\b[^>]*>", 0)
-    inner = F.regexp_extract(whole, r"(?s)<((?:[\w.-]+:)?error)\b[^>]*(?<!/)>(.*?)</\1\s*>", 2)
-    inner = _plain_content(inner)
-    code = F.regexp_extract(opening, r"""\bcode\s*=\s*["']([^"']*)["']""", 1)
-    message = F.coalesce(
-        F.nullif(inner, F.lit("")), F.nullif(code, F.lit("")), F.lit(UNKNOWN_ERROR)
-    )
-    failed = opening != ""
-    first = F.try_element_at(found, F.lit(1))
-    return records.withColumns(
-        {
-            "manifest_id": F.when(~failed, first),
-            "error": F.when(failed, message).when(first.isNull(), F.lit(NO_VOLUME)),
-        }
-    )
+    found = records.withColumn("_found", F.arrow_udf(_read_records, "manifest_id string, error string")(xml))
+    return found.withColumns({"manifest_id": F.col("_found.manifest_id"), "error": F.col("_found.error")}).drop("_found")
 
 
 def page_count(manifest: Column) -> Column:

@@ -61,6 +61,19 @@ RECORDS = [
     ('<a><dao xlink:href="n"/><x:dao l:href="u/bildvisning/A1"/><dao xlink:href="u/bildvisning/B2"/></a>', "A1", None),
     ('<a><!-- <dao xlink:href="u/bildvisning/A1"/> --></a>', None, V.NO_VOLUME),
     ("<broken", None, V.NO_VOLUME),
+    ('<a><dao xlink:href="u/bildvisning/A1"/><b>', None, V.NO_VOLUME),
+    ('<a><dao xlink:href="u/bildvisning/A1"/></a><a/>', None, V.NO_VOLUME),
+    ("<a><error>gone</error>", None, V.NO_VOLUME),
+    ("", None, V.NO_VOLUME),
+    (None, None, V.NO_VOLUME),
+    ("<a><error>caf&#233; &#x41;</error></a>", None, "café A"),
+    ("<a><error>one</error><error>two</error></a>", None, "one"),
+    ("<a><e:error code='c'><b/> <i>x<i>y</i></i>z</e:error>w</a>", None, " xyz"),
+    ("<a><dao xlink:href='u/bildvisning/A1'/><error/></a>", None, V.UNKNOWN_ERROR),
+    ("<a><dao l:href='u/bildvisning/A1' xlink:href='u/bildvisning/&#66;2'/></a>", "B2", None),
+    ("<a><dao xlink:href='u/arkis!21&amp;/manifest'/><x><dao xlink:href='u/ARKIS%21b7/manifest'/></x></a>", "b7", None),
+    ("<!DOCTYPE a [<!ENTITY v 'A9'>]><a><dao xlink:href='u/bildvisning/&v;'/></a>", "A9", None),
+    ("<a><dao xlink:href='u/bildvisning/A1'/>" + "<b>" * 20_000 + "</b>" * 20_000 + "</a>", "A1", None),
 ]
 
 
@@ -70,6 +83,12 @@ def test_harvest(spark):
     assert [(r.manifest_id, r.error) for r in found] == [r[1:] for r in RECORDS]
 
 
+def test_harvest_entities_that_grow(spark):
+    names = "".join(f"<!ENTITY e{i} '{f'&e{i - 1};' * 10 if i else 'x' * 100}'>" for i in range(12))
+    record = f"<!DOCTYPE a [{names}]><a><dao xlink:href='u/bildvisning/A1'/><error>&e11;</error></a>"
+    assert V.read_record(record) == (None, V.NO_VOLUME)
+
+
 def test_harvest_errors(spark):
     hidden = '<o><![CDATA[<dao xlink:href="https://x/y/R0001203"/>]]></o>'
     rows = [
